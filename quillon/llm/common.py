@@ -133,3 +133,42 @@ def set_key(s: np.ndarray) -> int:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+# --- joins and components --------------------------------------------------------------------
+
+#: A key with at least this share of all rows goes by broadcast: there are at most 1/share of them.
+HEAVY = 0.001
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
+    """rows joined with table (one row a key, with the count of its rows in column weight). The
+    heavy keys, at most 1/HEAVY, go by broadcast, so no task gathers the rows of one of them."""
+    heavy = F.col(weight) >= max(2.0, HEAVY * total)
+    cols = [c for c in table.columns if c not in (key, weight)]
+    few = table.filter(heavy).select(key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in cols])
+    rest = table.filter(~heavy).select(key, F.lit(True).alias("_cold"), *cols)
+    rows = rows.join(F.broadcast(few), key, "left")
+    rest = rest.withColumnRenamed(key, "_key")
+    hot_part = rows.filter("_hot").select(*[c for c in rows.columns if not c.startswith("_hot")], *[F.col(f"_hot_{c}").alias(c) for c in cols])
+    cold_part = rows.filter(F.col("_hot").isNull()).drop(*[c for c in rows.columns if c.startswith("_hot")])
+    cold_part = cold_part.join(rest, F.col(key) == F.col("_key"), how).drop("_key", "_cold")
+    return hot_part.unionByName(cold_part)
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """node, root (the smallest node that it reaches) for every node of the edges, by alternating
+    large and small stars. Each round is a written table; nothing is gathered on the driver."""
+    e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = stored(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = stored(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        if e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty() and e.groupBy("u").count().filter("count > 1").isEmpty():
+            break
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

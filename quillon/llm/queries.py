@@ -6,13 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, warc
+from . import ann, decontaminate, jaccard, langid, packing, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -25,9 +41,35 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_packing, op9_warc, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_langid, op4_ann, op5_ngram_jaccard, op7_packing, op9_warc, op10_sharding)}
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op1_decontaminate": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+        bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS t
+               FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS x(s) WHERE len(w) > 0),
+        dw AS (SELECT r, n, s, array_to_string(w[s:s + n - 1], ' ') AS t
+               FROM d, (SELECT DISTINCT n FROM bw) AS k, unnest(range(1, len(w) - k.n + 2)) AS x(s)),
+        hit AS (SELECT r, s, n, item_id FROM dw JOIN bw USING (n, t)),
+        words AS (SELECT r, count(DISTINCT p) AS n_hit FROM hit, unnest(range(s, s + n)) AS x(p) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+                  FROM (SELECT DISTINCT r, coalesce(item_id::VARCHAR, 'null') AS i FROM hit) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)""",
+    "op5_ngram_jaccard": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWERED}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+        s AS (SELECT DISTINCT r, hash(array_to_string(w[p:p + least(len(w), 5) - 1], ' ')) AS g
+              FROM d, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS x(p) WHERE len(w) > 0),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        link AS (SELECT x.r AS a, y.r AS b FROM s AS x JOIN s AS y USING (g) JOIN n AS nx ON nx.r = x.r JOIN n AS ny ON ny.r = y.r WHERE x.r <> y.r
+                 GROUP BY x.r, y.r, nx.n, ny.n HAVING 100 * count(*) >= 80 * (nx.n + ny.n - count(*))),
+        reach(r, o) AS (SELECT r, r FROM d UNION SELECT reach.r, link.b FROM reach JOIN link ON reach.o = link.a)
+        SELECT min(d.doc_id) AS doc_id, min(coalesce(n.n, 0))::BIGINT AS n_shingles, min(e.doc_id) AS component_id
+        FROM reach JOIN d ON d.r = reach.r JOIN d AS e ON e.r = reach.o LEFT JOIN n ON n.r = reach.r GROUP BY reach.r""",
     "op9_warc": """
         SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
                CASE WHEN strlen(h) >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
