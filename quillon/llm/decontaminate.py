@@ -78,7 +78,8 @@ def _hits(docs: DataFrame, items: DataFrame, span: int, every: bool) -> DataFram
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and items (their ids as strings)."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and items (their ids as strings), text_hash
+    (xxhash64 of the text)."""
     text = F.col(text_col)
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), words(text).alias("words")).withColumn("n_words", F.size("words"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), words(F.col(item_text_col)).alias("words")).filter("size(words) > 0")
@@ -100,5 +101,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_co
     rows = rows.withColumn("n_hit", hit.cast("long")).withColumn("items", F.array_sort(F.array_distinct(F.flatten("items"))))
     return rows.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", F.col("th").alias("text_hash"),
         F.explode(F.expr("sequence(1, copies)")).alias("_copy")).drop("_copy")

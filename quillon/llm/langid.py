@@ -18,8 +18,9 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Features, and the most rows that are learned from in all.
 DIM, TRAIN_ROWS = 4096, 4000
@@ -183,25 +184,38 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     return fit(x, rows.column("lang").to_pylist())
 
 
-def _predictor(shared):
+def _predictor(shared, text_at: int, drop_text: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                langs, score = predict(model, part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*[part.column(j) for j in range(part.num_columns - 1)], pa.array(langs, pa.string()), pa.array(score)], names=[*part.schema.names[:-1], "lang_pred", "score"])
+                langs, score = predict(model, part.column(text_at).to_pylist())
+                kept = [j for j in range(part.num_columns) if j != text_at or not drop_text]
+                yield pa.RecordBatch.from_arrays([*[part.column(j) for j in kept], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*[part.schema.names[j] for j in kept], "lang_pred", "score"])
 
     return of
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, train_rows: int = TRAIN_ROWS, keep_text: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document (and text). Documents whose crc32(id as text)
-    mod folds is held are not learned from."""
-    fold = F.pmod(F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")), F.lit(folds))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 30)) / float(1 << 30)
-    model = train(rows.filter(~F.col("held_out")).withColumn("draw", draw), train_rows)
+def with_language(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, drop_text: bool = False) -> DataFrame:
+    """docs with lang_pred and score. learn: the rows that may be learned from."""
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col), F.lit(1 << 30)) / float(1 << 30)
+    model = train(docs.filter(learn).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw")), train_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.select("doc_id", "held_out", "text").mapInArrow(_predictor(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    rows = docs.drop("lang_pred", "score")
+    kinds = [f for f in rows.schema if f.name != text_col or not drop_text]
+    schema = T.StructType([*kinds, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_predictor(shared, rows.columns.index(text_col), drop_text), schema)
+
+
+def held_out(id_col: str = "doc_id", folds: int = 3, held: int = 1) -> Column:
+    """Whether crc32(id as text) mod folds is held; a null id isn't held out."""
+    fold = F.pmod(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")), F.lit(folds))
+    return F.coalesce(fold == held, F.lit(False))
+
+
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document. Those held out are not learned from."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col, folds, held).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    out = with_language(rows, ~F.col("held_out"), "doc_id", "text", "lang", train_rows, drop_text=True)
+    return out.select("doc_id", "held_out", "lang_pred", "score")

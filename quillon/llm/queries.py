@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, decontaminate, jaccard, langid, packing, sharding, warc
+from . import ann, decontaminate, jaccard, langid, lines, lm, packing, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items", "text_hash")
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +30,19 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"), F.array_join("removed_lines", ",").alias("removed_lines"), F.md5("text").alias("text_md5"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(_table(spark, sf_dir, "pages")).drop("payload", "url")
 
@@ -41,7 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_langid, op4_ann, op5_ngram_jaccard, op7_packing, op9_warc, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_decontaminate, op2_langid, op4_ann, op5_ngram_jaccard, op6_katz, op7_packing, op8_line_dedup, op9_warc, op10_sharding)}
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -70,6 +80,23 @@ ORACLE: dict[str, str] = {
         reach(r, o) AS (SELECT r, r FROM d UNION SELECT reach.r, link.b FROM reach JOIN link ON reach.o = link.a)
         SELECT min(d.doc_id) AS doc_id, min(coalesce(n.n, 0))::BIGINT AS n_shingles, min(e.doc_id) AS component_id
         FROM reach JOIN d ON d.r = reach.r JOIN d AS e ON e.r = reach.o LEFT JOIN n ON n.r = reach.r GROUP BY reach.r""",
+    "op8_line_dedup": f"""
+        WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+        x AS (SELECT doc_id, i - 1 AS line, regexp_extract_all(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+              FROM d, unnest(range(1, len(l) + 1)) AS u(i)),
+        s AS (SELECT DISTINCT doc_id, line, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS g
+              FROM x, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS u(p) WHERE len(w) > 0),
+        c AS (SELECT doc_id, line, list(g ORDER BY g) AS gs, len(gs) AS n FROM s GROUP BY doc_id, line),
+        f AS (SELECT *, row_number() OVER (PARTITION BY gs ORDER BY doc_id, line) AS copy FROM c),
+        u AS (SELECT doc_id, line, n, unnest(gs) AS g FROM f WHERE copy = 1),
+        m AS (SELECT a.doc_id, a.line FROM u AS a JOIN u AS b USING (g) WHERE (b.doc_id, b.line) < (a.doc_id, a.line)
+              GROUP BY a.doc_id, a.line, b.doc_id, b.line, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        near AS (SELECT DISTINCT f.gs FROM m JOIN f USING (doc_id, line)),
+        gone AS (SELECT doc_id, line FROM f WHERE copy > 1 OR gs IN (SELECT gs FROM near)),
+        r AS (SELECT doc_id, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY line) AS ls, list(line) AS li FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, coalesce(ls, '') AS removed_lines,
+               md5(array_to_string(CASE WHEN n IS NULL THEN l ELSE [l[i] FOR i IN range(1, len(l) + 1) IF NOT list_contains(li, i - 1)] END, chr(10))) AS text_md5
+        FROM d LEFT JOIN r USING (doc_id)""",
     "op9_warc": """
         SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
                CASE WHEN strlen(h) >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
