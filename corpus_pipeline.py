@@ -1,11 +1,74 @@
-"""The corpus pipeline: its stages in order, each calling one of the operators."""
+"""The corpus pipeline: language ID, line dedup, one document of each near-duplicate group,
+benchmark decontamination, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one those of
+the packed pieces. Stages run one after the other, each on the written rows of the one before.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm import decontaminate, jaccard, langid, lines, packing
+from quillon.llm.common import small_or_shuffled, stored
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no letters) go; a missing lang is filled with the prediction."""
+    out = langid.with_language(docs, ~langid.held_out()).filter("lang_pred <> 'und'")
+    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines similar to an earlier one go, and documents of which no word is left."""
+    out = lines.dedup(docs)
+    out = out.filter((F.size("removed_lines") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest doc_id stays; so does one row of
+    those that repeat a doc_id with an equal text."""
+    groups = stored(jaccard.groups(docs), "groups")
+    gone = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(small_or_shuffled(gone, gone.count()), "doc_id", "left_anti")
+    twice = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    n = twice.count()
+    if n:
+        again = small_or_shuffled(twice, n)
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = stored(found.filter("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
+    gone = small_or_shuffled(gone, gone.count())
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("packing", packed),
+]
+
+#: Packing isn't expressible in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
