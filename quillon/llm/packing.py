@@ -13,9 +13,11 @@ an empty table gives no rows; other columns are ignored; texts of any length are
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,7 +30,7 @@ BATCH = 16_384
 #: So many tasks' leftovers are packed together.
 FAN = 512
 #: Most distinct chunks whose ids a worker remembers, and the longest chunk that it does.
-CACHE, CHUNK = 400_000, 64
+CACHE, CHUNK = 1_000_000, 64
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -78,37 +80,75 @@ def pack(items: list[tuple], window: int = WINDOW) -> Iterator[list[tuple]]:
 
 
 class Chunks:
-    """Ids of texts as little-endian 32-bit bytes. The tokenizer drops white space and never
-    joins what a blank, tab or line end parts, so texts are encoded by chunks between those and
-    the ids of short chunks are remembered."""
+    """Ids of texts as little-endian 32-bit bytes. The tokenizer drops white space and never joins
+    what a blank, tab or line end parts, so texts are encoded by chunks between those and the ids of
+    short chunks are remembered. It also composes, then lowers letters, and parts a letter or digit
+    from a stop behind it: small letters are made before where that can't make a difference, and a
+    chunk with a stop at its end has the ids of the rest and of the stop."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        if len(self.known) + len(chunks) > CACHE:
-            self.known = {}
-        fresh: dict[str, bytes] = {}
-        for i in range(0, len(chunks), 4096):
-            part = chunks[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                fresh[c] = b"".join(x.to_bytes(4, "little") for x in e.ids)
-        self.known.update((c, v) for c, v in fresh.items() if len(c) <= CHUNK)
-        return fresh
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for v, i in vocab.items() if v.endswith("</w>")]] = True
+
+    def words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of small letters, each of which is one unit for the tokenizer and ends in an id
+        that ends a word. Many are encoded as one text."""
+        if not words:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer doesn't mark the ends of words")
+        raw, at = ids.tobytes(), 0
+        for end in (4 * ends).tolist():
+            yield raw[at:end]
+            at = end
+
+    def split(self, text: str | None) -> list[str]:
+        raw = (text or "").encode("utf-8", "replace")
+        if b"\xcc" not in raw and b"\xcd" not in raw and b"<|" not in raw:  # no marks that a letter may compose with
+            raw = raw.lower()
+        return raw.decode().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        split = [self.split(t) for t in texts]
         wanted = set().union(*split) if split else set()
-        table = self.known
-        missing = [c for c in wanted if c not in table]
-        if missing:
-            kept = {c: table[c] for c in wanted if c in table}
-            table = kept | self.learn(missing)
-        get = table.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        if len(self.known) > CACHE:
+            self.known = {c: self.known[c] for c in wanted if c in self.known}
+        known, long = self.known, []
+        missing = [c for c in wanted if c not in known]
+        stopped = [c for c in missing if c[-1:] in _STOPS and c[-2:-1].isalnum() and c[-2:-1] == c[-2:-1].lower()]
+        stems = {c[:-1] for c in stopped if c[:-1] not in known}
+        missing = list(stems.union(missing).difference(stopped)) + [c for c in _STOPS if stopped and c not in known]
+        plain = [c for c in missing if c.isalpha() and c.islower() and len(c) <= CHUNK]
+        known.update(zip(plain, self.words(plain), strict=True))
+        missing = [c for c in missing if c not in known]
+        for i in range(0, len(missing), 4096):
+            part = missing[i : i + 4096]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                ids = e.ids
+                known[c] = _PACK[len(ids)].pack(*ids) if len(ids) < len(_PACK) else b"".join(x.to_bytes(4, "little") for x in ids)
+                if len(c) > CHUNK:
+                    long.append(c)
+        for c in stopped:
+            known[c] = known[c[:-1]] + known[c[-1]]
+            if len(c) > CHUNK:
+                long.append(c)
+        get = known.__getitem__
+        out = [b"".join(map(get, s)) for s in split]
+        for c in long:
+            known.pop(c, None)
+        return out
+
+
+_STOPS = (".", ",")
+_PACK = [struct.Struct(f"<{n}I") for n in range(64)]
+_CHUNKS: dict[str, Chunks] = {}  # by path; a worker keeps it from task to task
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -124,7 +164,9 @@ def _packer(path: str, window: int, end_id: int):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        chunks = Chunks(path)
+        if path not in _CHUNKS:
+            _CHUNKS[path] = Chunks(path)
+        chunks = _CHUNKS[path]
         number = TaskContext.get().partitionId() << 40
         rest: list[tuple] = []
 
