@@ -7,8 +7,8 @@ best bin first, with a priority queue by distance to centres, and widens its vis
 until the calibrated number of leaves and enough rows are reached. The calibration takes sample rows as
 queries and finds the number of leaves at which their recall among the sample reaches RECALL.
 
-Leaves and their visitors are met in blocks of bounded size, so a leaf that holds a third of the
-rows, or draws a third of the queries, is spread.
+Neighbouring leaves and their visitors meet in groups of bounded size, so a leaf that holds a third of
+the rows, or draws a third of the queries, is spread, and each group gives a query's best once.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, nor do rows without vec_id; of rows that repeat a vec_id one takes
@@ -31,7 +31,7 @@ from .common import stored
 
 FIT_ROWS, BRANCH, LEAF_ROWS, MAX_LEAVES = 20_000, 8, 200, 4096
 RECALL, PROBES = 0.98, 256
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
+BLOCK_ROWS, GROUP_ROWS, BLOCK_QUERIES = 4096, 16_384, 1024
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -149,52 +149,72 @@ def _place(shared):
     return of
 
 
-def _visit(shared, counts, k: int):
+def _visit(shared, layout, k: int):
+    """For each query and group of leaves in its walk: the leaves that it visits there."""
+
     def of(batches):
         tree, most, dim, visits, _ = shared.value
-        held = counts.value
+        held, groups = layout.value
         for b in batches:
             if not b.num_rows:
                 continue
-            rows, leaf = [], []
+            rows, group, leaves = [], [], []
             for i, q in enumerate(aim(_matrix(b.column(1), dim), most)):
                 n = seen = 0
+                own: dict[int, list[int]] = {}
                 for x in tree.walk(q):
-                    rows.append(i)
-                    leaf.append(x)
+                    for g in groups[x]:
+                        own.setdefault(g, []).append(x)
                     n, seen = n + 1, seen + held[x]
                     if n >= visits and seen > k:
                         break
+                rows += [i] * len(own)
+                group += list(own)
+                leaves += list(own.values())
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(leaf, pa.int32())], names=["query_id", "q", "leaf"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(group, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], names=["query_id", "q", "g", "leaves"])
 
     return of
 
 
-def best_of(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k best rows (ties: the smaller id), without its own."""
-    approx = q @ x.T
-    approx[qid[:, None] == xid[None, :]] = -np.inf
+def best_of(approx: np.ndarray, q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> list[tuple]:
+    """Each query's k best rows (ties: the smaller id) of those with a finite approximate score."""
     out = []
     for i in range(len(q)):
         row = approx[i]
-        if len(row) > k:  # those that rounding leaves near the k-th are compared exactly
-            kth = np.partition(row, len(row) - k)[len(row) - k]
-            at = np.flatnonzero((row >= kth - 1e-9 * max(1.0, abs(kth))) & np.isfinite(row)) if np.isfinite(kth) else np.flatnonzero(np.isfinite(row))
-        else:
-            at = np.flatnonzero(np.isfinite(row))
+        at = np.flatnonzero(np.isfinite(row))
+        if len(at) > k:  # those that rounding leaves near the k-th are compared exactly
+            kth = np.partition(row[at], len(at) - k)[len(at) - k]
+            at = at[row[at] >= kth - 1e-9 * max(1.0, abs(kth))]
         s = (x[at] * q[i]).sum(axis=1)
         o = np.lexsort((xid[at], -s))[:k]
         out.append((np.full(len(o), qid[i]), xid[at][o], s[o]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    return out
 
 
 def _meet(k: int):
+    """The best of a group's rows for each query that visits it, among the leaves that it visits."""
+
     def of(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or queries.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        x, q = np.stack(rows["v"].to_numpy()).astype(np.float64), np.stack(queries["q"].to_numpy()).astype(np.float64)
-        a, b, s = best_of(q, queries["query_id"].to_numpy(), x, rows["vec_id"].to_numpy(), k)
+        found: list[tuple] = []
+        if len(rows) and len(queries):
+            rows = rows.sort_values("leaf", ignore_index=True)
+            x, xid, leaf = np.stack(rows["v"].to_numpy()).astype(np.float64), rows["vec_id"].to_numpy(), rows["leaf"].to_numpy()
+            for i in range(0, len(queries), 128):
+                part = queries.iloc[i : i + 128]
+                q, qid = np.stack(part["q"].to_numpy()).astype(np.float64), part["query_id"].to_numpy()
+                by: dict[int, list[int]] = {}
+                for j, own in enumerate(part["leaves"]):
+                    for n in own:
+                        by.setdefault(int(n), []).append(j)
+                approx = np.full((len(q), len(x)), -np.inf)
+                for n, who in by.items():
+                    a, b = np.searchsorted(leaf, n), np.searchsorted(leaf, n, "right")
+                    if a < b:
+                        approx[who, a:b] = q[who] @ x[a:b].T
+                approx[qid[:, None] == xid[None, :]] = -np.inf
+                found += best_of(approx, q, qid, x, xid, k)
+        a, b, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
 
     return of
@@ -221,13 +241,23 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     shared = spark.sparkContext.broadcast((tree, most, dim, visits, total))
     placed = stored(rows.mapInArrow(_place(shared), "vec_id long, v array<double>, leaf int"), "leaves")
     held = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # at most MAX_LEAVES rows
-    counts = spark.sparkContext.broadcast([held.get(i, 0) for i in range(tree.leaves)])
-    visited = stored(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(_visit(shared, counts, k), "query_id long, q array<double>, leaf int"), "visits")
-    drawn = visited.groupBy("leaf").count().collect()
-    blocks = spark.createDataFrame([(r["leaf"], -(-held.get(r["leaf"], 1) // BLOCK_ROWS), -(-r["count"] // BLOCK_QUERIES)) for r in drawn] or [(-1, 1, 1)], "leaf int, rb int, qb int")
-    left = placed.join(F.broadcast(blocks), "leaf").withColumn("r", F.pmod(F.xxhash64("vec_id"), F.col("rb")).cast("int")).withColumn("b", F.explode(F.expr("sequence(0, qb - 1)")))
-    right = visited.join(F.broadcast(blocks), "leaf").withColumn("b", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int")).withColumn("r", F.explode(F.expr("sequence(0, rb - 1)")))
-    met = left.select("leaf", "r", "b", "vec_id", "v").groupBy("leaf", "r", "b").cogroup(right.select("leaf", "r", "b", "query_id", "q").groupBy("leaf", "r", "b"))
+    held = [held.get(i, 0) for i in range(tree.leaves)]
+    # A leaf's rows are dealt to parts of at most BLOCK_ROWS; parts next to each other in the tree form
+    # groups of about GROUP_ROWS rows, within which a query's best are taken together.
+    parts = [max(1, -(-n // BLOCK_ROWS)) for n in held]
+    first = np.concatenate([[0], np.cumsum(parts)])
+    size = np.cumsum(np.repeat([n / p for n, p in zip(held, parts, strict=True)], parts))
+    group = ((size - 1e-6) // GROUP_ROWS).astype(int).clip(0)
+    groups = [sorted(set(group[first[i] : first[i + 1]].tolist())) for i in range(tree.leaves)]
+    layout = spark.sparkContext.broadcast((held, groups))
+    visited = stored(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(_visit(shared, layout, k), "query_id long, q array<double>, g int, leaves array<int>"), "visits")
+    drawn = visited.groupBy("g").count().collect()  # one row a group
+    blocks = spark.createDataFrame([(r["g"], -(-r["count"] // BLOCK_QUERIES)) for r in drawn] or [(-1, 1)], "g int, qb int")
+    units = spark.createDataFrame([(i, parts[i], [int(g) for g in group[first[i] : first[i + 1]]]) for i in range(tree.leaves)], "leaf int, parts int, to array<int>")
+    left = placed.join(F.broadcast(units), "leaf").withColumn("g", F.expr("get(to, cast(pmod(xxhash64(vec_id), parts) as int))"))
+    left = left.join(F.broadcast(blocks), "g").withColumn("b", F.explode(F.expr("sequence(0, qb - 1)")))
+    right = visited.join(F.broadcast(blocks), "g").withColumn("b", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int"))
+    met = left.select("g", "b", "leaf", "vec_id", "v").groupBy("g", "b").cogroup(right.select("g", "b", "query_id", "q", "leaves").groupBy("g", "b"))
     found = met.applyInPandas(_meet(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
