@@ -37,8 +37,10 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, delimiter: st
     if bad := [n for n, k in kinds.items() if k not in _DEFAULT]:
         raise TypeError(f"columns {bad} are of types that CSV cells don't have here")
     raw_schema = T.StructType([T.StructField(f.name, T.StringType()) for f in schema] + [T.StructField("_corrupt", T.StringType())])
-    raw = spark.read.csv(path, schema=raw_schema, sep=delimiter, quote=quote, escape=quote, header=header, multiLine=multi_line,
-                         ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
+    # Without all columns Spark doesn't see that a record has too few or too many fields.
+    reader = spark.read.option("columnPruning", "false")
+    raw = reader.csv(path, schema=raw_schema, sep=delimiter, quote=quote, escape=quote, header=header, multiLine=multi_line,
+                     ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
     raw = raw.select("*", F.input_file_name().alias("_file"))
     cells, faults = [], []
     for f in schema:
@@ -51,7 +53,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, delimiter: st
         value = F.when(~empty, value)
         cells.append((value if f.nullable else F.coalesce(value, F.lit(_DEFAULT[kind]))).cast(kind).alias(f.name))
         faults.append(F.when(fault.isNotNull(), F.struct(F.lit(f.name).alias("col_name"), F.col(f"`{f.name}`").alias("cell_value"), fault.alias("message"))))
-    good = F.col("_corrupt").isNull()
+    # Spark refuses a query that needs no column but the corrupt record's.
+    good = F.col("_corrupt").isNull() & (F.coalesce(F.length(F.col(f"`{schema[0].name}`")), F.lit(0)) >= 0)
     if strict:
         good = F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("wrong number of fields: "), F.col("_corrupt"))).cast("boolean"))
     rows = raw.filter(good).select(*cells)
