@@ -25,20 +25,25 @@ def removed_lines(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc (doc_id, or the largest long for null) and removed (its line numbers that go, from 0)."""
     rows, hot = setjoin.survey(docs, lines=True, k=k)
     rows = rows.filter("n > 0")
-    met = setjoin.lists(setjoin.prefixes(docs, hot, lines=True, k=k))
+    met = setjoin.lists(docs, rows, hot, lines=True, k=k)
     pairs = met.filter("candidate").select(F.col("rep_key").alias("a"), F.col("rep_doc").alias("a_doc"), F.col("key").alias("b"), F.col("doc").alias("b_doc"))
-    gone = stored(setjoin.verified(pairs, docs, lines=True, k=k).select(F.col("b").alias("key")).distinct(), "gone")
+    classes = stored(rows.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("members")), "classes")
+
+    def later(links: DataFrame) -> DataFrame:
+        """The class of each link that comes later."""
+        for side in ("a", "b"):
+            links = links.join(classes.select(F.col("key").alias(side), F.struct("first", "key").alias(f"{side}_at")), side)
+        return links.select(F.when(F.col("a_at") < F.col("b_at"), F.col("b")).otherwise(F.col("a")).alias("key")).distinct()
+
+    gone = stored(later(setjoin.verified(pairs, rows, docs, lines=True, k=k)), "gone")
     # A line that the first of its list isn't similar to may still be to another earlier one.
-    own = met.groupBy("tok", "key").agg(F.min(F.struct("doc", "line")).alias("at"), F.first("n").alias("n"), F.first("pos").alias("pos"))
-    several = met.groupBy("tok").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("tok")
-    own = stored(own.join(several, "tok"), "rest")
-    x, y = own.join(gone, "key", "left_anti").alias("x"), own.alias("y")
-    pairs = x.join(y, F.expr("x.tok = y.tok and y.at < x.at and x.key <> y.key")).filter(setjoin.possible("x.n", "y.n", "x.pos", "y.pos"))
-    pairs = pairs.select(F.col("y.key").alias("a"), F.col("y.at.doc").alias("a_doc"), F.col("x.key").alias("b"), F.col("x.at.doc").alias("b_doc"))
-    gone = gone.unionByName(setjoin.verified(pairs, docs, lines=True, k=k).select(F.col("b").alias("key"))).distinct()
-    classes = rows.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("members"))
+    own = setjoin.rivals(met).join(gone.withColumn("gone", F.lit(True)), "key", "left")
+    own = stored(own.withColumn("stray", F.col("gone").isNull()).withColumn("grp", F.col("key")).drop("gone"), "rest")
+    pairs = setjoin.second_pairs(own, rows, earlier=True)
+    gone = gone.unionByName(later(setjoin.verified(pairs, rows, docs, lines=True, k=k))).distinct()
     classes = classes.join(gone.withColumn("gone", F.lit(True)), "key", "left").filter("gone or members > 1")
     classes = stored(classes, "classes")
+    rows = rows.drop("sketch")
     out = attach(rows, classes, "key", "members", rows.count(), "inner").filter("gone or doc <> first.doc or line <> first.line")
     return stored(out.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
 
