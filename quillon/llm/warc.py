@@ -160,7 +160,7 @@ def parse(raw: bytes) -> dict:
     return out
 
 
-def _writer(folder: str):
+def _writer(folder: str, package: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         data: list[bytes] = []
@@ -185,7 +185,7 @@ def _writer(folder: str):
                 index.append(f"{_clean(url or '-')} 19700101000000 {json.dumps({'offset': at, 'length': len(raw), 'digest': digest})}\n")
                 data.append(raw)
                 at, n = at + len(raw), n + 1
-                if at >= PACKAGE:
+                if at >= package:
                     yield close()
         if n:
             yield close()
@@ -193,7 +193,7 @@ def _writer(folder: str):
     return of
 
 
-def write(pages: DataFrame, folder: str) -> DataFrame:
+def write(pages: DataFrame, folder: str, package: int = PACKAGE) -> DataFrame:
     """Writes one record a row into packages under folder; their paths and counts of records. Only
     the packages of tasks that succeeded are listed."""
     html = F.coalesce("html", F.lit(""))
@@ -210,11 +210,15 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     rows = rows.join(F.broadcast(few) if n_few <= 1_000_000 else few, "digest", "left")
     to = F.coalesce("hot_to", "to")
     rows = rows.withColumn("refers", to).withColumn("revisit", F.coalesce(long & to.isNotNull() & ~F.col("page_id").eqNullSafe(to), F.lit(False)))
-    made = rows.select("page_id", "url", "html", "digest", "refers", "revisit").mapInArrow(_writer(folder), "path string, records long")
+    made = rows.select("page_id", "url", "html", "digest", "refers", "revisit").mapInArrow(_writer(folder, package), "path string, records long")
     return stored(made, "warc-list")
 
 
-def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _locator(run: int):
+    return lambda batches: _locate(batches, run)
+
+
+def _locate(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
     """Runs of records in packages, from their directories and indexes."""
     for batch in batches:
         for path in batch.column(0).to_pylist():
@@ -226,7 +230,7 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for line in f.read_at(n, at).decode().splitlines():
                     x = json.loads(line.split(" ", 2)[2])
                     spans.append((base + x["offset"], x["length"]))
-                    if spans[-1][0] + spans[-1][1] - spans[0][0] >= RUN:
+                    if spans[-1][0] + spans[-1][1] - spans[0][0] >= run:
                         runs.append(spans)
                         spans = []
                 if spans:
@@ -257,14 +261,14 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.string())) for k, v in out.items()], names=list(out))
 
 
-def read(packages: DataFrame) -> DataFrame:
+def read(packages: DataFrame, run: int = RUN) -> DataFrame:
     """The records of the packages in column path; payload is null for revisits."""
     spark = packages.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    runs = packages.select("path").repartition(n).mapInArrow(_locate, "path string, starts array<long>, lengths array<long>").repartition(n)
+    runs = packages.select("path").repartition(n).mapInArrow(_locator(run), "path string, starts array<long>, lengths array<long>").repartition(n)
     return runs.mapInArrow(_records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 
-def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
+def archive(pages: DataFrame, folder: str | None = None, package: int = PACKAGE, run: int = RUN) -> DataFrame:
     """Writes pages into packages (below the shared folder unless one is named) and reads them back."""
-    return read(write(pages, folder or scratch(pages.sparkSession, "warc")))
+    return read(write(pages, folder or scratch(pages.sparkSession, "warc"), package), run)
