@@ -9,8 +9,9 @@ the hashes is the window [l, r] with its least hash at c, and stands for all sub
 Windows of different documents with one least hash meet in its first document (within a cell of
 documents first, so that a passage that a third of the documents share doesn't meet in one task). For
 two documents that meet, the windows' intervals are joined: where at least NEED hash functions agree on
-an interval long enough, it is compared word by word: the shared shingles are trimmed to runs, and a run
-is a passage if it and its counterpart have a Jaccard similarity of 0.8 or more and SHORTEST words.
+an interval long enough, it is compared word by word: the shared shingles form runs, and a run (or what
+remains when it is parted at its gaps) is a passage if it and its counterpart have a Jaccard similarity
+of 0.8 or more and SHORTEST words.
 
 Defined cases: a null, empty or short text has no passage; rows that repeat a doc_id are one document,
 whose passages are taken from all of them; repeats within a document don't count; rows with a null doc_id
@@ -28,11 +29,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SIMILAR, mix, shingle_hashes, small_or_shuffled, split_words, stored, word_hashes
-from .lm import opened, squeezed
+from .common import SHINGLE, SIMILAR, dealt, mix, opened, shingle_hashes, small_or_shuffled, split_words, squeezed, stored, word_hashes
 
 #: Words of the shortest passage; hash functions, and how many must agree.
-SHORTEST, HASHES, NEED = 50, 6, 3
+SHORTEST, HASHES, NEED = 50, 6, 2
 CELL_BYTES, BUCKET = 14 << 20, 1_500_000
 #: Shingles between two shared ones that a run bridges.
 GAP = SHINGLE + 3
@@ -103,32 +103,16 @@ def _blocks(shortest: int, hashes: int, buckets: int):
                 met = ~first
                 rows = [(-1, [x[met] for x in (v, doc, l, r)], [x[head[met]] for x in (doc, l, r)])] if met.any() else []
                 v, doc, l, r = (x[first] for x in (v, doc, l, r))
-                where = (v >> np.uint64(20)) % np.uint64(buckets)
-                order = np.argsort(where, kind="stable")
-                ends = np.searchsorted(where[order], np.arange(buckets + 1, dtype=np.uint64))
-                for b in range(buckets):
-                    if ends[b] < ends[b + 1]:
-                        own = order[ends[b] : ends[b + 1]]
-                        rows.append((b, [x[own] for x in (v, doc, l, r)], []))
+                rows += [(b, [x[own] for x in (v, doc, l, r)], []) for b, own in dealt(((v >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), buckets)]
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array([abs(int(v[0] % np.uint64(buckets))) if b < 0 else b for b, _, _ in rows], pa.int64()), "local": pa.array([b < 0 for b, _, _ in rows]),
-                    **{n: pa.array([x[1][i].tobytes() if i == 0 else _signed(x[1][i]) for x in rows], pa.binary()) for i, n in enumerate(_FIELDS)},
-                    **{f"first_{n}": pa.array([_signed(x[2][i]) if x[2] else None for x in rows], pa.binary()) for i, n in enumerate(_FIELDS[1:])},
+                    **{n: pa.array([x[1][i].tobytes() if i == 0 else squeezed(x[1][i]) for x in rows], pa.binary()) for i, n in enumerate(_FIELDS)},
+                    **{f"first_{n}": pa.array([squeezed(x[2][i]) if x[2] else None for x in rows], pa.binary()) for i, n in enumerate(_FIELDS[1:])},
                 })
 
     return of
 
 
-def _signed(x: np.ndarray) -> bytes:
-    """Integers (ids may be negative) as compressed bytes."""
-    low = int(x.min()) if len(x) else 0
-    return low.to_bytes(8, "little", signed=True) + squeezed((x - low).astype(np.uint64))
-
-
-def _unsigned(b: bytes) -> np.ndarray:
-    return opened(b[8:]).astype(np.int64) + int.from_bytes(b[:8], "little", signed=True)
-
-
 BLOCKS = "bucket long, local boolean, v binary, doc binary, l binary, r binary, first_doc binary, first_l binary, first_r binary"
 MEETINGS = "doc long, l int, r int, other long, ol int, orr int, hash long"
 
@@ -136,11 +120,11 @@ MEETINGS = "doc long, l int, r int, other long, ol int, orr int, hash long"
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for x in pdf[pdf["local"]].itertuples():
-        out.append((*(_unsigned(b) for b in (x.doc, x.l, x.r, x.first_doc, x.first_l, x.first_r)), np.frombuffer(x.v, np.uint64).view(np.int64)))
+        out.append((*(opened(b) for b in (x.doc, x.l, x.r, x.first_doc, x.first_l, x.first_r)), np.frombuffer(x.v, np.uint64).view(np.int64)))
     rest = pdf[~pdf["local"]]
     if len(rest):
         v = np.concatenate([np.frombuffer(b, np.uint64) for b in rest["v"]])
-        v, doc, l, r, head = _first_of(v, *(np.concatenate([_unsigned(b) for b in rest[n]]) for n in _FIELDS[1:]))
+        v, doc, l, r, head = _first_of(v, *(np.concatenate([opened(b) for b in rest[n]]) for n in _FIELDS[1:]))
         met = head != np.arange(len(v))
         out.append((doc[met], l[met], r[met], doc[head[met]], l[head[met]], r[head[met]], v[met].view(np.int64)))
     return pd.DataFrame({n: np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i, n in enumerate(("doc", "l", "r", "other", "ol", "orr", "hash"))})
@@ -169,27 +153,34 @@ def agreed(windows: list[dict], shortest: int, need: int) -> list[tuple[int, int
 
 
 def passages(a: np.ndarray, b: np.ndarray, a_at: int, b_at: int, shortest: int) -> list[tuple[int, int, int, int]]:
-    """Passages (from, shingles, the other's from, shingles) of two stretches of shingle hashes."""
+    """Passages (from, shingles, the other's from, shingles) of two stretches of shingle hashes: runs of
+    shared shingles that are similar as sets. A run that isn't is parted at its widest gap."""
     order = np.argsort(b, kind="stable")
     lo, hi = np.searchsorted(b[order], a), np.searchsorted(b[order], a, "right")
     hit = np.flatnonzero(hi > lo)
     if not len(hit):
         return []
-    out = []
-    for run in np.split(hit, np.flatnonzero(np.diff(hit) > GAP) + 1):
-        if run[-1] - run[0] + 1 < shortest:
-            continue
-        # Of the places where the other has a shingle, that nearest to the run's usual shift.
-        shift = int(np.median(order[lo[run]] - run))
-        near = [int(s[np.abs(s - p - shift).argmin()]) for p in run.tolist() for s in [order[lo[p] : hi[p]]]]
-        near = [q for p, q in zip(run.tolist(), near, strict=True) if abs(q - p - shift) <= max(GAP, len(run) // 4)]
-        if not near:
+    # Of the places where the other has a shingle, that next to the place before.
+    place, near = np.empty(len(hit), dtype=np.int64), None
+    for i, p in enumerate(hit.tolist()):
+        s = order[lo[p] : hi[p]]
+        place[i] = s[0] if near is None else s[np.abs(s - near - (p - hit[i - 1])).argmin()]
+        near = place[i]
+    gap = np.diff(hit) - 1 + np.abs(np.diff(place) - np.diff(hit))
+    out, todo = [], [(i, j) for i, j in zip([0, *(np.flatnonzero(gap > GAP) + 1).tolist()], [*(np.flatnonzero(gap > GAP) + 1).tolist(), len(hit)], strict=True)]
+    while todo:
+        i, j = todo.pop()
+        if hit[j - 1] - hit[i] + 1 < shortest:
             continue
-        x, y = a[run[0] : run[-1] + 1], b[min(near) : max(near) + 1]
+        begin, end = place[i:j].min(), place[i:j].max()
+        x, y = a[hit[i] : hit[j - 1] + 1], b[begin : end + 1]
         same = len(np.intersect1d(x, y))
         if 100 * same >= SIMILAR * (len(np.unique(x)) + len(np.unique(y)) - same):
-            out.append((int(run[0]) + a_at, len(x), min(near) + b_at, len(y)))
-    return out
+            out.append((int(hit[i]) + a_at, len(x), int(begin) + b_at, len(y)))
+        elif j - i > 1 and gap[i : j - 1].max() > 0:
+            cut = i + 1 + int(gap[i : j - 1].argmax())
+            todo += [(i, cut), (cut, j)]
+    return sorted(out)
 
 
 def _agree(shortest: int, need: int):
