@@ -78,12 +78,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def compact(texts: pa.Array) -> pa.Array:
+    """Texts as a large string array of its own, null as empty; kernels misread some casts of slices."""
+    return pc.fill_null(texts, "").take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Words `[^\\x20\\x09-\\x0D]+` of A-Z-lowered texts: the bounds of each text's words, and the
     words one after another. Null has none."""
-    if pa.types.is_string(texts.type):
-        texts = texts.cast(pa.large_string())
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(compact(texts)))
     flat = lists.flatten()
     full = pc.not_equal(pc.binary_length(flat), 0)
     kept = np.zeros(len(flat) + 1, dtype=np.int64)
@@ -112,29 +115,85 @@ def shingle_hashes(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return mix(out)
 
 
-def text_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
-    """For each text its sorted distinct shingle hashes."""
-    bounds, words = split_words(texts)
-    h = word_hashes(words)
-    runs = shingle_hashes(h, k) if len(h) >= k else h[:0]
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b - a >= k:
-            yield np.unique(runs[a : b - k + 1])
-        elif b > a:
-            yield shingle_hashes(h[a:b], k)
-        else:
-            yield runs[:0]
+#: Bits of a set's elements: enough to tell the shingles of two sets apart, and they leave room for the
+#: number of a set above them, so that the sets of many texts are sorted as plain numbers.
+ELEMENT_BITS = 48
 
 
-def set_key(s: np.ndarray) -> int:
-    """A signed 64-bit key of a set, the same for equal sets."""
-    return int((mix(s + _ODD[1]).sum(dtype=np.uint64) ^ np.uint64(len(s))).astype(np.int64)) if len(s) else 0
+def text_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes (of ELEMENT_BITS bits) of each text: the bounds of each, and
+    all after another."""
+    bounds, words = split_words(texts)
+    n = np.diff(bounds)
+    if not len(words):
+        return np.zeros(len(n) + 1, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    coded = words.dictionary_encode()
+    values, codes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False), coded.indices.to_numpy(zero_copy_only=False)
+    runs = np.full(max(0, len(codes) - k + 1), np.uint64(k))
+    for j in range(k if len(runs) else 0):  # what a word adds at place j is found once for each distinct word
+        runs += (mix(values + _ODD[j % 5]) * _ODD[j % 5])[codes[j : len(codes) - k + 1 + j]]
+    sizes = np.where(n >= k, n - k + 1, 0)
+    unit = np.repeat(np.arange(len(n)), sizes)
+    flat = mix(runs[np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(bounds[:-1], sizes)])
+    if len(short := np.flatnonzero((n > 0) & (n < k))):  # fewer words than a shingle has
+        flat = np.concatenate([flat, *[shingle_hashes(values[codes[bounds[i] : bounds[i + 1]]], k) for i in short]])
+        unit = np.concatenate([unit, short])
+    flat >>= np.uint64(64 - ELEMENT_BITS)
+    if len(n) <= 1 << 64 - ELEMENT_BITS:
+        both = np.sort(unit.astype(np.uint64) << np.uint64(ELEMENT_BITS) | flat)
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+        unit, flat = (both >> np.uint64(ELEMENT_BITS)).astype(np.int64), both & np.uint64((1 << ELEMENT_BITS) - 1)
+    else:
+        order = np.lexsort((flat, unit))
+        flat, unit = flat[order], unit[order]
+        keep = np.concatenate([[True], (flat[1:] != flat[:-1]) | (unit[1:] != unit[:-1])])
+        flat, unit = flat[keep], unit[keep]
+    return np.concatenate([[0], np.cumsum(np.bincount(unit, minlength=len(n)))]), flat
+
+
+def set_keys(bounds: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """A signed 64-bit key of each set, the same for equal sets; 0 for empty ones."""
+    n = np.diff(bounds)
+    out = np.zeros(len(n), dtype=np.uint64)
+    if len(flat):
+        full = n > 0
+        out[full] = mix(np.add.reduceat(mix(flat + _ODD[1]), bounds[:-1][full]) ^ n[full].astype(np.uint64))
+    return out.view(np.int64)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+# --- blocks of numbers --------------------------------------------------------------------------
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Integers in the narrowest width above the least one, byte by byte (all low bytes first), compressed."""
+    import zstandard
+
+    low = int(x.min()) if len(x) else 0
+    x = (np.asarray(x) - low).astype(np.uint64) if low else np.asarray(x).astype(np.uint64)
+    top = int(x.max()) if len(x) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4 if top < 1 << 32 else 8
+    planes = x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + low.to_bytes(8, "little", signed=True) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def opened(b: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[9:]), dtype=np.uint8).reshape(b[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{b[0]}").ravel().astype(np.int64) + int.from_bytes(b[1:9], "little", signed=True)
+
+
+def dealt(where: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """For each bucket that where names the rows that go to it, in their order."""
+    order = np.argsort(where.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+    ends = np.searchsorted(where[order], np.arange(buckets + 1))
+    return [(b, order[ends[b] : ends[b + 1]]) for b in range(buckets) if ends[b] < ends[b + 1]]
+
+
 # --- joins and components --------------------------------------------------------------------
 
 #: A key with at least this share of all rows goes by broadcast: there are at most 1/share of them.

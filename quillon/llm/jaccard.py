@@ -38,8 +38,8 @@ def boundary(by_size: dict[int, int]) -> int:
 
 def _light_links(rows: DataFrame) -> DataFrame:
     """Links between classes that share an enumerated subset: each with the first on the other side."""
-    small, large = F.col("pos") == -1, F.col("pos") == -2
-    first = rows.groupBy("tok").agg(F.min(F.when(small, F.col("key"))).alias("lo"), F.min(F.when(large, F.col("key"))).alias("hi"), F.min(F.when(F.col("pos") == -3, F.col("key"))).alias("even"), F.count("*").alias("members")).filter("members > 1")
+    small, large = F.col("side") == -1, F.col("side") == -2
+    first = rows.groupBy("tok").agg(F.min(F.when(small, F.col("key"))).alias("lo"), F.min(F.when(large, F.col("key"))).alias("hi"), F.min(F.when(F.col("side") == -3, F.col("key"))).alias("even"), F.count("*").alias("members")).filter("members > 1")
     met = rows.join(first, "tok")
     other = F.when(small, F.col("hi")).when(large, F.col("lo")).otherwise(F.col("even"))
     return met.select(F.col("key").alias("b"), other.alias("a")).filter("a is not null and a <> b").distinct()
@@ -50,28 +50,22 @@ def links(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     rows, hot = setjoin.survey(docs, k=k)
     sizes = rows.filter(F.col("n").between(1, MOST_LIGHT)).select("n", "key").distinct().groupBy("n").count().collect()
     light = boundary({r["n"]: r["count"] for r in sizes})
-    made = setjoin.prefixes(docs, hot, k=k, light=light)
+    met = setjoin.lists(docs, rows, hot, k=k, light=light)
+    pairs = setjoin.first_pairs(met)
+    found = setjoin.verified(pairs, rows, docs, k=k)
     if light:
-        made = stored(made, "prefixes")
-    met = setjoin.lists(made.filter("pos >= 0"), light)
-    pairs = met.filter("candidate").select(F.col("rep_key").alias("a"), F.col("rep_doc").alias("a_doc"), F.col("key").alias("b"), F.col("doc").alias("b_doc"))
-    found = setjoin.verified(pairs, docs, k=k)
-    if light:
-        found = found.unionByName(stored(_light_links(made.filter("pos < 0")), "light"))
+        found = found.unionByName(stored(_light_links(stored(setjoin.subsets(docs, rows, light, k), "subsets")), "light").select("a", "b"))
     roots = stored(components(found, "a", "b"), "roots")
     # Second step: members of a list that are not in the component of most of its members, with
-    # all its members of other components. The first member has met all others.
-    rest = met.select("tok", "key", "doc", "n", "pos").groupBy("tok", "key").agg(*[F.min(c).alias(c) for c in ("doc", "n", "pos")])
-    rest = rest.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    most = rest.groupBy("tok", "root").count().groupBy("tok").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.count("*").alias("roots")).filter("roots > 1")
-    rest = stored(rest.join(most, "tok").drop("roots"), "rest")
-    x, y = rest.filter("root <> most").alias("x"), rest.alias("y")
-    pairs = x.join(y, F.expr("x.tok = y.tok and x.root <> y.root and (y.root = y.most or x.key < y.key)"))
-    pairs = pairs.filter(setjoin.possible("x.n", "y.n", "x.pos", "y.pos")).filter(f"greatest(x.n, y.n) > {light}")
-    pairs = pairs.select(F.col("x.key").alias("a"), F.col("x.doc").alias("a_doc"), F.col("y.key").alias("b"), F.col("y.doc").alias("b_doc"))
-    more = setjoin.verified(pairs, docs, k=k)
-    if not more.isEmpty():
-        roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"), "roots")
+    # members of other components: first the one that looks most alike, then all that are left.
+    members = stored(setjoin.rivals(met), "members")
+    for best in (True, False):
+        own = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("grp", F.coalesce("root", "key")).drop("root")
+        most = own.groupBy("tok", "grp").count().groupBy("tok").agg(F.max_by("grp", F.struct("count", "grp")).alias("most"), F.count("*").alias("groups")).filter("groups > 1")
+        own = own.join(most.drop("groups"), "tok").withColumn("stray", F.col("grp") != F.col("most")).drop("most")
+        more = setjoin.verified(setjoin.second_pairs(own, rows, False, light, best), rows, docs, k=k)
+        if not more.isEmpty():
+            roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"), "roots")
     return rows, roots
 
 
@@ -79,6 +73,7 @@ def groups(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col:
     """doc_id, n_shingles, component_id of every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows, roots = links(docs, k)
+    rows = rows.drop("sketch")
     classes = rows.filter("n > 0").groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("members"))
     classes = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     classes = stored(classes, "classes")

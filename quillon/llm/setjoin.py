@@ -8,8 +8,9 @@ elements (the prefix). The order is by rarity: an element that several sets of a
 counted, the HOT_LIST most frequent ones come last by count, all others come first by hash. The order
 only steers the cost; any order gives the same links.
 
-An inverted list (the classes with one prefix element) is never paired with itself. Its first
-member is verified against each other one; what that leaves apart is paired in a second step.
+An inverted list (the classes with one prefix element) is never paired with itself. A class is first
+verified against the earliest of its lists' first members; what that leaves apart is paired in a second
+step, by the filters and by bitmaps that the sets leave (sketches).
 """
 
 from __future__ import annotations
@@ -17,59 +18,87 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SIMILAR, count_partitions, set_key, signed, small_or_shuffled, stored, text_sets
+from .common import SHINGLE, SIMILAR, compact, count_partitions, dealt, mix, opened, set_keys, signed, small_or_shuffled, squeezed, stored, text_sets
 
 #: An element is counted where at least LOCAL sets of a batch have it; HOT: the count from which it
 #: comes late in the order; HOT_LIST: the most elements that are ordered so (they go by broadcast).
 LOCAL, HOT, HOT_LIST = 3, 24, 200_000
-#: Rows of a batch that are worked on together.
-ROWS = 2000
+#: Rows of a batch that are worked on together; prefix elements of a bucket, about.
+ROWS, BUCKET = 2000, 700_000
 
 
-def units(batch: pa.RecordBatch, lines: bool, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(doc ids, line numbers, sets) of slices of a batch with columns doc_id and text."""
+def units(batch: pa.RecordBatch, lines: bool, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc ids, line numbers, keys, bounds of the sets, sets) of slices of a batch with columns doc_id
+    and text."""
     for i in range(0, batch.num_rows, ROWS):
         part = batch.slice(i, ROWS)
         ids = pc.fill_null(part.column(0), np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-        texts, line = part.column(1).cast(pa.large_string()), np.zeros(len(ids), dtype=np.int32)
+        texts, line = part.column(1), np.zeros(len(ids), dtype=np.int32)
         if lines:
-            split = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+            split = pc.split_pattern(compact(texts), "\n")
             n = pc.list_value_length(split).to_numpy(zero_copy_only=False)
             texts, ids = split.flatten(), np.repeat(ids, n)
             line = (np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        yield ids, line, list(text_sets(texts, k))
+        bounds, flat = text_sets(texts, k)
+        yield ids, line, set_keys(bounds, flat), bounds, flat
+
+
+def sketches(bounds: np.ndarray, flat: np.ndarray) -> pa.Array:
+    """For each set a bitmap of its elements' low bits, of as many bits as elements at least (a power of
+    two). Bits that differ between two sets' bitmaps are elements that only one has."""
+    n = np.diff(bounds)
+    bits = 1 << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(np.where(n > 0, bits // 8, 0))])
+    bit = (flat & (np.repeat(bits, n) - 1).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(at[-1], dtype=np.uint8)
+    np.bitwise_or.at(out, np.repeat(at[:-1], n) + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """At least so many elements are in one of two sketched sets only."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _arrow(**cols: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cols.values()], names=list(cols))
 
 
-def _survey(lines: bool, k: int):
+def _survey(lines: bool, k: int, local: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[int, np.ndarray] = {}
-            for ids, line, sets in units(batch, lines, k):
-                keys = [set_key(s) for s in sets]
-                seen.update((key, s) for key, s in zip(keys, sets, strict=True) if len(s))
-                n = len(ids)
-                yield _arrow(hot=(np.zeros(n, bool), pa.bool_()), doc=(ids, pa.int64()), line=(line, pa.int32()), key=(keys, pa.int64()), n=([len(s) for s in sets], pa.int32()))
-            if seen:
-                tok, c = np.unique(np.concatenate(list(seen.values())), return_counts=True)
-                tok, c = tok[c >= LOCAL], c[c >= LOCAL]
-                n = len(tok)
-                yield _arrow(hot=(np.ones(n, bool), pa.bool_()), doc=(np.zeros(n, np.int64), pa.int64()), line=(np.zeros(n, np.int32), pa.int32()), key=(signed(tok), pa.int64()), n=(c.astype(np.int32), pa.int32()))
+            seen: set[int] = set()
+            parts = []
+            for ids, line, keys, bounds, flat in units(batch, lines, k):
+                n = np.diff(bounds)
+                yield _arrow(hot=(np.zeros(len(ids), bool), pa.bool_()), doc=(ids, pa.int64()), line=(line, pa.int32()), key=(keys, pa.int64()), n=(n, pa.int32()), sketch=(sketches(bounds, flat), pa.binary()))
+                _, first = np.unique(keys, return_index=True)
+                new = np.zeros(len(keys), dtype=bool)
+                new[[i for i in first.tolist() if int(keys[i]) not in seen]] = True
+                seen.update(keys[first].tolist())
+                parts.append(flat[np.repeat(new, n)])
+            tok, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            tok, c = tok[c >= local], c[c >= local]
+            m = len(tok)
+            yield _arrow(hot=(np.ones(m, bool), pa.bool_()), doc=(np.zeros(m, np.int64), pa.int64()), line=(np.zeros(m, np.int32), pa.int32()), key=(signed(tok), pa.int64()), n=(c, pa.int32()), sketch=([None] * m, pa.binary()))
 
     return of
 
 
 def survey(docs: DataFrame, lines: bool = False, k: int = SHINGLE) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
-    """(doc, line, key, n) of every unit, and the frequent elements, sorted, with their ranks."""
-    both = stored(docs.select("doc_id", "text").mapInArrow(_survey(lines, k), "hot boolean, doc long, line int, key long, n int"), "units")
+    """(doc, line, key, n, sketch) of every unit, and the frequent elements, sorted, with their ranks."""
+    both = stored(docs.select("doc_id", "text").mapInArrow(_survey(lines, k, LOCAL), "hot boolean, doc long, line int, key long, n int, sketch binary"), "units")
     hot = both.filter("hot").groupBy("key").agg(F.sum("n").alias("c")).filter(F.col("c") >= HOT)
     top = hot.orderBy(F.desc("c"), "key").limit(HOT_LIST).toArrow()
     tok, c = top.column("key").to_numpy().view(np.uint64), top.column("c").to_numpy()
@@ -87,58 +116,112 @@ def subsets_of(n: int, limit: int) -> list[tuple[int, int]]:
     return [(m, needed(n, m)) for m in range(-(-SIMILAR * n // 100), min(limit, 100 * n // SIMILAR) + 1)]
 
 
-def _prefixes(lines: bool, k: int, hot, light: int):
+def _subsets(light: int, k: int):
+    """Rows of the fixed-size subsets of classes with at most light elements."""
     from itertools import combinations
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = hot.value
         seen: set[int] = set()
         for batch in batches:
-            for ids, line, sets in units(batch, lines, k):
-                tok, of_unit, pos, keys = [], [], [], []
-                for u, s in enumerate(sets):
-                    n = len(s)
-                    key = set_key(s)
-                    keys.append(key)
-                    if not n or key in seen:
+            for ids, _, keys, bounds, flat in units(batch, False, k):
+                rows = []
+                for u in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) <= light)).tolist():
+                    s, key = flat[bounds[u] : bounds[u + 1]].tolist(), int(keys[u])
+                    if key in seen:
                         continue
                     seen.add(key)
-                    if n <= light:
-                        for m, c in subsets_of(n, light):
-                            side = -3 if m == n else -1 if n < m else -2
-                            for x in combinations(s.tolist(), c):
-                                tok.append(np.array([hash((*x, min(n, m), max(n, m))) & (2**64 - 1)], dtype=np.uint64))
-                                of_unit.append(u)
-                                pos.append(np.array([side], dtype=np.int32))
-                    if n <= light and 100 * n < SIMILAR * (light + 1):
-                        continue
-                    if len(tokens):
-                        at = np.searchsorted(tokens, s)
-                        at[at == len(tokens)] = 0
-                        rank = np.where(tokens[at] == s, counts[at], 0)
-                        if rank.any():
-                            s = s[np.argsort(rank, kind="stable")]
-                    p = n + (-SIMILAR * n // 100) + 1
-                    tok.append(s[:p])
-                    of_unit.append(u)
-                    pos.append(np.arange(p, dtype=np.int32))
-                if not tok:
-                    continue
-                at = np.repeat(np.array(of_unit), [len(x) for x in tok])
-                yield _arrow(tok=(signed(np.concatenate(tok)), pa.int64()), doc=(ids[at], pa.int64()), line=(line[at], pa.int32()), key=(np.array(keys)[at], pa.int64()), n=(np.array([len(s) for s in sets], dtype=np.int32)[at], pa.int32()), pos=(np.concatenate(pos), pa.int32()))
+                    for m, c in subsets_of(len(s), light):
+                        side = -3 if m == len(s) else -1 if len(s) < m else -2
+                        rows += [(hash((*x, min(len(s), m), max(len(s), m))), int(ids[u]), key, side) for x in combinations(s, c)]
+                yield _arrow(**{n: ([r[i] for r in rows], pa.int64()) for i, n in enumerate(("tok", "doc", "key", "side"))})
 
     return of
 
 
-PREFIX = "tok long, doc long, line int, key long, n int, pos int"
+def subsets(docs: DataFrame, rows: DataFrame, light: int, k: int = SHINGLE) -> DataFrame:
+    """tok, doc, key, side: the subsets that small classes enumerate; side: -3 for those shared by partners
+    of the same size, -1 for the smaller and -2 for the larger of two sizes. Other documents are not read."""
+    small = rows.filter(F.col("n").between(1, light)).groupBy("key").agg(F.min("doc").alias("doc_id")).select("doc_id").distinct()
+    docs = docs.select(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)).alias("doc_id"), "text").join(small_or_shuffled(small, small.count()), "doc_id", "left_semi")
+    return docs.select("doc_id", "text").mapInArrow(_subsets(light, k), "tok long, doc long, key long, side long")
 
 
-def prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], lines: bool = False, k: int = SHINGLE, light: int = 0) -> DataFrame:
-    """PREFIX rows: a class's prefix elements with their places (pos >= 0) and, for classes of at
-    most light elements, the fixed-size subsets that they enumerate (pos < 0: -3 shared by partners
-    of the same size, -1 for the smaller and -2 for the larger of two sizes)."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    return docs.select("doc_id", "text").mapInArrow(_prefixes(lines, k, shared, light), PREFIX)
+def _first_of(tok: np.ndarray, doc: np.ndarray, line: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in order of (tok, doc, line), and for each of them where its list begins."""
+    order = np.lexsort((line, doc, tok))
+    tok = tok[order]
+    new = np.ones(len(tok), dtype=bool)
+    new[1:] = tok[1:] != tok[:-1]
+    return order, np.maximum.accumulate(np.where(new, np.arange(len(tok)), 0)) if len(tok) else np.zeros(0, np.int64)
+
+
+_SMALL = ("unit", "pos", "doc", "line", "n")
+BLOCKS = "bucket long, local boolean, tok binary, key binary, " + ", ".join(f"{c} binary" for c in _SMALL) + ", first binary"
+
+
+def _block(bucket: int, tok, unit, pos, doc, line, key, n, first=None) -> tuple:
+    """Rows as a block: what is known of units is given once for each unit named."""
+    units, at = np.unique(unit, return_inverse=True)
+    return (bucket, first is not None, squeezed(tok), key[units].tobytes(), *map(squeezed, (at, pos, doc[units], line[units], n[units])), None if first is None else squeezed(first))
+
+
+def _unblock(b) -> tuple[np.ndarray, ...]:
+    """tok, doc, line, key, n, pos of a block's rows."""
+    at = opened(b.unit)
+    return opened(b.tok), opened(b.doc)[at], opened(b.line)[at], np.frombuffer(b.key, np.int64)[at], opened(b.n)[at], opened(b.pos)
+
+
+def _prefixes(lines: bool, k: int, hot, light: int, buckets: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = hot.value
+        seen: dict[int, tuple[int, int]] = {}  # by key the first place that was sent; an earlier one is sent too
+        for batch in batches:
+            cell: list[list[np.ndarray]] = []  # of each slice: tok, unit, pos; doc, line, key, n of its units
+            base = 0
+            for ids, line, keys, bounds, flat in units(batch, lines, k):
+                n = np.diff(bounds)
+                new = np.zeros(len(n), dtype=bool)
+                for u in np.flatnonzero((n > 0) & ((n > light) | (100 * n >= SIMILAR * (light + 1)))).tolist():
+                    key, place = int(keys[u]), (int(ids[u]), int(line[u]))
+                    if seen.get(key, _NEVER) > place:
+                        seen[key] = place
+                        new[u] = True
+                flat, n = flat[np.repeat(new, n)], n[new]
+                if not len(flat):
+                    continue
+                own = np.repeat(np.arange(len(n)), n)
+                if len(tokens):
+                    at = np.searchsorted(tokens, flat)
+                    at[at == len(tokens)] = 0
+                    rank = np.where(tokens[at] == flat, counts[at], 0)
+                    late = np.repeat(np.bincount(own, rank, len(n)) > 0, n)  # of sets with a frequent element
+                    flat[late] = flat[late][np.lexsort((flat[late], rank[late], own[late]))]
+                pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                keep = pos < np.repeat(n + (-SIMILAR * n // 100) + 1, n)
+                cell.append([flat[keep], own[keep] + base, pos[keep], ids[new], line[new], keys[new], n])
+                base += len(n)
+            if not cell:
+                continue
+            tok, unit, pos, doc, line, key, n = (np.concatenate(c) for c in zip(*cell, strict=True))
+            order, head = _first_of(tok, doc[unit], line[unit], key[unit])
+            tok, unit, pos = tok[order], unit[order], pos[order]
+            first = head == np.arange(len(tok))
+            met = ~first & (key[unit] != key[unit[head]])
+            rows = []
+            if met.any():  # lists within the cell: members with the first of theirs, both as rows of one block
+                at = np.flatnonzero(met)
+                both = np.concatenate([at, head[at]])
+                rows.append(_block(int(tok[at[0]] % np.uint64(buckets)), tok[both], unit[both], pos[both], doc, line, key, n, np.arange(len(at))))
+            tok, unit, pos = tok[first], unit[first], pos[first]
+            rows += [_block(b, tok[own], unit[own], pos[own], doc, line, key, n) for b, own in dealt((mix(tok) % np.uint64(buckets)).astype(np.int64), buckets)]
+            names = ("bucket", "local", "tok", "key", *_SMALL, "first")
+            kinds = (pa.int64(), pa.bool_(), *[pa.binary()] * 8)
+            yield _arrow(**{c: ([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(names, kinds, strict=True))})
+
+    return of
+
+
+_NEVER = (2**63, 0)
 
 
 def _possible(n, m, i, j) -> np.ndarray:
@@ -148,92 +231,274 @@ def _possible(n, m, i, j) -> np.ndarray:
     return (np.minimum(i, j) + np.minimum(n - i, m - j) >= need) & (100 * np.minimum(n, m) >= SIMILAR * np.maximum(n, m))
 
 
+_COLS = ("tok", "doc", "line", "key", "n", "pos")
+STARS = "tok long, doc long, line int, key long, n int, pos int, rep_doc long, rep_line int, rep_key long, rep_n int, rep_pos int, candidate boolean"
+
+
 def _stars(light: int):
-    """Of rows sorted by (tok, doc, line): each list's members but the first, with the first."""
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Each list's members but the first, with the first: of cells, and of the cells' firsts."""
+        members, firsts = [], []
+        for b in pdf[pdf["local"]].itertuples():
+            cols = _unblock(b)
+            half = len(cols[0]) // 2
+            members.append([c[:half] for c in cols])
+            firsts.append([c[half:] for c in cols])
+        if len(rest := pdf[~pdf["local"]]):
+            cols = [np.concatenate(c) for c in zip(*map(_unblock, rest.itertuples()), strict=True)]
+            order, head = _first_of(cols[0], cols[1], cols[2], cols[3])
+            cols = [c[order] for c in cols]
+            other = np.flatnonzero(cols[3] != cols[3][head])
+            members.append([c[other] for c in cols])
+            firsts.append([c[head[other]] for c in cols])
+        x, y = ([np.concatenate(c) for c in zip(*side, strict=True)] for side in (members, firsts))
+        out = dict(zip(_COLS, x, strict=True)) | {f"rep_{c}": v for c, v in zip(_COLS[1:], y[1:], strict=True)}
+        good = _possible(x[4], y[4], x[5], y[5]) & (np.maximum(x[4], y[4]) > light)
+        return pd.DataFrame(out | {"candidate": good})
+
+    return of
+
+
+def lists(docs: DataFrame, rows: DataFrame, hot: tuple[np.ndarray, np.ndarray], lines: bool = False, k: int = SHINGLE, light: int = 0) -> DataFrame:
+    """STARS rows of every inverted list with two classes at least; lists of one class are gone. Lists form
+    within a cell (a batch of documents) first: its members with the first of them, which then meets
+    those of other cells, so no task gathers a list that a third of the documents share. Prefixes are
+    shuffled as blocks, one for each cell and bucket of elements. Classes that can only have partners of
+    at most light elements, as they have, are left out."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    size = rows.agg(F.sum(F.ceil(F.col("n") * (100 - SIMILAR) / 100.0) + 1).alias("p")).first()["p"] or 0
+    buckets = max(8, -(-size // BUCKET))
+    blocks = docs.select("doc_id", "text").mapInArrow(_prefixes(lines, k, shared, light, buckets), BLOCKS)
+    return stored(blocks.groupBy("bucket").applyInPandas(_stars(light), STARS), "lists")
+
+
+def first_pairs(met: DataFrame) -> DataFrame:
+    """One pair (a, a_doc, b, b_doc) for each member b of a list: with the earliest of its lists' firsts
+    that passes the filters."""
+    best = F.min_by(F.struct(F.col("rep_key").alias("a"), F.col("rep_doc").alias("a_doc"), F.col("doc").alias("b_doc")), F.struct("rep_doc", "rep_line", "rep_key", "doc"))
+    return met.filter("candidate").groupBy(F.col("key").alias("b")).agg(best.alias("x")).select("x.a", "x.a_doc", "b", "x.b_doc")
+
+
+def rivals(met: DataFrame) -> DataFrame:
+    """Every member of the lists, the firsts included, once: tok, key, doc, line, n, pos."""
+    ends = met.select(*_COLS).unionByName(met.select("tok", *[F.col(f"rep_{c}").alias(c) for c in _COLS[1:]]))
+    return ends.groupBy("tok", "key").agg(F.min(F.struct("doc", "line", "n", "pos")).alias("x")).select("tok", "key", "x.*")
+
+
+def _second(earlier: bool, light: int, best: bool):
+    """For rows sorted by (tok, part): the pairs of a list's strays with its members that pass the
+    filters and the sketches; with best each stray's nearest only."""
+
+    def pairs(rows: list[np.ndarray], sketch: list[bytes]) -> Iterator[np.ndarray]:
+        """far, a, a_doc, b, b_doc of each stray's pairs, as the columns of an array."""
+        _, _, stray, key, doc, line, n, pos, group = rows
+        by: dict[int, list[int]] = {}
+        for i in np.flatnonzero(stray == 0).tolist():
+            by.setdefault(len(sketch[i]), []).append(i)
+        tables = [(np.array(v), np.frombuffer(b"".join(sketch[i] for i in v), np.uint8).reshape(len(v), size)) for size, v in by.items()]
+        for s in np.flatnonzero(stray != 0).tolist():
+            mine = np.frombuffer(sketch[s], np.uint8)
+            for at, table in tables:
+                good = _possible(n[at], n[s], pos[at], pos[s]) & (group[at] != group[s]) & (np.maximum(n[at], n[s]) > light)
+                if earlier:
+                    good &= (doc[at] < doc[s]) | ((doc[at] == doc[s]) & (line[at] < line[s]))
+                at, x, y = at[good], table[good], mine
+                if not len(at):
+                    continue
+                while x.shape[1] > len(y):
+                    x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+                while len(y) > x.shape[1]:
+                    y = y[: len(y) // 2] | y[len(y) // 2 :]
+                far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                hit = np.flatnonzero((100 + SIMILAR) * far <= (100 - SIMILAR) * (n[at] + n[s]))
+                if best and len(hit):
+                    hit = hit[[far[hit].argmin()]]
+                at = at[hit]
+                yield np.stack([far[hit], key[at], doc[at], np.full(len(at), key[s]), np.full(len(at), doc[s])])
+
+    def told(found: list[np.ndarray]) -> pa.RecordBatch:
+        cols = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+        if best:  # of a stray's pairs the nearest
+            order = np.lexsort((cols[1], cols[0], cols[3]))
+            cols = cols[:, order]
+            cols = cols[:, np.concatenate([[True], cols[3][1:] != cols[3][:-1]])] if len(order) else cols
+        return _arrow(**{c: (cols[i], pa.int64()) for i, c in enumerate(("far", "a", "a_doc", "b", "b_doc"))})
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = None
+        held: pa.Table | None = None
+        found: list[np.ndarray] = []
+        size = 0
+
+        def done(t: pa.Table) -> Iterator[np.ndarray]:
+            cols = [t.column(i).to_numpy() for i in range(9)]
+            sketch = t.column(9).to_pylist()
+            ends = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
+            for a, b in zip([0, *ends.tolist()], [*ends.tolist(), t.num_rows], strict=True):
+                yield from pairs([c[a:b] for c in cols], sketch[a:b])
+
         for batch in batches:
-            if not batch.num_rows:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            tok, part = held.column(0).to_numpy(), held.column(1).to_numpy()
+            last = np.flatnonzero((tok != tok[-1]) | (part != part[-1])) if len(tok) else []
+            if not len(last):
                 continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            tok = cols[0]
-            new = np.ones(len(tok), bool)
-            new[1:] = tok[1:] != tok[:-1]
-            at = np.maximum.accumulate(np.where(new, np.arange(len(tok)), 0))
-            rep = [c[at] for c in cols]
-            if first is not None and tok[0] == first[0]:
-                goes_on = at == 0
-                rep = [np.where(goes_on, f, r) for f, r in zip(first, rep, strict=True)]
-            first = [r[-1] for r in rep]
-            other = cols[3] != rep[3]
-            n, m = cols[4].astype(np.int64), rep[4].astype(np.int64)
-            good = other & _possible(n, m, cols[5], rep[5]) & (np.maximum(n, m) > light)
-            names = ("tok", "doc", "line", "key", "n", "pos")
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-            out = {x: (c[other], t) for x, c, t in zip(names, cols, kinds, strict=True)}
-            out |= {f"rep_{x}": (c[other], t) for x, c, t in zip(names[1:], rep[1:], kinds[1:], strict=True)}
-            yield _arrow(**out, candidate=(good[other], pa.bool_()))
+            whole, held = held.slice(0, int(last[-1]) + 1), held.slice(int(last[-1]) + 1)
+            for x in done(whole):
+                found.append(x)
+                size += x.shape[1]
+                if size > 100_000:
+                    yield told(found)
+                    found, size = [], 0
+        for x in done(held) if held is not None and held.num_rows else ():
+            found.append(x)
+            size += x.shape[1]
+            if size > 100_000:
+                yield told(found)
+                found, size = [], 0
+        yield told(found)
 
     return of
 
 
-STARS = PREFIX + ", rep_doc long, rep_line int, rep_key long, rep_n int, rep_pos int, candidate boolean"
+def _shared(earlier: bool, light: int):
+    """For rows sorted by (tok, doc, line), of short lists: the pairs of a stray with a member that pass the
+    filters, each with how many elements it shares in the rows of a batch."""
+
+    def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
+        tok, key, doc, _, n, pos, stray, grp, late = cols
+        found = []
+        for d in range(1, SHORT):
+            i = np.flatnonzero(tok[:-d] == tok[d:])
+            if not len(i):
+                break
+            j = i + d
+            good = (stray[j] if earlier else stray[i] | stray[j]) & (grp[i] != grp[j]) & (np.maximum(n[i], n[j]) > light)
+            good &= _possible(n[i], n[j], pos[i], pos[j])
+            i, j = i[good], j[good]
+            swap = (key[i] > key[j]) & (not earlier)
+            found.append((np.where(swap, j, i), np.where(swap, i, j)))
+        i, j = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        order = np.lexsort((key[j], key[i]))
+        i, j = i[order], j[order]
+        new = np.concatenate([[True], (key[i][1:] != key[i][:-1]) | (key[j][1:] != key[j][:-1])]) if len(i) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        c = np.diff(np.append(at, len(i)))
+        i, j = i[at], j[at]
+        return _arrow(**{name: (v, pa.int64()) for name, v in (("a", key[i]), ("a_doc", doc[i]), ("b", key[j]), ("b_doc", doc[j]), ("a_n", n[i]), ("b_n", n[j]), ("c", c), ("late", np.minimum(late[i], late[j])))})
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        done = lambda t: pairs([t.column(k).to_numpy() for k in range(9)])
+        for batch in batches:
+            held = pa.Table.from_batches([*([] if held is None else held.to_batches()), batch])
+            if held.num_rows < GATHER:
+                continue
+            tok = held.column(0).to_numpy()
+            if len(last := np.flatnonzero(tok != tok[-1])):
+                yield done(held.slice(0, int(last[-1]) + 1))
+                held = held.slice(int(last[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield done(held)
 
-def lists(rows: DataFrame, light: int = 0) -> DataFrame:
-    """STARS rows of every inverted list with two classes at least: its members but the first, each
-    with the first and whether the two pass the filters. Written; lists of one class are gone."""
-    n = count_partitions(rows.sparkSession)
-    dealt = rows.repartition(n, "tok").sortWithinPartitions("tok", "doc", "line")
-    return stored(dealt.mapInArrow(_stars(light), STARS), "lists")
+    return of
 
 
-def possible(n: str, m: str, i: str, j: str) -> str:
-    """_possible() as SQL, of columns."""
-    return f"least({i}, {j}) + least({n} - {i}, {m} - {j}) >= ceil({SIMILAR} * ({n} + {m}) / {100 + SIMILAR}.0) and 100 * least({n}, {m}) >= {SIMILAR} * greatest({n}, {m})"
+#: Members of a list that one task takes at most; of a list whose pairs are counted; rows counted together.
+PART, SHORT, GATHER = 50_000, 10, 200_000
+
+
+def second_pairs(own: DataFrame, rows: DataFrame, earlier: bool, light: int = 0, best: bool = False) -> DataFrame:
+    """Pairs (a, a_doc, b, b_doc) of a stray with members of its lists. own: tok, key, doc, line, n, pos, stray,
+    grp of rivals; pairs within a grp aren't made. earlier: b is the stray and a comes before it.
+
+    In short lists the pairs are counted by how many prefix elements they share: all of the intersection up
+    to the end of the prefix that ends first is among them, and what lies beyond is less than 80 % of that
+    set. Elements in long lists count as shared. In long lists strays are compared with members by their
+    sketches; the members are dealt to parts and the strays go to each. With best, each class gets only
+    the pair that looks most alike: most are linked by it, and a second call pairs the rest."""
+    lists_ = own.groupBy("tok").agg(F.count("*").alias("m"), F.max(F.col("stray").cast("int")).alias("any")).filter("any = 1 and m > 1").drop("any")
+    own = stored(own.join(lists_, "tok"), "rivals")
+    late = own.filter(F.col("m") > SHORT).groupBy("key").agg(F.count("*").alias("late"))
+    n = count_partitions(own.sparkSession)
+    short = own.filter(F.col("m") <= SHORT).join(late, "key", "left")
+    short = short.select("tok", "key", "doc", F.col("line").cast("long"), F.col("n").cast("long"), F.col("pos").cast("long"), "stray", "grp", F.coalesce("late", F.lit(0)).cast("long").alias("late"))
+    short = short.repartition(n, "tok").sortWithinPartitions("tok", "doc", "line")
+    counted = short.mapInArrow(_shared(earlier, light), ", ".join(f"{c} long" for c in ("a", "a_doc", "b", "b_doc", "a_n", "b_n", "c", "late")))
+    counted = counted.groupBy("a", "b").agg(*[F.min(x).alias(x) for x in ("a_doc", "b_doc", "a_n", "b_n", "late")], F.sum("c").alias("c"))
+    least = f"ceil({SIMILAR} * (a_n + b_n) / {100 + SIMILAR}.0) - ceil({SIMILAR} * greatest(a_n, b_n) / 100.0) + 1"
+    counted = counted.filter(f"c + late >= {least}").select("c", "a", "a_doc", "b", "b_doc")
+    pair = F.struct("a", "a_doc", "b", "b_doc")
+    if best:
+        counted = stored(counted, "counted")
+        tops = [counted.groupBy(side).agg(F.max_by(pair, F.struct("c", "a", "b")).alias("x")).select("x.*") for side in (("b",) if earlier else ("a", "b"))]
+        counted = tops[0] if earlier else tops[0].union(tops[1]).distinct()
+    else:
+        counted = counted.drop("c")
+    long = own.filter(F.col("m") > SHORT).withColumn("parts", F.ceil(F.col("m") / PART))
+    long = long.join(_sketched(rows, long.select("key")).drop("n"), "key")
+    members = long.select("tok", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), F.lit(0).alias("probe"), "key", "doc", "line", "n", "pos", "grp", "sketch")
+    strays = long.filter("stray").select("tok", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"), "key", "doc", "line", "n", "pos", "grp", "sketch")
+    met = members.unionByName(strays).repartition(n, "tok", "part").sortWithinPartitions("tok", "part")
+    found = met.mapInArrow(_second(earlier, light, best), "far long, a long, a_doc long, b long, b_doc long")
+    if best:
+        found = found.groupBy(F.col("b").alias("of")).agg(F.min_by(pair, F.struct("far", "a")).alias("x")).select("x.*")
+    return counted.unionByName(found.select("a", "a_doc", "b", "b_doc"))
 
 
 def _fetch(lines: bool, k: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = set(pc.list_flatten(batch.column(2)).to_pylist())
-            for _, _, sets in units(batch, lines, k):
-                found = {}
-                for s in sets:
-                    if len(s) and (key := set_key(s)) in wanted:
-                        found[key] = s.tobytes()
-                yield _arrow(key=(list(found), pa.int64()), items=(list(found.values()), pa.binary()))
+            wanted = np.unique(pc.list_flatten(batch.column(2)).to_numpy(zero_copy_only=False))
+            for _, _, keys, bounds, flat in units(batch, lines, k):
+                _, first = np.unique(keys, return_index=True)
+                at = first[np.isin(keys[first], wanted) & (np.diff(bounds)[first] > 0)]
+                yield _arrow(key=(keys[at], pa.int64()), items=([flat[bounds[i] : bounds[i + 1]].tobytes() for i in at.tolist()], pa.binary()))
 
     return of
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches don't rule them out: linked sets have at most a ninth of their elements apart."""
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(4, 8)]
+        good = [(100 + SIMILAR) * apart(p, q) <= (100 - SIMILAR) * (n + m) for n, m, p, q in zip(*cols, strict=True)]
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        good, last, x = [], None, None
-        for p, q in zip(a, b, strict=True):
-            if p is not last:
-                last, x = p, np.frombuffer(p, np.uint64)
-            y = np.frombuffer(q, np.uint64)
-            s, t = (x, y) if len(x) <= len(y) else (y, x)
+        good = []
+        for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            s, t = sorted((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)), key=len)
             at = np.searchsorted(t, s)
             at[at == len(t)] = 0
             same = int((t[at] == s).sum())
-            good.append(100 * same >= SIMILAR * (len(x) + len(y) - same))
+            good.append(100 * same >= SIMILAR * (len(s) + len(t) - same))
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, lines: bool = False, k: int = SHINGLE) -> DataFrame:
+def _sketched(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, n, sketch of these classes."""
+    keys = stored(keys.distinct(), "keys")
+    return rows.join(small_or_shuffled(keys, keys.count()), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+
+
+def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, lines: bool = False, k: int = SHINGLE) -> DataFrame:
     """Those of the pairs (a, a_doc, b, b_doc: keys, and documents that hold them) that link, as
-    (a, b). Only the sets of classes in a pair are made again, from their own documents."""
-    pairs = stored(pairs.groupBy("a", "b").agg(F.min("a_doc").alias("a_doc"), F.min("b_doc").alias("b_doc")), "pairs")
+    (a, b). rows: of the survey. Pairs that their sketches rule out are gone before sets are made; these
+    are made again for the classes of the others only, from their own documents."""
+    pairs = stored(pairs.groupBy("a", "b").agg(F.min("a_doc").alias("a_doc"), F.min("b_doc").alias("b_doc")), "candidates")
+    known = _sketched(rows, pairs.select(F.col("a").alias("key")).union(pairs.select("b"))).withColumnRenamed("sketch", "s")
+    for side in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("key").alias(side), F.col("n").alias(f"{side}_n"), F.col("s").alias(f"{side}_s")), side)
+    pairs = stored(pairs.select("a", "b", "a_doc", "b_doc", "a_n", "b_n", "a_s", "b_s").mapInArrow(_near, "a long, b long, a_doc long, b_doc long"), "pairs")
     ends = pairs.select(F.col("a").alias("key"), F.col("a_doc").alias("doc")).unionByName(pairs.select(F.col("b").alias("key"), F.col("b_doc").alias("doc")))
     wanted = ends.groupBy("key").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("key").alias("keys"))  # as many as a document has units
     wanted = stored(wanted, "wanted")
     texts = docs.select(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)).alias("doc"), "text")
     texts = texts.join(small_or_shuffled(wanted, wanted.count()), "doc").select("doc", "text", "keys")
-    sets = stored(texts.mapInArrow(_fetch(lines, k), "key long, items binary").dropDuplicates(["key"]), "sets")
-    rows = pairs.select("a", "b").join(sets.select(F.col("key").alias("b"), F.col("items").alias("b_items")), "b")
-    rows = rows.join(sets.select(F.col("key").alias("a"), F.col("items").alias("a_items")), "a")
-    return stored(rows.select("a", "b", "a_items", "b_items").mapInArrow(_verify, "a long, b long"), "links")
+    sets = stored(texts.mapInArrow(_fetch(lines, k), "key long, items binary"), "sets")
+    met = pairs.select("a", "b").join(sets.select(F.col("key").alias("b"), F.col("items").alias("b_items")), "b")
+    met = met.join(sets.select(F.col("key").alias("a"), F.col("items").alias("a_items")), "a")
+    return stored(met.select("a", "b", "a_items", "b_items").mapInArrow(_verify, "a long, b long").distinct(), "links")
