@@ -30,7 +30,7 @@ BATCH = 16_384
 #: So many tasks' leftovers are packed together.
 FAN = 512
 #: Most distinct chunks whose ids a worker remembers, and the longest chunk that it does.
-CACHE, CHUNK = 1_000_000, 64
+CACHE, CHUNK = 1_600_000, 64
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -119,7 +119,9 @@ class Chunks:
         split = [self.split(t) for t in texts]
         wanted = set().union(*split) if split else set()
         if len(self.known) > CACHE:
-            self.known = {c: self.known[c] for c in wanted if c in self.known}
+            self.known = {c: v for c, v in self.known.items() if len(c) < 8 or c in wanted}  # short words come most
+            if len(self.known) > CACHE // 2:
+                self.known = {c: self.known[c] for c in wanted if c in self.known}
         known, long = self.known, []
         missing = [c for c in wanted if c not in known]
         stopped = [c for c in missing if c[-1:] in _STOPS and c[-2:-1].isalnum() and c[-2:-1] == c[-2:-1].lower()]
