@@ -26,7 +26,7 @@ def removed_lines(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     rows, hot = setjoin.survey(docs, lines=True, k=k)
     rows = rows.filter("n > 0")
     met = setjoin.lists(docs, rows, hot, lines=True, k=k)
-    pairs = met.filter("candidate").select(F.col("rep_key").alias("a"), F.col("rep_doc").alias("a_doc"), F.col("key").alias("b"), F.col("doc").alias("b_doc"))
+    pairs = setjoin.first_pairs(met)
     classes = stored(rows.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("members")), "classes")
 
     def later(links: DataFrame) -> DataFrame:
@@ -36,11 +36,13 @@ def removed_lines(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         return links.select(F.when(F.col("a_at") < F.col("b_at"), F.col("b")).otherwise(F.col("a")).alias("key")).distinct()
 
     gone = stored(later(setjoin.verified(pairs, rows, docs, lines=True, k=k)), "gone")
-    # A line that the first of its list isn't similar to may still be to another earlier one.
-    own = setjoin.rivals(met).join(gone.withColumn("gone", F.lit(True)), "key", "left")
-    own = stored(own.withColumn("stray", F.col("gone").isNull()).withColumn("grp", F.col("key")).drop("gone"), "rest")
-    pairs = setjoin.second_pairs(own, rows, earlier=True)
-    gone = gone.unionByName(later(setjoin.verified(pairs, rows, docs, lines=True, k=k))).distinct()
+    # A line that isn't similar to the one it was compared with may still be to another earlier one of
+    # its lists: first the one that looks most alike, then all of them.
+    members = stored(setjoin.rivals(met), "members")
+    for best in (True, False):
+        own = members.join(gone.withColumn("gone", F.lit(True)), "key", "left").withColumn("stray", F.col("gone").isNull()).withColumn("grp", F.col("key")).drop("gone")
+        more = setjoin.verified(setjoin.second_pairs(own, rows, True, best=best), rows, docs, lines=True, k=k).select(F.col("b").alias("key"))
+        gone = stored(gone.unionByName(more).distinct(), "gone")
     classes = classes.join(gone.withColumn("gone", F.lit(True)), "key", "left").filter("gone or members > 1")
     classes = stored(classes, "classes")
     rows = rows.drop("sketch")
