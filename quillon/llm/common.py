@@ -65,6 +65,15 @@ def small_or_shuffled(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
+#: What a Python worker keeps from task to task, by name.
+KEPT: dict[str, object] = {}
+
+
+def release() -> None:
+    """Drops what earlier stages left in this Python worker; stages that don't use it begin so."""
+    KEPT.clear()
+
+
 # --- words and shingles of Arrow batches -------------------------------------------------------
 
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

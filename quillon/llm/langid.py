@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release
+
 #: Features, and the most rows that are learned from in all.
 DIM, TRAIN_ROWS = 4096, 4000
 #: Bytes of text that are worked on together.
@@ -186,6 +188,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
 
 def _predictor(shared, text_at: int, drop_text: bool):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 512):

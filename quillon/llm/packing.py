@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import KEPT, stored
 
 WINDOW = 4096
 BATCH = 16_384
@@ -150,7 +150,6 @@ class Chunks:
 
 _STOPS = (".", ",")
 _PACK = [struct.Struct(f"<{n}I") for n in range(64)]
-_CHUNKS: dict[str, Chunks] = {}  # by path; a worker keeps it from task to task
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -166,9 +165,9 @@ def _packer(path: str, window: int, end_id: int):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        if path not in _CHUNKS:
-            _CHUNKS[path] = Chunks(path)
-        chunks = _CHUNKS[path]
+        if path not in KEPT:
+            KEPT[path] = Chunks(path)
+        chunks = KEPT[path]
         number = TaskContext.get().partitionId() << 40
         rest: list[tuple] = []
 

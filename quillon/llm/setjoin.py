@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SIMILAR, compact, count_partitions, dealt, mix, opened, set_keys, signed, small_or_shuffled, squeezed, stored, text_sets
+from .common import SHINGLE, SIMILAR, compact, count_partitions, dealt, mix, opened, release, set_keys, signed, small_or_shuffled, squeezed, stored, text_sets
 
 #: An element is counted where at least LOCAL sets of a batch have it; HOT: the count from which it
 #: comes late in the order; HOT_LIST: the most elements that are ordered so (they go by broadcast).
@@ -36,6 +36,7 @@ ROWS, BUCKET = 2000, 700_000
 def units(batch: pa.RecordBatch, lines: bool, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(doc ids, line numbers, keys, bounds of the sets, sets) of slices of a batch with columns doc_id
     and text."""
+    release()
     for i in range(0, batch.num_rows, ROWS):
         part = batch.slice(i, ROWS)
         ids = pc.fill_null(part.column(0), np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
