@@ -1,7 +1,8 @@
 """Named queries, each a function of (spark, folder of the tables), and the DuckDB SQL that checks them.
 
 Sums and averages of doubles are rounded on both sides, since their last bits depend on the order of
-addition.
+addition; moving averages to nine decimals, where no mean of up to 200 values with two decimals lies on
+a rounding boundary.
 """
 
 from __future__ import annotations
@@ -159,9 +160,9 @@ def _window(name: str, func: str, w: int) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = table(spark, sf_dir, "events").select("event_id", "ts", "value")
-        return O.rolling(rows, "ts", [(func, "value", w, "x")], "event_id").select("event_id", F.round("x", 6).alias("x"))
+        return O.rolling(rows, "ts", [(func, "value", w, "x")], "event_id").select("event_id", F.round("x", 9).alias("x"))
 
-    QUERIES[name], ORACLE[name] = run, f"SELECT event_id, round({sql}, 6) AS x FROM events"
+    QUERIES[name], ORACLE[name] = run, f"SELECT event_id, round({sql}, 9) AS x FROM events"
 
 
 for _name, _func, _w in (("window_sma_20", "SMA", 20), ("window_sma_200", "SMA", 200), ("window_std_20", "ROLLING_STD", 20), ("window_std_200", "ROLLING_STD", 200),
@@ -169,21 +170,21 @@ for _name, _func, _w in (("window_sma_20", "SMA", 20), ("window_sma_200", "SMA",
     _window(_name, _func, _w)
 
 
-@query("""SELECT event_id, round(avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6) AS a,
-    round(stddev_pop(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS s FROM events""")
+@query("""SELECT event_id, round(avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 9) AS a,
+    round(stddev_pop(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 9) AS s FROM events""")
 def window_multi(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "ts", "value")
-    return O.rolling(rows, "ts", [("SMA", "value", 50, "a"), ("ROLLING_STD", "value", 20, "s")], "event_id").select("event_id", F.round("a", 6).alias("a"), F.round("s", 6).alias("s"))
+    return O.rolling(rows, "ts", [("SMA", "value", 50, "a"), ("ROLLING_STD", "value", 20, "s")], "event_id").select("event_id", F.round("a", 9).alias("a"), F.round("s", 9).alias("s"))
 
 
 statement("window_partitioned", "SELECT event_id, SMA(price, 10) OVER (PARTITION BY symbol ORDER BY ts ROWS 10 PRECEDING) AS a, ROLLING_STD(price) OVER (PARTITION BY symbol ORDER BY ts ROWS 5 PRECEDING) AS s FROM ticks",
-          """SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS a,
-             round(stddev_pop(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS s FROM events""", a=6, s=6)
+          """SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 9) AS a,
+             round(stddev_pop(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 9) AS s FROM events""", a=9, s=9)
 statement("window_ema_partitioned", "SELECT event_id, EMA(price, 5) OVER (PARTITION BY symbol ORDER BY ts ROWS 5 PRECEDING) AS e FROM ticks",
           f"""SELECT event_id, round(list_reduce(list(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN {ema_depth(5)} PRECEDING AND CURRENT ROW),
-              lambda a, x: {2 / 6!r} * x + {1 - 2 / 6!r} * a), 6) AS e FROM events""", e=6)
+              lambda a, x: {2 / 6!r} * x + {1 - 2 / 6!r} * a), 9) AS e FROM events""", e=9)
 statement("window_dialect_sma", "SELECT ts, SMA(price, 20) OVER (ORDER BY ts ROWS 20 PRECEDING) AS a FROM ticks WHERE symbol < 40",
-          "SELECT ts, round(avg(value) OVER (ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS a FROM events WHERE user_id < 40", a=6)
+          "SELECT ts, round(avg(value) OVER (ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 9) AS a FROM events WHERE user_id < 40", a=9)
 
 # --- joins --------------------------------------------------------------------------------------------
 
@@ -334,12 +335,12 @@ def ring_committed(spark, sf_dir):
     return spark.createDataFrame([(_filled(spark, sf_dir).committed_rows(),)], "committed long")
 
 
-@query("""SELECT event_id, round(avg(value) OVER (ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS sma
+@query("""SELECT event_id, round(avg(value) OVER (ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 9) AS sma
     FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 1500)""")
 def tick_sma_snapshot(spark, sf_dir):
     from .streaming import continuous_sma
 
-    return continuous_sma(_filled(spark, sf_dir), "value", 20).select("event_id", F.round("sma", 6).alias("sma"))
+    return continuous_sma(_filled(spark, sf_dir), "value", 20).select("event_id", F.round("sma", 9).alias("sma"))
 
 
 def _filled(spark, sf_dir):
