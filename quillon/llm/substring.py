@@ -7,8 +7,9 @@ the hashes is the window [l, r] with its least hash at c, and stands for all sub
 2 n / length of them for each of HASHES functions.
 
 Windows of different documents with one least hash meet in its first document (within a cell of
-documents first, so that a passage that a third of the documents share doesn't meet in one task). For
-two documents that meet, the windows' intervals are joined: where at least NEED hash functions agree on
+documents first, so that a passage that a third of the documents share doesn't meet in one task). Where
+a document repeats a hash, each of its windows meets the stretch that the first document's windows with
+it span. For two documents that meet, the windows' intervals are joined: where at least NEED hash functions agree on
 an interval long enough, it is compared word by word: the shared shingles form runs, and a run (or what
 remains when it is parted at its gaps) is a passage if it and its counterpart have a Jaccard similarity
 of 0.8 or more and SHORTEST words.
@@ -20,6 +21,7 @@ give rows without passages; an empty table gives no rows; other columns are igno
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,15 +66,18 @@ def _runs(texts: pa.Array) -> Iterator[np.ndarray]:
 _FIELDS = ("v", "doc", "l", "r")
 
 
-def _first_of(v, doc, *rest) -> tuple[np.ndarray, ...]:
-    """Sorted by (v, doc), one row for each; and at which row each v begins."""
-    order = np.lexsort((doc, v))
-    v, doc, *rest = (x[order] for x in (v, doc, *rest))
-    new_v = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, bool)
-    keep = new_v | np.concatenate([[True], doc[1:] != doc[:-1]]) if len(v) else new_v
-    v, doc, *rest = (x[keep] for x in (v, doc, *rest))
-    new_v = new_v[keep]
-    return v, doc, *rest, np.maximum.accumulate(np.where(new_v, np.arange(len(v)), 0)) if len(v) else np.zeros(0, np.int64)
+def _stars(v, doc, l, r, *rest) -> tuple[tuple[np.ndarray, ...], np.ndarray, tuple[np.ndarray, ...]]:
+    """The windows sorted by (v, doc); which of them belong to the first document of their v; and of that
+    document the number and from where to where its windows with that v reach."""
+    order = np.lexsort((l, doc, v))
+    v, doc, l, r, *rest = (x[order] for x in (v, doc, l, r, *rest))
+    if not len(v):
+        return (v, doc, l, r, *rest), np.zeros(0, bool), (doc, l, r)
+    begin = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    own = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(v))))
+    first = doc == doc[begin][own]
+    low, high = (f.reduceat(np.where(first, x, y), begin)[own] for f, x, y in ((np.minimum, l, np.iinfo(np.int64).max), (np.maximum, r, -1)))
+    return (v, doc, l, r, *rest), first, (doc[begin][own], low, high)
 
 
 def _blocks(shortest: int, hashes: int, buckets: int):
@@ -98,10 +103,9 @@ def _blocks(shortest: int, hashes: int, buckets: int):
                 if not vs:
                     continue
                 w = np.concatenate(spans)
-                v, doc, l, r, head = _first_of(np.concatenate(vs), np.concatenate(docs), w[:, 0], w[:, 2])
-                first = head == np.arange(len(v))
+                (v, doc, l, r), first, star = _stars(np.concatenate(vs), np.concatenate(docs), w[:, 0], w[:, 2])
                 met = ~first
-                rows = [(-1, [x[met] for x in (v, doc, l, r)], [x[head[met]] for x in (doc, l, r)])] if met.any() else []
+                rows = [(-1, [x[met] for x in (v, doc, l, r)], [x[met] for x in star])] if met.any() else []
                 v, doc, l, r = (x[first] for x in (v, doc, l, r))
                 rows += [(b, [x[own] for x in (v, doc, l, r)], []) for b, own in dealt(((v >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), buckets)]
                 yield pa.RecordBatch.from_pydict({
@@ -124,26 +128,27 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     rest = pdf[~pdf["local"]]
     if len(rest):
         v = np.concatenate([np.frombuffer(b, np.uint64) for b in rest["v"]])
-        v, doc, l, r, head = _first_of(v, *(np.concatenate([opened(b) for b in rest[n]]) for n in _FIELDS[1:]))
-        met = head != np.arange(len(v))
-        out.append((doc[met], l[met], r[met], doc[head[met]], l[head[met]], r[head[met]], v[met].view(np.int64)))
+        (v, doc, l, r), first, star = _stars(v, *(np.concatenate([opened(b) for b in rest[n]]) for n in _FIELDS[1:]))
+        out.append((*(x[~first] for x in (doc, l, r, *star)), v[~first].view(np.int64)))
     return pd.DataFrame({n: np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i, n in enumerate(("doc", "l", "r", "other", "ol", "orr", "hash"))})
 
 
 def agreed(windows: list[dict], shortest: int, need: int) -> list[tuple[int, int, int, int]]:
-    """Intervals of a document (from, to, and the other's from, to) that at least need windows, so many
-    hashes, hold at every position; neighbours are joined."""
+    """Intervals of a document (from, to, and the other's from, to) that windows of at least need distinct
+    hashes hold at every position; neighbours are joined."""
     events = sorted([(w["l"], 0, w) for w in windows] + [(w["r"] + 1, 1, w) for w in windows], key=lambda e: e[:2])
-    out, live, begin, span = [], 0, None, []
+    out, live, begin, span = [], Counter(), None, []
     for at, end, w in events:
         if not end:
-            live += 1
+            live[w["hash"]] += 1
             span.append(w)
-            if live >= need and begin is None:
+            if len(live) >= need and begin is None:
                 begin = at
         else:
-            live -= 1
-            if live < need and begin is not None:
+            live[w["hash"]] -= 1
+            if not live[w["hash"]]:
+                del live[w["hash"]]
+            if len(live) < need and begin is not None:
                 if at - begin >= shortest:
                     held = [x for x in span if x["r"] >= begin and x["l"] < at]
                     out.append((begin, at - 1, min(x["ol"] for x in held), max(x["orr"] for x in held)))
@@ -160,12 +165,20 @@ def passages(a: np.ndarray, b: np.ndarray, a_at: int, b_at: int, shortest: int)
     hit = np.flatnonzero(hi > lo)
     if not len(hit):
         return []
-    # Of the places where the other has a shingle, that next to the place before.
-    place, near = np.empty(len(hit), dtype=np.int64), None
-    for i, p in enumerate(hit.tolist()):
+    # Of the places where the other has a shingle, that next to the place before; but where none goes on
+    # from there, the one that leads to the next shingle with a single place.
+    place, near, at = np.empty(len(hit), dtype=np.int64), None, hit.tolist()
+    single = np.where((hi - lo)[hit] == 1, np.arange(len(hit)), len(hit))
+    ahead = np.minimum.accumulate(single[::-1])[::-1].tolist()
+    for i, p in enumerate(at):
         s = order[lo[p] : hi[p]]
-        place[i] = s[0] if near is None else s[np.abs(s - near - (p - hit[i - 1])).argmin()]
-        near = place[i]
+        off = None if near is None else np.abs(s - near - (p - at[i - 1]))
+        k = 0 if off is None else off.argmin()
+        if len(s) > 1 and (off is None or off[k]) and ahead[i] < len(hit):
+            q = at[ahead[i]]
+            leads = np.flatnonzero(s == order[lo[q]] - (q - p))
+            k = leads[0] if len(leads) else k
+        near = place[i] = s[k]
     gap = np.diff(hit) - 1 + np.abs(np.diff(place) - np.diff(hit))
     out, todo = [], [(i, j) for i, j in zip([0, *(np.flatnonzero(gap > GAP) + 1).tolist()], [*(np.flatnonzero(gap > GAP) + 1).tolist(), len(hit)], strict=True)]
     while todo:
@@ -222,7 +235,7 @@ def repeats(docs: DataFrame, shortest: int = SHORTEST, hashes: int = HASHES, nee
     buckets = max(8, -(-size * 2 * hashes // (6 * n * BUCKET)))  # a word has about six bytes
     blocks = rows.mapInArrow(_blocks(n, hashes, buckets), BLOCKS)
     met = blocks.groupBy("bucket").applyInPandas(_meet, MEETINGS)
-    met = met.groupBy("doc", "other").agg(F.collect_list(F.struct("l", "r", "ol", "orr")).alias("w")).filter(F.size("w") >= need)  # as many as the document has windows
+    met = met.groupBy("doc", "other").agg(F.collect_list(F.struct("l", "r", "ol", "orr", "hash")).alias("w")).filter(F.size(F.array_distinct("w.hash")) >= need)  # as many as the document has windows
     spans = stored(met.mapInArrow(_agree(n, need), "doc long, other long, span array<int>"), "agreed")
     spans = spans.groupBy("doc", "other").agg(F.collect_list("span").alias("spans"))
     needed = stored(spans.select("doc").union(spans.select("other")).distinct(), "needed")

@@ -253,3 +253,15 @@ def test_substring_of_the_corpus_finds_every_long_exact_repeat(documents, corpus
     for ids in where.values():
         if len(ids) > 1:
             assert all(got[i] >= 50 for i in ids)
+
+
+def test_passages_around_a_line_that_their_documents_repeat(spark):
+    # The passage begins or ends with a line that both documents hold at other places too.
+    rng = random.Random(5)
+    rows = []
+    for i in range(0, 60, 2):
+        line, rest = prose(rng, 25, 9000), prose(rng, 28, 9000)
+        shared = f"{line} {rest}" if i % 4 else f"{rest} {line}"
+        rows += [(i + k, " ".join([prose(rng, 30, 9000), line, prose(rng, 60, 9000), line, prose(rng, 60, 9000), shared, prose(rng, 60, 9000), line, prose(rng, 60, 9000)])) for k in (0, 1)]
+    got = {r["doc_id"]: r["n_repeated"] for r in substring.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, _ in rows if got[i] < 53] == []
