@@ -14,6 +14,12 @@ an interval long enough, it is compared word by word: the shared shingles form r
 remains when it is parted at its gaps) is a passage if it and its counterpart have a Jaccard similarity
 of 0.8 or more and SHORTEST words.
 
+Documents that the first one leaves apart (it has only a frequent line of their passage) meet in a second
+step: a window that met is keyed by its least hash together with each STEP-th shingle beside it that no
+verified passage covers, and windows of one key meet in the first document that has it. A passage holds
+such a place wherever it goes beyond the line, so a window gives at most 2 length / STEP rows and no list
+is paired with itself.
+
 Defined cases: a null, empty or short text has no passage; rows that repeat a doc_id are one document,
 whose passages are taken from all of them; repeats within a document don't count; rows with a null doc_id
 give rows without passages; an empty table gives no rows; other columns are ignored.
@@ -31,13 +37,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SIMILAR, dealt, mix, opened, shingle_hashes, small_or_shuffled, split_words, squeezed, stored, word_hashes
+from .common import _A, _B, SHINGLE, SIMILAR, dealt, mix, opened, shingle_hashes, small_or_shuffled, split_words, squeezed, stored, word_hashes
 
 #: Words of the shortest passage; hash functions, and how many must agree.
 SHORTEST, HASHES, NEED = 50, 6, 2
 CELL_BYTES, BUCKET = 14 << 20, 1_500_000
 #: Shingles between two shared ones that a run bridges.
 GAP = SHINGLE + 3
+#: Shingles from one place beside a least hash to the next that the second step looks at.
+STEP = 3
+#: Documents with open windows that are broadcast at most.
+OPEN_ROWS = 20_000
 
 
 def compact_windows(a: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
@@ -67,17 +77,22 @@ _FIELDS = ("v", "doc", "l", "r")
 
 
 def _stars(v, doc, l, r, *rest) -> tuple[tuple[np.ndarray, ...], np.ndarray, tuple[np.ndarray, ...]]:
-    """The windows sorted by (v, doc); which of them belong to the first document of their v; and of that
-    document the number and from where to where its windows with that v reach."""
-    order = np.lexsort((l, doc, v))
+    """The windows sorted by (v, doc); which of them belong to the first document of their v; and for each of
+    the others that document and from where to where its windows with that v reach."""
+    order = np.lexsort((doc, v))
     v, doc, l, r, *rest = (x[order] for x in (v, doc, l, r, *rest))
-    if not len(v):
-        return (v, doc, l, r, *rest), np.zeros(0, bool), (doc, l, r)
-    begin = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-    own = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(v))))
-    first = doc == doc[begin][own]
-    low, high = (f.reduceat(np.where(first, x, y), begin)[own] for f, x, y in ((np.minimum, l, np.iinfo(np.int64).max), (np.maximum, r, -1)))
-    return (v, doc, l, r, *rest), first, (doc[begin][own], low, high)
+    first = np.ones(len(v), dtype=bool)
+    begin = np.flatnonzero(np.concatenate([first[:1], v[1:] != v[:-1]]))
+    n = np.diff(np.append(begin, len(v)))
+    at, begin, n = np.flatnonzero(np.repeat(n > 1, n)), begin[n > 1], n[n > 1]  # most windows are alone
+    if not len(at):
+        return (v, doc, l, r, *rest), first, (doc[:0], l[:0], r[:0])
+    own, heads = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    head = doc[begin][own]
+    first[at] = same = doc[at] == head
+    low = np.minimum.reduceat(np.where(same, l[at], np.iinfo(np.int64).max), heads)[own]
+    high = np.maximum.reduceat(np.where(same, r[at], -1), heads)[own]
+    return (v, doc, l, r, *rest), first, (head[~same], low[~same], high[~same])
 
 
 def _blocks(shortest: int, hashes: int, buckets: int):
@@ -105,7 +120,7 @@ def _blocks(shortest: int, hashes: int, buckets: int):
                 w = np.concatenate(spans)
                 (v, doc, l, r), first, star = _stars(np.concatenate(vs), np.concatenate(docs), w[:, 0], w[:, 2])
                 met = ~first
-                rows = [(-1, [x[met] for x in (v, doc, l, r)], [x[met] for x in star])] if met.any() else []
+                rows = [(-1, [x[met] for x in (v, doc, l, r)], list(star))] if met.any() else []
                 v, doc, l, r = (x[first] for x in (v, doc, l, r))
                 rows += [(b, [x[own] for x in (v, doc, l, r)], []) for b, own in dealt(((v >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), buckets)]
                 yield pa.RecordBatch.from_pydict({
@@ -123,14 +138,88 @@ MEETINGS = "doc long, l int, r int, other long, ol int, orr int, hash long"
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
+    # In the second step v are keys, and hash has what tells the least hashes apart.
+    hashes = (lambda x: opened(x.hash)) if "hash" in pdf else (lambda x: np.frombuffer(x.v, np.int64))
     for x in pdf[pdf["local"]].itertuples():
-        out.append((*(opened(b) for b in (x.doc, x.l, x.r, x.first_doc, x.first_l, x.first_r)), np.frombuffer(x.v, np.uint64).view(np.int64)))
+        out.append((*(opened(b) for b in (x.doc, x.l, x.r, x.first_doc, x.first_l, x.first_r)), hashes(x)))
     rest = pdf[~pdf["local"]]
     if len(rest):
         v = np.concatenate([np.frombuffer(b, np.uint64) for b in rest["v"]])
-        (v, doc, l, r), first, star = _stars(v, *(np.concatenate([opened(b) for b in rest[n]]) for n in _FIELDS[1:]))
-        out.append((*(x[~first] for x in (doc, l, r, *star)), v[~first].view(np.int64)))
-    return pd.DataFrame({n: np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i, n in enumerate(("doc", "l", "r", "other", "ol", "orr", "hash"))})
+        order = np.argsort(v)
+        again = np.concatenate([[False], v[order[1:]] == v[order[:-1]]])
+        order = order[again | np.append(again[1:], False)]  # without windows that are alone
+        cols = [np.concatenate([opened(b) for b in rest[n]])[order] for n in _FIELDS[1:]]
+        (_, doc, l, r, h), first, star = _stars(v[order], *cols, np.concatenate([hashes(x) for x in rest.itertuples()])[order])
+        out.append((*(x[~first] for x in (doc, l, r)), *star, h[~first]))
+    return pd.DataFrame({n: np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i, n in enumerate(("doc", "l", "r", "other", "ol", "orr", "hash"))}).drop_duplicates()
+
+
+def _unmix(x: np.ndarray) -> np.ndarray:
+    """What mix made x of."""
+    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * np.uint64(pow(int(_B), -1, 1 << 64))
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * np.uint64(pow(int(_A), -1, 1 << 64))
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
+def _beside(shortest: int, hashes: int, buckets: int):
+    """Blocks of the second step: for each least hash of a document (doc, spans, text; and the hashes with
+    from where to where their windows reach), and each place beside it that no verified passage covers, a
+    key of the hash, the distance and the shingle."""
+    seeds = np.concatenate([mix(np.array([977 + j], dtype=np.uint64)) for j in range(hashes)])
+    reach = np.arange(1 - shortest, shortest)
+    reach = reach[(reach % STEP == 0) & (reach != 0)]
+    odd = mix(reach.astype(np.int64).view(np.uint64))
+
+    def keys(doc: int, v: np.ndarray, l: np.ndarray, r: np.ndarray, spans: list[dict] | None, run: np.ndarray) -> tuple[np.ndarray, ...]:
+        free = np.ones(len(run), dtype=bool)
+        for x in spans or ():
+            free[x["start"] : x["start"] + x["words"] - SHINGLE + 1] = False
+        # The places of each hash: its shingle under one of the functions.
+        q = (_unmix(v)[:, None] ^ seeds).ravel()
+        order = np.argsort(q, kind="stable")
+        lo = np.searchsorted(q[order], run)
+        n = np.searchsorted(q[order], run, "right") - lo
+        c = np.repeat(np.arange(len(run)), n)
+        own = order[np.arange(len(c)) - np.repeat(np.cumsum(n) - n - lo, n)] // hashes
+        held = (c >= l[own]) & (c <= r[own])
+        c, own = c[held], own[held]
+        p = c[:, None] + reach
+        good = (p >= l[own][:, None]) & (p <= np.minimum(r[own], len(run) - 1)[:, None])
+        good &= free[np.where(good, p, 0)] if len(run) else False
+        i, j = np.nonzero(good)
+        at = own[i]
+        return mix(mix(v[at] + odd[j]) ^ run[p[i, j]]), np.full(len(i), doc), l[at], r[at], (v[at] >> np.uint64(32)).astype(np.int64)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                docs, spans, windows = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3)
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(windows).to_numpy(zero_copy_only=False))]).tolist()
+                l, r, v = (pc.struct_field(pc.list_flatten(windows), i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+                found = []
+                for i, run in enumerate(_runs(part.column(2))):
+                    w = slice(ends[i], ends[i + 1])
+                    found.append(keys(docs[i], v[w].view(np.uint64), l[w], r[w], spans[i], run))
+                if not sum(len(k[0]) for k in found):
+                    continue
+                (v, doc, l, r, h), first, star = _stars(*(np.concatenate(c) for c in zip(*found, strict=True)))
+                met = np.flatnonzero(~first)
+                if len(met):  # of a window's keys that meet one document, one
+                    order = np.lexsort((*star[::-1], h[met], r[met], l[met], doc[met]))
+                    cols = [*(x[met][order] for x in (doc, l, r, h)), *(x[order] for x in star)]
+                    order = order[np.concatenate([[True], np.any([x[1:] != x[:-1] for x in cols], axis=0)])]
+                rows = [(-1, [x[met][order] for x in (v, doc, l, r, h)], [x[order] for x in star])] if len(met) else []
+                v, doc, l, r, h = (x[first] for x in (v, doc, l, r, h))
+                rows += [(b, [x[own] for x in (v, doc, l, r, h)], []) for b, own in dealt((v % np.uint64(buckets)).astype(np.int64), buckets)]
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array([int(x[0][0] % np.uint64(buckets)) if b < 0 else b for b, x, _ in rows], pa.int64()), "local": pa.array([b < 0 for b, _, _ in rows]),
+                    **{n: pa.array([x[1][i].tobytes() if i == 0 else squeezed(x[1][i]) for x in rows], pa.binary()) for i, n in enumerate(_FIELDS)},
+                    **{f"first_{n}": pa.array([squeezed(x[2][i]) if x[2] else None for x in rows], pa.binary()) for i, n in enumerate(_FIELDS[1:])},
+                    "hash": pa.array([squeezed(x[1][4]) for x in rows], pa.binary()),
+                })
+
+    return of
 
 
 def agreed(windows: list[dict], shortest: int, need: int) -> list[tuple[int, int, int, int]]:
@@ -200,11 +289,12 @@ def _agree(shortest: int, need: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, other, spans = [], [], []
-            for d, o, windows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for s in agreed(windows, shortest, need):
-                    doc.append(d)
-                    other.append(o)
-                    spans.append(list(s))
+            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
+                for d, o, windows in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    for s in agreed(windows, shortest, need):
+                        doc.append(d)
+                        other.append(o)
+                        spans.append(list(s))
             yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "other": pa.array(other, pa.int64()), "span": pa.array(spans, pa.list_(pa.int32()))})
 
     return of
@@ -234,8 +324,33 @@ def repeats(docs: DataFrame, shortest: int = SHORTEST, hashes: int = HASHES, nee
     size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     buckets = max(8, -(-size * 2 * hashes // (6 * n * BUCKET)))  # a word has about six bytes
     blocks = rows.mapInArrow(_blocks(n, hashes, buckets), BLOCKS)
+    met = stored(_together(blocks), "met")
+    found = _verified(met, rows, n, need)
+    # Second step: what no passage covers of windows that met, by the shingles beside their least hash.
+    # Lists of two documents are done.
+    w = met.select("doc", "other", F.explode("w").alias("x")).select("doc", "other", "x.*")
+    lists = stored(w.groupBy("hash").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("hash"), "lists")
+    w = w.join(small_or_shuffled(lists, lists.count()), "hash", "left_semi")
+    w = w.select("doc", "l", "r", "hash").union(w.select("other", "ol", "orr", "hash"))
+    w = w.groupBy("doc", "hash").agg(F.min("l").alias("l"), F.max("r").alias("r"))
+    spans = found.select("doc", "start", "words").union(found.select("other", "other_start", "other_words"))
+    spans = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "words")).alias("spans"))
+    covered = F.expr(f"exists(spans, x -> x.start <= l and x.start + x.words - {SHINGLE} >= r)")
+    w = w.join(spans, "doc", "left").filter(~F.coalesce(covered, F.lit(False)))
+    w = stored(w.groupBy("doc").agg(F.first("spans").alias("spans"), F.collect_list(F.struct("l", "r", "hash")).alias("windows")), "open")
+    open_ = rows.join(small_or_shuffled(w, w.count(), limit=OPEN_ROWS), "doc").select("doc", "spans", "text", "windows")
+    more = _together(open_.mapInArrow(_beside(n, hashes, buckets), BLOCKS + ", hash binary"))
+    return found.unionByName(_verified(more, rows, n, need))
+
+
+def _together(blocks: DataFrame) -> DataFrame:
+    """doc, other, and the windows w with which they meet."""
     met = blocks.groupBy("bucket").applyInPandas(_meet, MEETINGS)
-    met = met.groupBy("doc", "other").agg(F.collect_list(F.struct("l", "r", "ol", "orr", "hash")).alias("w")).filter(F.size(F.array_distinct("w.hash")) >= need)  # as many as the document has windows
+    return met.groupBy("doc", "other").agg(F.collect_list(F.struct("l", "r", "ol", "orr", "hash")).alias("w"))
+
+
+def _verified(met: DataFrame, rows: DataFrame, n: int, need: int) -> DataFrame:
+    met = met.filter(F.size(F.array_distinct("w.hash")) >= need)  # as many as the document has windows
     spans = stored(met.mapInArrow(_agree(n, need), "doc long, other long, span array<int>"), "agreed")
     spans = spans.groupBy("doc", "other").agg(F.collect_list("span").alias("spans"))
     needed = stored(spans.select("doc").union(spans.select("other")).distinct(), "needed")

@@ -265,3 +265,15 @@ def test_passages_around_a_line_that_their_documents_repeat(spark):
         rows += [(i + k, " ".join([prose(rng, 30, 9000), line, prose(rng, 60, 9000), line, prose(rng, 60, 9000), shared, prose(rng, 60, 9000), line, prose(rng, 60, 9000)])) for k in (0, 1)]
     got = {r["doc_id"]: r["n_repeated"] for r in substring.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [i for i, _ in rows if got[i] < 53] == []
+
+
+def test_passages_that_hold_a_line_of_many_earlier_documents(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(0, 4000, 100):
+        line = prose(rng, 38, 9000)
+        rows += [(i + k, f"{prose(rng, 80, 9000)} {line} {prose(rng, 80, 9000)}") for k in range(12)]
+        shared = f"{prose(rng, 8, 9000)} {line} {prose(rng, 8, 9000)}"
+        rows += [(i + k, f"{prose(rng, 80, 9000)} {shared} {prose(rng, 80, 9000)}") for k in (50, 51)]
+    got = {r["doc_id"]: r["n_repeated"] for r in substring.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert [i for i, _ in rows if i % 100 >= 50 and got[i] < 54] == [] and not any(got[i] for i, _ in rows if i % 100 < 50)
