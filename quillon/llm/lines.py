@@ -2,10 +2,12 @@
 
 A line's set has its word shingles (five words; a shorter line is one). Lines are joined as in
 setjoin: elements by rarity, prefix, length and positional filters, then the exact Jaccard test. A line
-goes if an earlier one, by (doc_id, line number), has a similar or equal set.
+goes if an earlier one, by (doc_id, line number), has a similar or equal set. Of two texts under one
+doc_id, lines of the same number are ordered by hashes.
 
 Defined cases: blank lines have no set and stay; a null text stays null and has no lines; rows that
-repeat a doc_id are one document, so their equal lines stay together; a null doc_id is the last; an
+repeat a doc_id with its text are one document, so their equal lines stay together, different texts are
+documents of their own; a null doc_id is the last; an
 empty table gives no rows; other columns are kept as they are.
 """
 
@@ -22,17 +24,18 @@ _LAST = np.iinfo(np.int64).max
 
 
 def removed_lines(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc (doc_id, or the largest long for null) and removed (its line numbers that go, from 0)."""
+    """doc (doc_id, or the largest long for null), src (a hash of its text) and removed (its line numbers
+    that go, from 0)."""
     rows, hot = setjoin.survey(docs, lines=True, k=k)
     rows = rows.filter("n > 0")
     met = setjoin.lists(docs, rows, hot, lines=True, k=k)
     pairs = setjoin.first_pairs(met)
-    classes = stored(rows.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("members")), "classes")
+    classes = stored(rows.groupBy("key").agg(F.min(F.struct("doc", "line", "src")).alias("first"), F.count("*").alias("members")), "classes")
 
     def later(links: DataFrame) -> DataFrame:
         """The class of each link that comes later."""
         for side in ("a", "b"):
-            links = links.join(classes.select(F.col("key").alias(side), F.struct("first", "key").alias(f"{side}_at")), side)
+            links = links.join(classes.select(F.col("key").alias(side), F.struct("first.doc", "first.line", "key").alias(f"{side}_at")), side)
         return links.select(F.when(F.col("a_at") < F.col("b_at"), F.col("b")).otherwise(F.col("a")).alias("key")).distinct()
 
     gone = stored(later(setjoin.verified(pairs, rows, docs, lines=True, k=k)), "gone")
@@ -46,16 +49,16 @@ def removed_lines(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     classes = classes.join(gone.withColumn("gone", F.lit(True)), "key", "left").filter("gone or members > 1")
     classes = stored(classes, "classes")
     rows = rows.drop("sketch")
-    out = attach(rows, classes, "key", "members", rows.count(), "inner").filter("gone or doc <> first.doc or line <> first.line")
-    return stored(out.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
+    out = attach(rows, classes, "key", "members", rows.count(), "inner").filter("gone or doc <> first.doc or line <> first.line or src <> first.src")
+    return stored(out.groupBy("doc", "src").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
 
 
 def dedup(docs: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines gone from the text, and n_lines, removed_lines (their numbers, from 0)."""
     gone = removed_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), k)
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("removed").alias("removed_lines"))
+    gone = gone.select(F.col("doc").alias("_doc"), F.col("src").alias("_src"), F.col("removed").alias("removed_lines"))
     lines = F.split(text_col, "\n", -1)
-    out = docs.join(small_or_shuffled(gone, gone.count()), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("_doc"), "left").drop("_doc")
+    out = docs.join(small_or_shuffled(gone, gone.count()), (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("_doc")) & (F.xxhash64(text_col) == F.col("_src")), "left").drop("_doc", "_src")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
     out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn(text_col, F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(kept))
     return out.withColumn("removed_lines", F.when(F.col(text_col).isNotNull(), F.coalesce("removed_lines", F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>")))

@@ -81,9 +81,11 @@ def _survey(lines: bool, k: int, local: int):
         for batch in batches:
             seen: set[int] = set()
             parts = []
-            for ids, line, keys, bounds, flat in units(batch, lines, k):
+            hashes = batch.column(2).to_numpy(zero_copy_only=False)
+            for i, (ids, line, keys, bounds, flat) in enumerate(units(batch, lines, k)):
                 n = np.diff(bounds)
-                yield _arrow(hot=(np.zeros(len(ids), bool), pa.bool_()), doc=(ids, pa.int64()), line=(line, pa.int32()), key=(keys, pa.int64()), n=(n, pa.int32()), sketch=(sketches(bounds, flat), pa.binary()))
+                src = hashes[i * ROWS + np.cumsum(line == 0) - 1]
+                yield _arrow(hot=(np.zeros(len(ids), bool), pa.bool_()), doc=(ids, pa.int64()), line=(line, pa.int32()), src=(src, pa.int64()), key=(keys, pa.int64()), n=(n, pa.int32()), sketch=(sketches(bounds, flat), pa.binary()))
                 _, first = np.unique(keys, return_index=True)
                 new = np.zeros(len(keys), dtype=bool)
                 new[[i for i in first.tolist() if int(keys[i]) not in seen]] = True
@@ -92,14 +94,14 @@ def _survey(lines: bool, k: int, local: int):
             tok, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             tok, c = tok[c >= local], c[c >= local]
             m = len(tok)
-            yield _arrow(hot=(np.ones(m, bool), pa.bool_()), doc=(np.zeros(m, np.int64), pa.int64()), line=(np.zeros(m, np.int32), pa.int32()), key=(signed(tok), pa.int64()), n=(c, pa.int32()), sketch=([None] * m, pa.binary()))
+            yield _arrow(hot=(np.ones(m, bool), pa.bool_()), doc=(np.zeros(m, np.int64), pa.int64()), line=(np.zeros(m, np.int32), pa.int32()), src=(np.zeros(m, np.int64), pa.int64()), key=(signed(tok), pa.int64()), n=(c, pa.int32()), sketch=([None] * m, pa.binary()))
 
     return of
 
 
 def survey(docs: DataFrame, lines: bool = False, k: int = SHINGLE) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
-    """(doc, line, key, n, sketch) of every unit, and the frequent elements, sorted, with their ranks."""
-    both = stored(docs.select("doc_id", "text").mapInArrow(_survey(lines, k, LOCAL), "hot boolean, doc long, line int, key long, n int, sketch binary"), "units")
+    """(doc, line, src, key, n, sketch) of every unit, src a hash of the row's text, and the frequent elements, sorted, with their ranks."""
+    both = stored(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(_survey(lines, k, LOCAL), "hot boolean, doc long, line int, src long, key long, n int, sketch binary"), "units")
     hot = both.filter("hot").groupBy("key").agg(F.sum("n").alias("c")).filter(F.col("c") >= HOT)
     top = hot.orderBy(F.desc("c"), "key").limit(HOT_LIST).toArrow()
     tok, c = top.column("key").to_numpy().view(np.uint64), top.column("c").to_numpy()
@@ -302,7 +304,7 @@ def _second(earlier: bool, light: int, best: bool):
             for at, table in tables:
                 good = _possible(n[at], n[s], pos[at], pos[s]) & (group[at] != group[s]) & (np.maximum(n[at], n[s]) > light)
                 if earlier:
-                    good &= (doc[at] < doc[s]) | ((doc[at] == doc[s]) & (line[at] < line[s]))
+                    good &= (doc[at] < doc[s]) | ((doc[at] == doc[s]) & ((line[at] < line[s]) | ((line[at] == line[s]) & (key[at] < key[s]))))
                 at, x, y = at[good], table[good], mine
                 if not len(at):
                     continue
@@ -363,7 +365,7 @@ def _second(earlier: bool, light: int, best: bool):
 
 
 def _shared(earlier: bool, light: int):
-    """For rows sorted by (tok, doc, line), of short lists: the pairs of a stray with a member that pass the
+    """For rows sorted by (tok, doc, line, key), of short lists: the pairs of a stray with a member that pass the
     filters, each with how many elements it shares in the rows of a batch."""
 
     def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -424,7 +426,7 @@ def second_pairs(own: DataFrame, rows: DataFrame, earlier: bool, light: int = 0,
     n = count_partitions(own.sparkSession)
     short = own.filter(F.col("m") <= SHORT).join(late, "key", "left")
     short = short.select("tok", "key", "doc", F.col("line").cast("long"), F.col("n").cast("long"), F.col("pos").cast("long"), "stray", "grp", F.coalesce("late", F.lit(0)).cast("long").alias("late"))
-    short = short.repartition(n, "tok").sortWithinPartitions("tok", "doc", "line")
+    short = short.repartition(n, "tok").sortWithinPartitions("tok", "doc", "line", "key")
     counted = short.mapInArrow(_shared(earlier, light), ", ".join(f"{c} long" for c in ("a", "a_doc", "b", "b_doc", "a_n", "b_n", "c", "late")))
     counted = counted.groupBy("a", "b").agg(*[F.min(x).alias(x) for x in ("a_doc", "b_doc", "a_n", "b_n", "late")], F.sum("c").alias("c"))
     least = f"ceil({SIMILAR} * (a_n + b_n) / {100 + SIMILAR}.0) - ceil({SIMILAR} * greatest(a_n, b_n) / 100.0) + 1"

@@ -107,6 +107,15 @@ def test_lines_of_nothing_and_of_null_ids(spark, nothing):
     assert sorted(((r["doc_id"], r["text"]) for r in lines.dedup(df).collect()), key=str) == sorted([(None, "q"), (3, "a b c"), (3, "a b c")], key=str)
 
 
+def test_lines_of_different_texts_under_one_id(spark):
+    near = [f"{x} " + " ".join(f"w{i}" for i in range(40)) for x in "ab"]
+    rows = [(1, "a b c"), (None, "a b c\nclean one"), (None, "clean two\na b c"), (5, "other three\na b c"), (5, "a b c\nother four"), (7, "same line\nx"), (7, "same line\ny"), (9, near[0]), (9, near[1])]
+    got = [(r["doc_id"], r["text"]) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(t for i, t in got if i is None) == ["clean one", "clean two"] and sorted(t for i, t in got if i == 5) == ["other four", "other three"]
+    assert sorted("\n".join(t for i, t in got if i == 7).split("\n")) == ["same line", "x", "y"]
+    assert sorted(t in near for i, t in got if i == 9) == [False, True]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="ab \n\tÉ\x1c.", max_size=40)), max_size=12), st.integers(0, 3))
 def test_sets_of_slices(texts, offset):
