@@ -3,12 +3,12 @@ hashing on Arrow batches, and joins that stay even when one key holds a third of
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +21,13 @@ SIMILAR = 80
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where
-    that is unset (tests in local mode)."""
+    that is unset and driver and executors are one process (tests in local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="shared-"))
             found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -42,12 +44,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """df as a written table of the shared folder: its lineage is cut, a lost executor loses
-    nothing, and every reader sees the same rows even where df itself isn't deterministic."""
+    nothing, and every reader sees the same rows even where df itself isn't deterministic. rows: the
+    most that go to Python at once while it is made, where they are long."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_ARROW_ROWS)
+    try:
+        spark.conf.set(_ARROW_ROWS, str(min(rows or 10_000, int(before) if int(before) > 0 else 10_000)))
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -87,77 +98,133 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def compact(texts: pa.Array) -> pa.Array:
-    """Texts as a large string array of its own, null as empty; kernels misread some casts of slices."""
-    return pc.fill_null(texts, "").take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
-
-
-def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Words `[^\\x20\\x09-\\x0D]+` of A-Z-lowered texts: the bounds of each text's words, and the
-    words one after another. Null has none."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(compact(texts)))
-    flat = lists.flatten()
-    full = pc.not_equal(pc.binary_length(flat), 0)
-    kept = np.zeros(len(flat) + 1, dtype=np.int64)
-    np.cumsum(full.to_numpy(zero_copy_only=False), out=kept[1:])
-    start = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    return kept[start], flat.filter(full)
-
-
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """64-bit hashes of words; each distinct word is hashed once."""
-    if not len(words):
-        return np.zeros(0, dtype=np.uint64)
-    coded = words.dictionary_encode()
-    values = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
-    return values[coded.indices.to_numpy(zero_copy_only=False)]
-
-
-def shingle_hashes(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
-    """Hashes of the runs of k word hashes, in order; shorter input is one run."""
-    if not len(h):
-        return h
-    k = min(k, len(h))
-    out = np.full(len(h) - k + 1, np.uint64(k))
-    for j in range(k):
-        out += mix(h[j : len(h) - k + 1 + j] + _ODD[j % 5]) * _ODD[j % 5]
+def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings or binaries one after another, null as empty, and the bounds of each. Bytes that
+    aren't UTF-8 are taken as they are."""
+    kind = texts.type
+    if texts.null_count:
+        texts = pc.fill_null(texts, pa.scalar(b"" if pa.types.is_binary(kind) or pa.types.is_large_binary(kind) else "", kind))
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    wide = pa.types.is_large_string(kind) or pa.types.is_large_binary(kind)
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+#: Bytes, and texts, that are worked on together.
+SLICE, UNITS = 1 << 19, 1024
+
+
+def slices(texts: pa.Array, size: int = SLICE, most: int = UNITS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from, to, bytes, bounds) of texts that have about size bytes together, one text at least."""
+    data, bounds = raw(texts)
+    at = 0
+    while at < len(bounds) - 1:
+        stop = min(at + most, max(at + 1, int(np.searchsorted(bounds, bounds[at] + size, "right")) - 1))
+        yield at, stop, data[bounds[at] : bounds[stop]], bounds[at : stop + 1] - bounds[at]
+        at = stop
+
+
+_CHUNK = 1 << 17
+_SEP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _ODD[0])
+_BYTE[65:91] = _BYTE[97:123]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base % (1 << 64), dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_BASE = int(_ODD[1])
+_UP, _DOWN = _powers(_BASE, _CHUNK), _powers(pow(_BASE, -1, 1 << 64), _CHUNK)
+
+
+def hashed_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of A-Z-lowered texts, given as raw() does: the bounds of
+    each text's words, and the hashes one after another. A word's hash is its bytes' polynomial, mixed,
+    from the running sums over a chunk of bytes, so no word is made."""
+    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        size, stop = _CHUNK, len(data)
+        while at + size < len(data):  # up to a place between words
+            gaps = np.flatnonzero(_SEP[data[at : at + size]])
+            edge = int(bounds[np.searchsorted(bounds, at + size, "right") - 1])
+            stop = max(at + int(gaps[-1]) + 1 if len(gaps) else 0, edge)
+            if stop > at:
+                break
+            size, stop = 2 * size, len(data)
+        part = data[at:stop]
+        n = len(part)
+        up, down = (_UP, _DOWN) if n <= _CHUNK else (_powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n))
+        edges = bounds[np.searchsorted(bounds, at) : np.searchsorted(bounds, stop, "right")] - at
+        sep = _SEP[part]
+        shut = np.ones(n + 1, dtype=bool)
+        shut[1:] = sep
+        shut[edges] = True
+        word = ~sep
+        first = np.flatnonzero(word & shut[:-1])
+        shut[:-1] = sep
+        shut[-1] = True
+        shut[edges] = True
+        last = np.flatnonzero(word & shut[1:])
+        sums = _BYTE[part]
+        sums *= up[:n]
+        np.cumsum(sums, out=sums)
+        h = sums[last] - np.where(first > 0, sums[first - 1], np.uint64(0))
+        hashes.append(mix(h * down[first]))
+        starts.append(first + at)
+        at = stop
+    return np.searchsorted(np.concatenate(starts), bounds), np.concatenate(hashes)
+
+
+def run_hashes(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """Hashes of the runs of k word hashes, in order; none of fewer."""
+    out = np.full(max(0, len(h) - k + 1), np.uint64(k))
+    for j in range(k if len(out) else 0):
+        out += h[j : len(h) - k + 1 + j] * _ODD[j]
     return mix(out)
 
 
-#: Bits of a set's elements: enough to tell the shingles of two sets apart, and they leave room for the
-#: number of a set above them, so that the sets of many texts are sorted as plain numbers.
-ELEMENT_BITS = 48
+#: Bits of a set's elements: enough to tell those of two sets apart. Above them an element has RANK_BITS of
+#: its rank by frequency, and above these there is room for the number of one of UNITS sets, so that the
+#: sets of many texts are sorted as plain numbers.
+ELEMENT_BITS, RANK_BITS = 48, 6
+ELEMENT = np.uint64((1 << ELEMENT_BITS) - 1)
+#: Bits of an element by which its frequency is counted.
+TABLE_BITS = 22
 
 
-def text_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingle hashes (of ELEMENT_BITS bits) of each text: the bounds of each, and
-    all after another."""
-    bounds, words = split_words(texts)
+def elements(bounds: np.ndarray, h: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of k words of each text (of fewer words: all of them as one): numbers of the texts, elements."""
     n = np.diff(bounds)
-    if not len(words):
-        return np.zeros(len(n) + 1, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    coded = words.dictionary_encode()
-    values, codes = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False), coded.indices.to_numpy(zero_copy_only=False)
-    runs = np.full(max(0, len(codes) - k + 1), np.uint64(k))
-    for j in range(k if len(runs) else 0):  # what a word adds at place j is found once for each distinct word
-        runs += (mix(values + _ODD[j % 5]) * _ODD[j % 5])[codes[j : len(codes) - k + 1 + j]]
-    sizes = np.where(n >= k, n - k + 1, 0)
+    if k == 1:
+        return np.repeat(np.arange(len(n)), n), h[bounds[0] : bounds[-1]] >> np.uint64(64 - ELEMENT_BITS)
+    sizes = np.maximum(n - k + 1, 0)
     unit = np.repeat(np.arange(len(n)), sizes)
-    flat = mix(runs[np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(bounds[:-1], sizes)])
-    if len(short := np.flatnonzero((n > 0) & (n < k))):  # fewer words than a shingle has
-        flat = np.concatenate([flat, *[shingle_hashes(values[codes[bounds[i] : bounds[i + 1]]], k) for i in short]])
-        unit = np.concatenate([unit, short])
-    flat >>= np.uint64(64 - ELEMENT_BITS)
-    if len(n) <= 1 << 64 - ELEMENT_BITS:
-        both = np.sort(unit.astype(np.uint64) << np.uint64(ELEMENT_BITS) | flat)
+    flat = run_hashes(h, k)[np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes - bounds[:-1], sizes)]
+    for m in range(1, k):
+        if len(short := np.flatnonzero(n == m)):
+            runs = sum((h[bounds[short] + j] * _ODD[j] for j in range(m)), np.full(len(short), np.uint64(m)))
+            unit, flat = np.concatenate([unit, short]), np.concatenate([flat, mix(runs)])
+    return unit, flat >> np.uint64(64 - ELEMENT_BITS)
+
+
+def sets_of(bounds: np.ndarray, h: np.ndarray, k: int = SHINGLE, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct elements of each of at most UNITS texts: the bounds of each, and all after another;
+    with ranks (by the first TABLE_BITS bits) by rank first, the rank above the element."""
+    unit, flat = elements(bounds, h, k)
+    if ranks is not None:
+        flat |= ranks[flat >> np.uint64(ELEMENT_BITS - TABLE_BITS)].astype(np.uint64) << np.uint64(ELEMENT_BITS)
+    room = np.uint64(ELEMENT_BITS + RANK_BITS)
+    both = np.sort(unit.astype(np.uint64) << room | flat)
+    if len(both):
         both = both[np.concatenate([[True], both[1:] != both[:-1]])]
-        unit, flat = (both >> np.uint64(ELEMENT_BITS)).astype(np.int64), both & np.uint64((1 << ELEMENT_BITS) - 1)
-    else:
-        order = np.lexsort((flat, unit))
-        flat, unit = flat[order], unit[order]
-        keep = np.concatenate([[True], (flat[1:] != flat[:-1]) | (unit[1:] != unit[:-1])])
-        flat, unit = flat[keep], unit[keep]
-    return np.concatenate([[0], np.cumsum(np.bincount(unit, minlength=len(n)))]), flat
+    sizes = np.bincount((both >> room).astype(np.int64), minlength=len(bounds) - 1)
+    return np.concatenate([[0], np.cumsum(sizes)]), both & ((np.uint64(1) << room) - np.uint64(1))
 
 
 def set_keys(bounds: np.ndarray, flat: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.groups(_table(spark, sf_dir, "documents"))
+    return jaccard.groups(_table(spark, sf_dir, "documents")).drop("text_hash", "first")
 
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
 """The exact similarity join of hashed sets that document and line deduplication share.
 
-A unit is a document or a line; its set has the 64-bit hashes of its distinct shingles, and its
-key is a hash of the set, so that equal sets are one class. Two sets link when
-100 * |intersection| >= 80 * |union|. Then each of them has at least 80 % of its elements in the
-other, so under one global order of elements they share one of each set's first n - ceil(0.8 n) + 1
-elements (the prefix). The order is by rarity: an element that several sets of a batch share is
-counted, the HOT_LIST most frequent ones come last by count, all others come first by hash. The order
-only steers the cost; any order gives the same links.
-
-An inverted list (the classes with one prefix element) is never paired with itself. A class is first
-verified against the earliest of its lists' first members; what that leaves apart is paired in a second
-step, by the filters and by bitmaps that the sets leave (sketches).
+A unit is a document or a line; its set has the 48-bit hashes of its distinct elements (word shingles, or
+words), and its key is a hash of the set, so that equal sets are one class. Two sets link when
+100 * |intersection| >= 80 * |union|. Then each of them has at least 80 % of its elements in the other, so
+under one global order of elements they share one of each set's first n - ceil(0.8 n) + 1 elements (the
+prefix). The order is by rarity: the elements of all texts are counted in one pass, by their first TABLE_BITS
+bits, so that the table has one size for any corpus; the order only steers the cost, any gives the same links.
+
+An inverted list has the classes with one prefix element. Classes of a short list meet pairwise, by the
+filters of length and place and, for small sets, by bitmaps of their elements (sketches). Of a long list each
+class meets a few others only; when their links are known, its classes that they leave apart (strays) are
+held against the list's sets in a second step, part by part, within the task that has the part. So no list
+is paired with itself, and no pairs but links come out of the second step.
 """
 
 from __future__ import annotations
@@ -18,95 +19,118 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SIMILAR, compact, count_partitions, dealt, mix, opened, release, set_keys, signed, small_or_shuffled, squeezed, stored, text_sets
-
-#: An element is counted where at least LOCAL sets of a batch have it; HOT: the count from which it
-#: comes late in the order; HOT_LIST: the most elements that are ordered so (they go by broadcast).
-LOCAL, HOT, HOT_LIST = 3, 24, 200_000
-#: Rows of a batch that are worked on together; prefix elements of a bucket, about.
-ROWS, BUCKET = 2000, 700_000
+from .common import ELEMENT, ELEMENT_BITS, SHINGLE, SIMILAR, TABLE_BITS, UNITS, count_partitions, dealt, elements, hashed_words, mix, opened, release, set_keys, sets_of, slices, small_or_shuffled, squeezed, stored
+
+LAST = np.iinfo(np.int64).max
+#: Sets of fewer elements link only with equal ones.
+LEAST = 4
+#: Blocks in which the table of counts is added up.
+TABLE_BLOCKS = 256
+#: Prefix elements of a bucket, about, and of a cell, in which a class is sent once.
+BUCKET, CELL = 1_500_000, 1_000_000
+#: The longest list whose classes all meet: without sketches, and with them; beyond it, or where more than
+#: all pairs would be told, a class meets the middle one, those up to NEAR places on, and its nearest.
+SHORT, SKETCHED, NEAR = 32, 4096, 4
+#: The rank from which an element's list is dealt to several buckets (2 for each doubling of the count).
+HOT = 32
+#: 64-bit words of the widest sketch in a list; elements of a part of a list in the second step.
+WIDEST, PART = 16, 4_000_000
+#: Rows of texts, and of sets, that go to Python at once.
+TEXTS, SETS = 2000, 500
+
+
+def _arrow(kinds: dict[str, pa.DataType], rows: int, /, **cols) -> pa.RecordBatch:
+    """A batch of so many rows with these columns, the others null."""
+    return pa.RecordBatch.from_arrays([pa.array(cols[c], t) if c in cols else pa.nulls(rows, t) for c, t in kinds.items()], names=list(kinds))
+
+
+def parted(batch: pa.RecordBatch, lines: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(doc ids, line numbers, hashes of the rows' texts, bounds of words, word hashes) of at most UNITS units
+    at a time of a batch with doc_id, text and src. A null doc_id is LAST."""
+    ids = pc.fill_null(batch.column(0), LAST).to_numpy(zero_copy_only=False)
+    src = batch.column(2).to_numpy(zero_copy_only=False)
+    for at, stop, data, edges in slices(batch.column(1)):
+        own, line = np.arange(at, stop), np.zeros(stop - at, dtype=np.int32)
+        if lines:
+            ends = np.flatnonzero(data == 10)
+            n = np.diff(np.searchsorted(ends, edges)) + 1
+            own, line = np.repeat(own, n), (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            edges = np.append(np.sort(np.concatenate([edges[:-1], ends + 1])), len(data))
+        bounds, h = hashed_words(data, edges)
+        for i in range(0, len(own), UNITS):
+            part = bounds[i : i + UNITS + 1]
+            yield ids[own[i : i + UNITS]], line[i : i + UNITS], src[own[i : i + UNITS]], part - part[0], h[part[0] : part[-1]]
 
 
-def units(batch: pa.RecordBatch, lines: bool, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc ids, line numbers, keys, bounds of the sets, sets) of slices of a batch with columns doc_id
-    and text."""
-    release()
-    for i in range(0, batch.num_rows, ROWS):
-        part = batch.slice(i, ROWS)
-        ids = pc.fill_null(part.column(0), np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
-        texts, line = part.column(1), np.zeros(len(ids), dtype=np.int32)
-        if lines:
-            split = pc.split_pattern(compact(texts), "\n")
-            n = pc.list_value_length(split).to_numpy(zero_copy_only=False)
-            texts, ids = split.flatten(), np.repeat(ids, n)
-            line = (np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        bounds, flat = text_sets(texts, k)
-        yield ids, line, set_keys(bounds, flat), bounds, flat
+# --- the order of elements ----------------------------------------------------------------------
 
 
-def sketches(bounds: np.ndarray, flat: np.ndarray) -> pa.Array:
-    """For each set a bitmap of its elements' low bits, of as many bits as elements at least (a power of
-    two). Bits that differ between two sets' bitmaps are elements that only one has."""
-    n = np.diff(bounds)
-    bits = 1 << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64)
-    at = np.concatenate([[0], np.cumsum(np.where(n > 0, bits // 8, 0))])
-    bit = (flat & (np.repeat(bits, n) - 1).astype(np.uint64)).astype(np.int64)
-    out = np.zeros(at[-1], dtype=np.uint8)
-    np.bitwise_or.at(out, np.repeat(at[:-1], n) + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
-    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+def _tally(k: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        total, held, size, sizes = np.zeros(1 << TABLE_BITS, dtype=np.int64), [], 0, np.zeros(65, dtype=np.int64)
 
+        def add() -> None:
+            nonlocal size
+            for x in held:
+                total[:] += np.bincount(x, minlength=len(total))
+            held.clear()
+            size = 0
 
-def apart(a: bytes, b: bytes) -> int:
-    """At least so many elements are in one of two sketched sets only."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+        some = False
+        for batch in batches:
+            for _, _, data, edges in slices(batch.column(1)):
+                bounds, h = hashed_words(data, edges)
+                unit, flat = elements(bounds, h, k)
+                held.append((flat >> np.uint64(ELEMENT_BITS - TABLE_BITS)).astype(np.int32))
+                n = np.bincount(unit, minlength=1)
+                sizes[:64] += np.bincount(n[n < 64], minlength=64)
+                sizes[64] += len(flat)
+                size += len(flat)
+                some = True
+                if size > 1 << TABLE_BITS:
+                    held[:] = [np.concatenate(held)]
+                    add()
+        if some:
+            if held:
+                held[:] = [np.concatenate(held)]
+            add()
+            n = len(total) // TABLE_BLOCKS
+            blocks = [squeezed(total[i * n : (i + 1) * n]) for i in range(TABLE_BLOCKS)] + [squeezed(sizes)]
+            yield pa.RecordBatch.from_pydict({"block": pa.array(range(TABLE_BLOCKS + 1), pa.int32()), "counts": pa.array(blocks, pa.binary())})
 
+    return of
 
-def _arrow(**cols: tuple) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in cols.values()], names=list(cols))
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each block, as ranks; of the sizes, as they are."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x = opened(counts)
+            sums[block] = sums[block] + x if block in sums else x
+    out = [x.tobytes() if b == TABLE_BLOCKS else np.minimum(2 * np.log2(np.maximum(x, 1)), 63).astype(np.uint8).tobytes() for b, x in sums.items()]
+    yield pa.RecordBatch.from_pydict({"block": pa.array(sums.keys(), pa.int32()), "ranks": pa.array(out, pa.binary())})
 
-def _survey(lines: bool, k: int, local: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: set[int] = set()
-            parts = []
-            hashes = batch.column(2).to_numpy(zero_copy_only=False)
-            for i, (ids, line, keys, bounds, flat) in enumerate(units(batch, lines, k)):
-                n = np.diff(bounds)
-                src = hashes[i * ROWS + np.cumsum(line == 0) - 1]
-                yield _arrow(hot=(np.zeros(len(ids), bool), pa.bool_()), doc=(ids, pa.int64()), line=(line, pa.int32()), src=(src, pa.int64()), key=(keys, pa.int64()), n=(n, pa.int32()), sketch=(sketches(bounds, flat), pa.binary()))
-                _, first = np.unique(keys, return_index=True)
-                new = np.zeros(len(keys), dtype=bool)
-                new[[i for i in first.tolist() if int(keys[i]) not in seen]] = True
-                seen.update(keys[first].tolist())
-                parts.append(flat[np.repeat(new, n)])
-            tok, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            tok, c = tok[c >= local], c[c >= local]
-            m = len(tok)
-            yield _arrow(hot=(np.ones(m, bool), pa.bool_()), doc=(np.zeros(m, np.int64), pa.int64()), line=(np.zeros(m, np.int32), pa.int32()), src=(np.zeros(m, np.int64), pa.int64()), key=(signed(tok), pa.int64()), n=(c, pa.int32()), sketch=([None] * m, pa.binary()))
 
-    return of
+def order(docs: DataFrame, k: int = SHINGLE) -> tuple[np.ndarray, list[int], int]:
+    """The rank of elements by how many places of all texts they have (twice the logarithm), how many texts have so
+    many places for elements (up to 63), and the places in all."""
+    blocks = docs.mapInArrow(_tally(k), "block int, counts binary")
+    table = blocks.repartition(min(64, count_partitions(docs.sparkSession)), "block").mapInArrow(_added, "block int, ranks binary").toArrow().to_pylist()
+    by = {r["block"]: r["ranks"] for r in table}
+    if not by:
+        return np.zeros(1 << TABLE_BITS, np.uint8), [0] * 64, 0
+    *sizes, places = np.frombuffer(by[TABLE_BLOCKS], np.int64).tolist()
+    return np.frombuffer(b"".join(by[i] for i in range(TABLE_BLOCKS)), np.uint8), sizes, places
 
 
-def survey(docs: DataFrame, lines: bool = False, k: int = SHINGLE) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray]]:
-    """(doc, line, src, key, n, sketch) of every unit, src a hash of the row's text, and the frequent elements, sorted, with their ranks."""
-    both = stored(docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(_survey(lines, k, LOCAL), "hot boolean, doc long, line int, src long, key long, n int, sketch binary"), "units")
-    hot = both.filter("hot").groupBy("key").agg(F.sum("n").alias("c")).filter(F.col("c") >= HOT)
-    top = hot.orderBy(F.desc("c"), "key").limit(HOT_LIST).toArrow()
-    tok, c = top.column("key").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    order = np.argsort(tok)
-    return both.filter("not hot").drop("hot"), (tok[order], c[order].astype(np.int64))
+# --- units and prefixes ---------------------------------------------------------------------------
 
 
 def needed(n: int, m: int) -> int:
@@ -119,112 +143,123 @@ def subsets_of(n: int, limit: int) -> list[tuple[int, int]]:
     return [(m, needed(n, m)) for m in range(-(-SIMILAR * n // 100), min(limit, 100 * n // SIMILAR) + 1)]
 
 
-def _subsets(light: int, k: int):
-    """Rows of the fixed-size subsets of classes with at most light elements."""
+def _subsets(light: int, keys: np.ndarray, bounds: np.ndarray, flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """(hash of a fixed-size subset, key, side) of the sets of at most light elements; side: -3 for subsets shared
+    by partners of the same size, -1 for the smaller and -2 for the larger of two sizes."""
     from itertools import combinations
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for ids, _, keys, bounds, flat in units(batch, False, k):
-                rows = []
-                for u in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(bounds) <= light)).tolist():
-                    s, key = flat[bounds[u] : bounds[u + 1]].tolist(), int(keys[u])
-                    if key in seen:
-                        continue
-                    seen.add(key)
-                    for m, c in subsets_of(len(s), light):
-                        side = -3 if m == len(s) else -1 if len(s) < m else -2
-                        rows += [(hash((*x, min(len(s), m), max(len(s), m))), int(ids[u]), key, side) for x in combinations(s, c)]
-                yield _arrow(**{n: ([r[i] for r in rows], pa.int64()) for i, n in enumerate(("tok", "doc", "key", "side"))})
+    rows, n = [], np.diff(bounds)
+    for u in np.flatnonzero((n > 0) & (n <= light)).tolist():
+        s, key = flat[bounds[u] : bounds[u + 1]].tolist(), int(keys[u])
+        for m, c in subsets_of(len(s), light):
+            side = -3 if m == len(s) else -1 if len(s) < m else -2
+            rows += [(hash((*x, min(len(s), m), max(len(s), m))), key, side) for x in combinations(s, c)]
+    return rows
 
-    return of
 
+def widths(n: np.ndarray) -> np.ndarray:
+    """64-bit words of a set's sketch: as many bits as elements at least, as far as the widest goes."""
+    return np.minimum(1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64), WIDEST)
 
-def subsets(docs: DataFrame, rows: DataFrame, light: int, k: int = SHINGLE) -> DataFrame:
-    """tok, doc, key, side: the subsets that small classes enumerate; side: -3 for those shared by partners
-    of the same size, -1 for the smaller and -2 for the larger of two sizes. Other documents are not read."""
-    small = rows.filter(F.col("n").between(1, light)).groupBy("key").agg(F.min("doc").alias("doc_id")).select("doc_id").distinct()
-    docs = docs.select(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)).alias("doc_id"), "text").join(small_or_shuffled(small, small.count()), "doc_id", "left_semi")
-    return docs.select("doc_id", "text").mapInArrow(_subsets(light, k), "tok long, doc long, key long, side long")
 
-
-def _first_of(tok: np.ndarray, doc: np.ndarray, line: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows in order of (tok, doc, line), and for each of them where its list begins."""
-    order = np.lexsort((line, doc, tok))
-    tok = tok[order]
-    new = np.ones(len(tok), dtype=bool)
-    new[1:] = tok[1:] != tok[:-1]
-    return order, np.maximum.accumulate(np.where(new, np.arange(len(tok)), 0)) if len(tok) else np.zeros(0, np.int64)
-
-
-_SMALL = ("unit", "pos", "doc", "line", "n")
-BLOCKS = "bucket long, local boolean, tok binary, key binary, " + ", ".join(f"{c} binary" for c in _SMALL) + ", first binary"
-
-
-def _block(bucket: int, tok, unit, pos, doc, line, key, n, first=None) -> tuple:
-    """Rows as a block: what is known of units is given once for each unit named."""
-    units, at = np.unique(unit, return_inverse=True)
-    return (bucket, first is not None, squeezed(tok), key[units].tobytes(), *map(squeezed, (at, pos, doc[units], line[units], n[units])), None if first is None else squeezed(first))
-
-
-def _unblock(b) -> tuple[np.ndarray, ...]:
-    """tok, doc, line, key, n, pos of a block's rows."""
-    at = opened(b.unit)
-    return opened(b.tok), opened(b.doc)[at], opened(b.line)[at], np.frombuffer(b.key, np.int64)[at], opened(b.n)[at], opened(b.pos)
-
-
-def _prefixes(lines: bool, k: int, hot, light: int, buckets: int):
+def sketches(bounds: np.ndarray, flat: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """For each set a bitmap of its elements' low bits, of so many words, all after another. Bits that differ
+    between two sets' bitmaps are elements that only one has."""
+    at = np.concatenate([[0], np.cumsum(width)])
+    n = np.diff(bounds)
+    bit = (flat & (np.repeat(64 * width, n) - 1).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(at[-1], dtype=np.uint64)
+    np.bitwise_or.at(out, np.repeat(at[:-1], n) + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
+def _spans(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places at, at + 1, ... of each, n of them, one after another."""
+    return np.arange(n.sum()) + np.repeat(at - (np.cumsum(n) - n), n)
+
+
+_UNITS = "doc long, line int, src long, key long, n int"
+_BLOCKS = "bucket long, toks binary, unit binary, pos binary, keys binary, sizes binary, sketch binary"
+_SUBSETS = "subset long, skey long, side int"
+_KINDS = {"doc": pa.int64(), "line": pa.int32(), "src": pa.int64(), "key": pa.int64(), "n": pa.int32(), "bucket": pa.int64(), **{c: pa.binary() for c in ("toks", "unit", "pos", "keys", "sizes", "sketch")}, "subset": pa.int64(), "skey": pa.int64(), "side": pa.int32()}
+
+
+def _blocks(cell: list[tuple], buckets: int, sketched: bool, hot_rank: int) -> pa.RecordBatch:
+    """A cell's prefixes, each class once, as one block for each bucket: what is known of classes is given once
+    for each that a block names. The list of a hot element is dealt by class."""
+    tok, unit, pos, key, n, sketch = (np.concatenate(c) for c in zip(*cell, strict=True))
+    _, first = np.unique(key, return_index=True)
+    new = np.zeros(len(key), dtype=bool)
+    new[first] = True
+    kept = new[unit]
+    tok, unit, pos = tok[kept], unit[kept], pos[kept]
+    rank = (tok >> np.uint64(ELEMENT_BITS)).astype(np.int64)
+    tok &= ELEMENT
+    where = mix(tok)
+    if (hot := rank >= hot_rank).any():
+        where[hot] += mix(key.view(np.uint64)[unit[hot]]) % (np.uint64(2) << ((rank[hot] - hot_rank) // 2).astype(np.uint64))
+        tok[hot] |= np.uint64(1 << 62)
+    width = widths(n)
+    at = np.cumsum(width) - width
+    rows = []
+    for b, own in dealt((mix(where) % np.uint64(buckets)).astype(np.int64), buckets):
+        own = own[np.argsort(tok[own])]
+        units, of = np.unique(unit[own], return_inverse=True)
+        t = tok[own].astype(np.int64)
+        rows.append((b, squeezed(np.diff(t, prepend=0)), squeezed(of), squeezed(pos[own]), key[units].tobytes(), squeezed(n[units]), sketch[_spans(at[units], width[units])].tobytes() if sketched else b""))
+    names = ("bucket", "toks", "unit", "pos", "keys", "sizes", "sketch")
+    return _arrow(_KINDS, len(rows), **{c: [r[i] for r in rows] for i, c in enumerate(names)})
+
+
+def _prefixes(lines: bool, k: int, shared, light: int, buckets: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = hot.value
-        seen: dict[int, tuple[int, int]] = {}  # by key the first place that was sent; an earlier one is sent too
+        release()
+        ranks = shared.value
+        cell, size, base, told = [], 0, 0, set()
         for batch in batches:
-            cell: list[list[np.ndarray]] = []  # of each slice: tok, unit, pos; doc, line, key, n of its units
-            base = 0
-            for ids, line, keys, bounds, flat in units(batch, lines, k):
-                n = np.diff(bounds)
-                new = np.zeros(len(n), dtype=bool)
-                for u in np.flatnonzero((n > 0) & ((n > light) | (100 * n >= SIMILAR * (light + 1)))).tolist():
-                    key, place = int(keys[u]), (int(ids[u]), int(line[u]))
-                    if seen.get(key, _NEVER) > place:
-                        seen[key] = place
-                        new[u] = True
-                flat, n = flat[np.repeat(new, n)], n[new]
-                if not len(flat):
+            for ids, line, src, bounds, h in parted(batch, lines):
+                bounds, flat = sets_of(bounds, h, k, ranks)
+                keys, n = set_keys(bounds, flat), np.diff(bounds)
+                full = n > 0 if lines else slice(None)
+                yield _arrow(_KINDS, len(keys[full]), doc=ids[full], line=line[full], src=src[full], key=keys[full], n=n[full])
+                if light:
+                    rows = [r for r in _subsets(light, keys, bounds, flat) if r[1] not in told]
+                    if len(told) < 100_000:
+                        told.update(r[1] for r in rows)
+                    yield _arrow(_KINDS, len(rows), **{c: [r[i] for r in rows] for i, c in enumerate(("subset", "skey", "side"))})
+                wanted = np.flatnonzero((n >= LEAST) & ((n > light) | (100 * n >= SIMILAR * (light + 1))))
+                _, first = np.unique(keys[wanted], return_index=True)
+                wanted = wanted[np.sort(first)]
+                if not len(wanted):
                     continue
-                own = np.repeat(np.arange(len(n)), n)
-                if len(tokens):
-                    at = np.searchsorted(tokens, flat)
-                    at[at == len(tokens)] = 0
-                    rank = np.where(tokens[at] == flat, counts[at], 0)
-                    late = np.repeat(np.bincount(own, rank, len(n)) > 0, n)  # of sets with a frequent element
-                    flat[late] = flat[late][np.lexsort((flat[late], rank[late], own[late]))]
-                pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-                keep = pos < np.repeat(n + (-SIMILAR * n // 100) + 1, n)
-                cell.append([flat[keep], own[keep] + base, pos[keep], ids[new], line[new], keys[new], n])
+                n = n[wanted]
+                prefix = n + (-SIMILAR * n // 100) + 1
+                pos = _spans(np.zeros(len(n), np.int64), prefix)
+                own = np.concatenate([[0], np.cumsum(n)])
+                sketch = sketches(own, flat[_spans(bounds[wanted], n)], widths(n)) if lines else np.zeros(0, np.uint64)
+                cell.append((flat[_spans(bounds[wanted], prefix)], np.repeat(np.arange(len(n)) + base, prefix), pos, keys[wanted], n, sketch))
                 base += len(n)
-            if not cell:
-                continue
-            tok, unit, pos, doc, line, key, n = (np.concatenate(c) for c in zip(*cell, strict=True))
-            order, head = _first_of(tok, doc[unit], line[unit], key[unit])
-            tok, unit, pos = tok[order], unit[order], pos[order]
-            first = head == np.arange(len(tok))
-            met = ~first & (key[unit] != key[unit[head]])
-            rows = []
-            if met.any():  # lists within the cell: members with the first of theirs, both as rows of one block
-                at = np.flatnonzero(met)
-                both = np.concatenate([at, head[at]])
-                rows.append(_block(int(tok[at[0]] % np.uint64(buckets)), tok[both], unit[both], pos[both], doc, line, key, n, np.arange(len(at))))
-            tok, unit, pos = tok[first], unit[first], pos[first]
-            rows += [_block(b, tok[own], unit[own], pos[own], doc, line, key, n) for b, own in dealt((mix(tok) % np.uint64(buckets)).astype(np.int64), buckets)]
-            names = ("bucket", "local", "tok", "key", *_SMALL, "first")
-            kinds = (pa.int64(), pa.bool_(), *[pa.binary()] * 8)
-            yield _arrow(**{c: ([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(names, kinds, strict=True))})
+                size += len(pos)
+                if size >= CELL:
+                    yield _blocks(cell, buckets, lines, HOT)
+                    cell, size, base = [], 0, 0
+        if cell:
+            yield _blocks(cell, buckets, lines, HOT)
 
     return of
 
 
-_NEVER = (2**63, 0)
+def survey(docs: DataFrame, ranks: np.ndarray, lines: bool = False, k: int = SHINGLE, light: int = 0, places: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc, line, src, key, n) of every unit (of lines only those with words), the blocks of the prefixes, and
+    the subsets of classes of at most light elements. places: of elements in all texts. Classes that can only
+    have partners of at most light elements, as they have, are left out of the prefixes."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    buckets = max(8, -(-places * (100 - SIMILAR) // (100 * BUCKET)))
+    all_ = stored(docs.mapInArrow(_prefixes(lines, k, shared, light, buckets), f"{_UNITS}, {_BLOCKS}, {_SUBSETS}"), "survey", TEXTS)
+    return tuple(all_.filter(F.col(kind[0]).isNotNull()).select(*kind) for kind in ([x.split()[0] for x in y.split(", ")] for y in (_UNITS, _BLOCKS, _SUBSETS)))
+
+
+# --- lists ------------------------------------------------------------------------------------------
 
 
 def _possible(n, m, i, j) -> np.ndarray:
@@ -234,274 +269,248 @@ def _possible(n, m, i, j) -> np.ndarray:
     return (np.minimum(i, j) + np.minimum(n - i, m - j) >= need) & (100 * np.minimum(n, m) >= SIMILAR * np.maximum(n, m))
 
 
-_COLS = ("tok", "doc", "line", "key", "n", "pos")
-STARS = "tok long, doc long, line int, key long, n int, pos int, rep_doc long, rep_line int, rep_key long, rep_n int, rep_pos int, candidate boolean"
-
-
-def _stars(light: int):
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Each list's members but the first, with the first: of cells, and of the cells' firsts."""
-        members, firsts = [], []
-        for b in pdf[pdf["local"]].itertuples():
-            cols = _unblock(b)
-            half = len(cols[0]) // 2
-            members.append([c[:half] for c in cols])
-            firsts.append([c[half:] for c in cols])
-        if len(rest := pdf[~pdf["local"]]):
-            cols = [np.concatenate(c) for c in zip(*map(_unblock, rest.itertuples()), strict=True)]
-            order, head = _first_of(cols[0], cols[1], cols[2], cols[3])
-            cols = [c[order] for c in cols]
-            other = np.flatnonzero(cols[3] != cols[3][head])
-            members.append([c[other] for c in cols])
-            firsts.append([c[head[other]] for c in cols])
-        x, y = ([np.concatenate(c) for c in zip(*side, strict=True)] for side in (members, firsts))
-        out = dict(zip(_COLS, x, strict=True)) | {f"rep_{c}": v for c, v in zip(_COLS[1:], y[1:], strict=True)}
-        good = _possible(x[4], y[4], x[5], y[5]) & (np.maximum(x[4], y[4]) > light)
-        return pd.DataFrame(out | {"candidate": good})
-
-    return of
+def _apart(sketch: np.ndarray, at: np.ndarray, width: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """At least so many elements are in one only of each pair of sketched sets."""
+    out = np.zeros(len(i), dtype=np.int64)
+    swap = width[i] > width[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    both = width[i] * 1000 + width[j]
+    for kind in np.unique(both):
+        w, v = divmod(int(kind), 1000)
+        own = np.flatnonzero(both == kind)
+        x, y = sketch[at[i[own]][:, None] + np.arange(w)], sketch[at[j[own]][:, None] + np.arange(v)]
+        while y.shape[1] > w:
+            y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+        out[own] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return out
+
+
+_MET = "a long, b long, tok long, key long"
+
+
+def _meet(sketched: bool):
+    """Of a bucket's blocks the pairs (a, b) that the filters leave, and (tok, key) of the classes of lists that
+    aren't done with them."""
+
+    def of(table: pa.Table) -> pa.Table:
+        cols, offset = [], 0
+        words: list[np.ndarray] = []
+        for toks, unit, pos, keys, sizes, sketch in zip(*(table.column(c).to_pylist() for c in ("toks", "unit", "pos", "keys", "sizes", "sketch")), strict=True):
+            unit, sizes = opened(unit), opened(sizes)
+            width = widths(sizes)
+            cols.append((np.cumsum(opened(toks)), np.frombuffer(keys, np.int64)[unit], sizes[unit], opened(pos), (np.cumsum(width) - width)[unit] + offset))
+            if sketched:
+                words.append(np.frombuffer(sketch, np.uint64))
+                offset += len(words[-1])
+        tok, key, n, pos, at = (np.concatenate(c) for c in zip(*cols, strict=True))
+        del cols
+        sketch = np.concatenate(words) if sketched else None
+        order_ = np.lexsort((key, n, tok))
+        tok, key = tok[order_], key[order_]
+        new = np.ones(len(tok), dtype=bool)
+        new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
+        keep = np.flatnonzero(new)
+        first = np.ones(len(keep), dtype=bool)
+        first[1:] = tok[keep][1:] != tok[keep][:-1]
+        size = np.diff(np.append(np.flatnonzero(first), len(keep)))
+        hot = tok[keep] >> 62 != 0
+        own = keep[(np.repeat(size, size) > 1) | hot]
+        tok, key, order_ = tok[own], key[own], order_[own]
+        n, pos, at = n[order_], pos[order_], at[order_]
+        width, hot = widths(n), tok >> 62 != 0
+        begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(tok)), bool), tok[1:] != tok[:-1]]))
+        size = np.diff(np.append(begin, len(tok)))
+        of_list = np.repeat(np.arange(len(size)), size)
+        m = size[of_list]
+        all_meet = m <= (SKETCHED if sketched else SHORT)
+        tells_all = m <= SHORT
+        found: list[np.ndarray] = []
+        best, by, degree = np.full(len(tok), LAST), np.full(len(tok), -1), np.zeros(len(tok), np.int64)
 
+        def tell(i: np.ndarray, j: np.ndarray) -> None:
+            good = _possible(n[i], n[j], pos[i], pos[j])
+            i, j = i[good], j[good]
+            if sketched:
+                far = _apart(sketch, at, width, i, j)
+                good = (100 + SIMILAR) * far <= (100 - SIMILAR) * (n[i] + n[j])
+                i, j, far = i[good], j[good], far[good]
+            else:
+                far = np.zeros(len(i), np.int64)
+            now = tells_all[i] | ~all_meet[i]
+            found.append(np.stack([key[i[now]], key[j[now]]]))
+            for x, y in ((i[~now], j[~now]), (j[~now], i[~now])):  # of longer lists each class's nearest
+                degree[:] += np.bincount(x, minlength=len(degree))
+                o = np.lexsort((far[~now], x))
+                o = o[np.concatenate([np.ones(min(1, len(o)), bool), x[o][1:] != x[o][:-1]])]
+                o = o[far[~now][o] < best[x[o]]]
+                best[x[o]], by[x[o]] = far[~now][o], y[o]
+
+        held, count = [], 0
+        i, d = np.arange(len(tok)), 1
+        while len(i):
+            i = i[: np.searchsorted(i, len(tok) - d)]
+            if d == NEAR + 1:
+                i = i[all_meet[i]]
+            i = i[(of_list[i] == of_list[i + d]) & (100 * n[i] >= SIMILAR * n[np.minimum(i + d, len(n) - 1)])]
+            held.append((i, i + d))
+            count += len(i)
+            d += 1
+            if count > 400_000 or not len(i):
+                tell(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, count = [], 0
+        long = np.flatnonzero(~all_meet)
+        if len(long):
+            tell(np.minimum((begin + size // 2)[of_list[long]], long), np.maximum((begin + size // 2)[of_list[long]], long))
+        x = np.flatnonzero(by >= 0)
+        found.append(np.stack([key[x], key[by[x]]]))
+        a, b = np.concatenate(found, axis=1)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        o = np.lexsort((b, a))
+        a, b = a[o], b[o]
+        new = (a != b) & np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        a, b = a[new], b[new]
+        open_ = np.flatnonzero(hot | ~all_meet | (~tells_all & (degree > 1)))
+        kinds = dict.fromkeys(("a", "b", "tok", "key"), pa.int64())
+        return pa.Table.from_batches([_arrow(kinds, len(a), a=a, b=b), _arrow(kinds, len(open_), tok=tok[open_], key=key[open_])])
 
-def lists(docs: DataFrame, rows: DataFrame, hot: tuple[np.ndarray, np.ndarray], lines: bool = False, k: int = SHINGLE, light: int = 0) -> DataFrame:
-    """STARS rows of every inverted list with two classes at least; lists of one class are gone. Lists form
-    within a cell (a batch of documents) first: its members with the first of them, which then meets
-    those of other cells, so no task gathers a list that a third of the documents share. Prefixes are
-    shuffled as blocks, one for each cell and bucket of elements. Classes that can only have partners of
-    at most light elements, as they have, are left out."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    size = rows.agg(F.sum(F.ceil(F.col("n") * (100 - SIMILAR) / 100.0) + 1).alias("p")).first()["p"] or 0
-    buckets = max(8, -(-size // BUCKET))
-    blocks = docs.select("doc_id", "text").mapInArrow(_prefixes(lines, k, shared, light, buckets), BLOCKS)
-    return stored(blocks.groupBy("bucket").applyInPandas(_stars(light), STARS), "lists")
-
-
-def first_pairs(met: DataFrame) -> DataFrame:
-    """One pair (a, a_doc, b, b_doc) for each member b of a list: with the earliest of its lists' firsts
-    that passes the filters."""
-    best = F.min_by(F.struct(F.col("rep_key").alias("a"), F.col("rep_doc").alias("a_doc"), F.col("doc").alias("b_doc")), F.struct("rep_doc", "rep_line", "rep_key", "doc"))
-    return met.filter("candidate").groupBy(F.col("key").alias("b")).agg(best.alias("x")).select("x.a", "x.a_doc", "b", "x.b_doc")
-
-
-def rivals(met: DataFrame) -> DataFrame:
-    """Every member of the lists, the firsts included, once: tok, key, doc, line, n, pos."""
-    ends = met.select(*_COLS).unionByName(met.select("tok", *[F.col(f"rep_{c}").alias(c) for c in _COLS[1:]]))
-    return ends.groupBy("tok", "key").agg(F.min(F.struct("doc", "line", "n", "pos")).alias("x")).select("tok", "key", "x.*")
-
-
-def _second(earlier: bool, light: int, best: bool):
-    """For rows sorted by (tok, part): the pairs of a list's strays with its members that pass the
-    filters and the sketches; with best each stray's nearest only."""
-
-    def pairs(rows: list[np.ndarray], sketch: list[bytes]) -> Iterator[np.ndarray]:
-        """far, a, a_doc, b, b_doc of each stray's pairs, as the columns of an array."""
-        _, _, stray, key, doc, line, n, pos, group = rows
-        by: dict[int, list[int]] = {}
-        for i in np.flatnonzero(stray == 0).tolist():
-            by.setdefault(len(sketch[i]), []).append(i)
-        tables = [(np.array(v), np.frombuffer(b"".join(sketch[i] for i in v), np.uint8).reshape(len(v), size)) for size, v in by.items()]
-        for s in np.flatnonzero(stray != 0).tolist():
-            mine = np.frombuffer(sketch[s], np.uint8)
-            for at, table in tables:
-                good = _possible(n[at], n[s], pos[at], pos[s]) & (group[at] != group[s]) & (np.maximum(n[at], n[s]) > light)
-                if earlier:
-                    good &= (doc[at] < doc[s]) | ((doc[at] == doc[s]) & ((line[at] < line[s]) | ((line[at] == line[s]) & (key[at] < key[s]))))
-                at, x, y = at[good], table[good], mine
-                if not len(at):
-                    continue
-                while x.shape[1] > len(y):
-                    x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
-                while len(y) > x.shape[1]:
-                    y = y[: len(y) // 2] | y[len(y) // 2 :]
-                far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                hit = np.flatnonzero((100 + SIMILAR) * far <= (100 - SIMILAR) * (n[at] + n[s]))
-                if best and len(hit):
-                    hit = hit[[far[hit].argmin()]]
-                at = at[hit]
-                yield np.stack([far[hit], key[at], doc[at], np.full(len(at), key[s]), np.full(len(at), doc[s])])
-
-    def told(found: list[np.ndarray]) -> pa.RecordBatch:
-        cols = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
-        if best:  # of a stray's pairs the nearest
-            order = np.lexsort((cols[1], cols[0], cols[3]))
-            cols = cols[:, order]
-            cols = cols[:, np.concatenate([[True], cols[3][1:] != cols[3][:-1]])] if len(order) else cols
-        return _arrow(**{c: (cols[i], pa.int64()) for i, c in enumerate(("far", "a", "a_doc", "b", "b_doc"))})
+    return of
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        found: list[np.ndarray] = []
-        size = 0
 
-        def done(t: pa.Table) -> Iterator[np.ndarray]:
-            cols = [t.column(i).to_numpy() for i in range(9)]
-            sketch = t.column(9).to_pylist()
-            ends = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
-            for a, b in zip([0, *ends.tolist()], [*ends.tolist(), t.num_rows], strict=True):
-                yield from pairs([c[a:b] for c in cols], sketch[a:b])
+def met(blocks: DataFrame, sketched: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes that the filters leave, each once, and (tok, key) of the lists that are open."""
+    found = stored(blocks.groupBy("bucket").applyInArrow(_meet(sketched), _MET), "met")
+    return found.filter("a is not null").select("a", "b").distinct(), found.filter("key is not null").select("tok", "key")
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            tok, part = held.column(0).to_numpy(), held.column(1).to_numpy()
-            last = np.flatnonzero((tok != tok[-1]) | (part != part[-1])) if len(tok) else []
-            if not len(last):
-                continue
-            whole, held = held.slice(0, int(last[-1]) + 1), held.slice(int(last[-1]) + 1)
-            for x in done(whole):
-                found.append(x)
-                size += x.shape[1]
-                if size > 100_000:
-                    yield told(found)
-                    found, size = [], 0
-        for x in done(held) if held is not None and held.num_rows else ():
-            found.append(x)
-            size += x.shape[1]
-            if size > 100_000:
-                yield told(found)
-                found, size = [], 0
-        yield told(found)
 
-    return of
+# --- sets, links ------------------------------------------------------------------------------------
 
 
-def _shared(earlier: bool, light: int):
-    """For rows sorted by (tok, doc, line, key), of short lists: the pairs of a stray with a member that pass the
-    filters, each with how many elements it shares in the rows of a batch."""
-
-    def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
-        tok, key, doc, _, n, pos, stray, grp, late = cols
-        found = []
-        for d in range(1, SHORT):
-            i = np.flatnonzero(tok[:-d] == tok[d:])
-            if not len(i):
-                break
-            j = i + d
-            good = (stray[j] if earlier else stray[i] | stray[j]) & (grp[i] != grp[j]) & (np.maximum(n[i], n[j]) > light)
-            good &= _possible(n[i], n[j], pos[i], pos[j])
-            i, j = i[good], j[good]
-            swap = (key[i] > key[j]) & (not earlier)
-            found.append((np.where(swap, j, i), np.where(swap, i, j)))
-        i, j = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        order = np.lexsort((key[j], key[i]))
-        i, j = i[order], j[order]
-        new = np.concatenate([[True], (key[i][1:] != key[i][:-1]) | (key[j][1:] != key[j][:-1])]) if len(i) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        c = np.diff(np.append(at, len(i)))
-        i, j = i[at], j[at]
-        return _arrow(**{name: (v, pa.int64()) for name, v in (("a", key[i]), ("a_doc", doc[i]), ("b", key[j]), ("b_doc", doc[j]), ("a_n", n[i]), ("b_n", n[j]), ("c", c), ("late", np.minimum(late[i], late[j])))})
+def _fetch(lines: bool, k: int, shared):
+    kinds = {"key": pa.int64(), "n": pa.int32(), "items": pa.binary()}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        done = lambda t: pairs([t.column(k).to_numpy() for k in range(9)])
+        release()
+        ranks = shared.value
         for batch in batches:
-            held = pa.Table.from_batches([*([] if held is None else held.to_batches()), batch])
-            if held.num_rows < GATHER:
-                continue
-            tok = held.column(0).to_numpy()
-            if len(last := np.flatnonzero(tok != tok[-1])):
-                yield done(held.slice(0, int(last[-1]) + 1))
-                held = held.slice(int(last[-1]) + 1)
-        if held is not None and held.num_rows:
-            yield done(held)
+            wanted = np.unique(pc.list_flatten(batch.column(3)).to_numpy(zero_copy_only=False))
+            for _, _, _, bounds, h in parted(batch, lines):
+                bounds, flat = sets_of(bounds, h, k, ranks)
+                keys, first = np.unique(set_keys(bounds, flat), return_index=True)
+                good = np.isin(keys, wanted) & (np.diff(bounds)[first] > 0)
+                own = first[good]
+                yield _arrow(kinds, len(own), key=keys[good], n=np.diff(bounds)[own], items=[flat[bounds[i] : bounds[i + 1]].tobytes() for i in own.tolist()])
 
     return of
 
 
-#: Members of a list that one task takes at most; of a list whose pairs are counted; rows counted together.
-PART, SHORT, GATHER = 50_000, 10, 200_000
-
-
-def second_pairs(own: DataFrame, rows: DataFrame, earlier: bool, light: int = 0, best: bool = False) -> DataFrame:
-    """Pairs (a, a_doc, b, b_doc) of a stray with members of its lists. own: tok, key, doc, line, n, pos, stray,
-    grp of rivals; pairs within a grp aren't made. earlier: b is the stray and a comes before it.
-
-    In short lists the pairs are counted by how many prefix elements they share: all of the intersection up
-    to the end of the prefix that ends first is among them, and what lies beyond is less than 80 % of that
-    set. Elements in long lists count as shared. In long lists strays are compared with members by their
-    sketches; the members are dealt to parts and the strays go to each. With best, each class gets only
-    the pair that looks most alike: most are linked by it, and a second call pairs the rest."""
-    lists_ = own.groupBy("tok").agg(F.count("*").alias("m"), F.max(F.col("stray").cast("int")).alias("any")).filter("any = 1 and m > 1").drop("any")
-    own = stored(own.join(lists_, "tok"), "rivals")
-    late = own.filter(F.col("m") > SHORT).groupBy("key").agg(F.count("*").alias("late"))
-    n = count_partitions(own.sparkSession)
-    short = own.filter(F.col("m") <= SHORT).join(late, "key", "left")
-    short = short.select("tok", "key", "doc", F.col("line").cast("long"), F.col("n").cast("long"), F.col("pos").cast("long"), "stray", "grp", F.coalesce("late", F.lit(0)).cast("long").alias("late"))
-    short = short.repartition(n, "tok").sortWithinPartitions("tok", "doc", "line", "key")
-    counted = short.mapInArrow(_shared(earlier, light), ", ".join(f"{c} long" for c in ("a", "a_doc", "b", "b_doc", "a_n", "b_n", "c", "late")))
-    counted = counted.groupBy("a", "b").agg(*[F.min(x).alias(x) for x in ("a_doc", "b_doc", "a_n", "b_n", "late")], F.sum("c").alias("c"))
-    least = f"ceil({SIMILAR} * (a_n + b_n) / {100 + SIMILAR}.0) - ceil({SIMILAR} * greatest(a_n, b_n) / 100.0) + 1"
-    counted = counted.filter(f"c + late >= {least}").select("c", "a", "a_doc", "b", "b_doc")
-    pair = F.struct("a", "a_doc", "b", "b_doc")
-    if best:
-        counted = stored(counted, "counted")
-        tops = [counted.groupBy(side).agg(F.max_by(pair, F.struct("c", "a", "b")).alias("x")).select("x.*") for side in (("b",) if earlier else ("a", "b"))]
-        counted = tops[0] if earlier else tops[0].union(tops[1]).distinct()
-    else:
-        counted = counted.drop("c")
-    long = own.filter(F.col("m") > SHORT).withColumn("parts", F.ceil(F.col("m") / PART))
-    long = long.join(_sketched(rows, long.select("key")).drop("n"), "key")
-    members = long.select("tok", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), F.lit(0).alias("probe"), "key", "doc", "line", "n", "pos", "grp", "sketch")
-    strays = long.filter("stray").select("tok", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"), "key", "doc", "line", "n", "pos", "grp", "sketch")
-    met = members.unionByName(strays).repartition(n, "tok", "part").sortWithinPartitions("tok", "part")
-    found = met.mapInArrow(_second(earlier, light, best), "far long, a long, a_doc long, b long, b_doc long")
-    if best:
-        found = found.groupBy(F.col("b").alias("of")).agg(F.min_by(pair, F.struct("far", "a")).alias("x")).select("x.*")
-    return counted.unionByName(found.select("a", "a_doc", "b", "b_doc"))
-
-
-def _fetch(lines: bool, k: int):
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = np.unique(pc.list_flatten(batch.column(2)).to_numpy(zero_copy_only=False))
-            for _, _, keys, bounds, flat in units(batch, lines, k):
-                _, first = np.unique(keys, return_index=True)
-                at = first[np.isin(keys[first], wanted) & (np.diff(bounds)[first] > 0)]
-                yield _arrow(key=(keys[at], pa.int64()), items=([flat[bounds[i] : bounds[i + 1]].tobytes() for i in at.tolist()], pa.binary()))
-
-    return of
+def fetched(keys: DataFrame, units: DataFrame, docs: DataFrame, ranks: np.ndarray, lines: bool = False, k: int = SHINGLE) -> DataFrame:
+    """key, n, items (the set) of these classes, made again from one text that has each."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    keys = stored(keys.distinct(), "keys")
+    at = units.join(small_or_shuffled(keys, keys.count()), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc", "src")).alias("x"))
+    at = stored(at.groupBy("x.doc", "x.src").agg(F.collect_list("key").alias("keys")), "wanted")  # as many as a text has units
+    at = at.withColumnRenamed("src", "_src")
+    texts = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
+    texts = texts.join(small_or_shuffled(at, keys.count()), (texts["doc"] == at["doc"]) & (F.col("src") == F.col("_src")))
+    sets = stored(texts.select("doc_id", "text", "src", "keys").mapInArrow(_fetch(lines, k, shared), "key long, n int, items binary"), "found", TEXTS)
+    return stored(sets.groupBy("key").agg(F.first("n").alias("n"), F.first("items").alias("items")), "sets")
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches don't rule them out: linked sets have at most a ninth of their elements apart."""
-    for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(4, 8)]
-        good = [(100 + SIMILAR) * apart(p, q) <= (100 - SIMILAR) * (n + m) for n, m, p, q in zip(*cols, strict=True)]
-        yield batch.select([0, 1, 2, 3]).filter(pa.array(good, pa.bool_()))
+def _linked(s: np.ndarray, t: np.ndarray) -> bool:
+    s, t = (s, t) if len(s) <= len(t) else (t, s)
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    same = int((t[at] == s).sum())
+    return 100 * same >= SIMILAR * (len(s) + len(t) - same)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = []
-        for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            s, t = sorted((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)), key=len)
-            at = np.searchsorted(t, s)
-            at[at == len(t)] = 0
-            same = int((t[at] == s).sum())
-            good.append(100 * same >= SIMILAR * (len(s) + len(t) - same))
+        good = [_linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def _sketched(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, n, sketch of these classes."""
-    keys = stored(keys.distinct(), "keys")
-    return rows.join(small_or_shuffled(keys, keys.count()), "key", "left_semi").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that link."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("items").alias(f"{side}_items")), side)
+    return stored(pairs.select("a", "b", "a_items", "b_items").mapInArrow(_verify, "a long, b long"), "links", SETS)
+
+
+def _probe(earlier: bool):
+    """For rows sorted by (tok, part, probe): each stray (probe 1) with the members of its part (probe 0). earlier:
+    the first member found that comes before the stray and links; else one of each other grp."""
+    kinds = {"a": pa.int64(), "b": pa.int64()}
+
+    class Members:
+        def __init__(self) -> None:
+            self.rows: list[tuple] = []
+            self.tables: list[tuple] | None = None
+
+        def probe(self, key: int, grp: int, place: tuple, items: np.ndarray) -> Iterator[tuple[int, int]]:
+            if self.tables is None:  # by width of the sketch: rows, sketches
+                width = [8 * int(widths(np.array([len(r[3])]))[0]) for r in self.rows]
+                self.tables = []
+                for w in sorted(set(width)):
+                    own = [i for i, v in enumerate(width) if v == w]
+                    sets = [self.rows[i][3] for i in own]
+                    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                    self.tables.append((np.array(own), np.diff(bounds), sketches(bounds, np.concatenate(sets), np.full(len(own), w)).reshape(len(own), w)))
+                self.grps, self.keys = np.array([r[1] for r in self.rows]), np.array([r[0] for r in self.rows])
+                rank = {p: i for i, p in enumerate(sorted({r[2] for r in self.rows}))}
+                self.order, self.places = np.array([rank[r[2]] for r in self.rows]), sorted(rank)
+            found, far = [], []
+            mine, n = np.array([0, len(items)]), len(items)
+            for own, m, table in self.tables:
+                near = (100 * np.minimum(m, n) >= SIMILAR * np.maximum(m, n)) & (self.grps[own] != grp) & (self.keys[own] != key)
+                if earlier:
+                    import bisect
+
+                    near &= self.order[own] < bisect.bisect_left(self.places, place)
+                at = np.flatnonzero(near)
+                if len(at):
+                    d = np.bitwise_count(table[at] ^ sketches(mine, items, np.array([table.shape[1]]))).sum(axis=1, dtype=np.int64)
+                    good = (100 + SIMILAR) * d <= (100 - SIMILAR) * (m[at] + n)
+                    found.append(own[at[good]])
+                    far.append(d[good])
+            if not found:
+                return
+            found = np.concatenate(found)[np.argsort(np.concatenate(far), kind="stable")]
+            done: set[int] = set()
+            for i in found.tolist():
+                other, of, _, its = self.rows[i]
+                if of not in done and _linked(its, items):
+                    yield other, key
+                    if earlier:
+                        return
+                    done.add(of)
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, members = None, Members()
+        for batch in batches:
+            out = []
+            for tok, part, probe, key, grp, doc, line, items in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if (tok, part) != at:
+                    at, members = (tok, part), Members()
+                row = (key, grp, (doc, line, key), np.frombuffer(items, np.uint64))
+                if probe:
+                    out += list(members.probe(*row)) if members.rows else []
+                else:
+                    members.rows.append(row)
+            yield _arrow(kinds, len(out), a=[x for x, _ in out], b=[y for _, y in out])
 
-def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, lines: bool = False, k: int = SHINGLE) -> DataFrame:
-    """Those of the pairs (a, a_doc, b, b_doc: keys, and documents that hold them) that link, as
-    (a, b). rows: of the survey. Pairs that their sketches rule out are gone before sets are made; these
-    are made again for the classes of the others only, from their own documents."""
-    pairs = stored(pairs.groupBy("a", "b").agg(F.min("a_doc").alias("a_doc"), F.min("b_doc").alias("b_doc")), "candidates")
-    known = _sketched(rows, pairs.select(F.col("a").alias("key")).union(pairs.select("b"))).withColumnRenamed("sketch", "s")
-    for side in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("key").alias(side), F.col("n").alias(f"{side}_n"), F.col("s").alias(f"{side}_s")), side)
-    pairs = stored(pairs.select("a", "b", "a_doc", "b_doc", "a_n", "b_n", "a_s", "b_s").mapInArrow(_near, "a long, b long, a_doc long, b_doc long"), "pairs")
-    ends = pairs.select(F.col("a").alias("key"), F.col("a_doc").alias("doc")).unionByName(pairs.select(F.col("b").alias("key"), F.col("b_doc").alias("doc")))
-    wanted = ends.groupBy("key").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("key").alias("keys"))  # as many as a document has units
-    wanted = stored(wanted, "wanted")
-    texts = docs.select(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)).alias("doc"), "text")
-    texts = texts.join(small_or_shuffled(wanted, wanted.count()), "doc").select("doc", "text", "keys")
-    sets = stored(texts.mapInArrow(_fetch(lines, k), "key long, items binary"), "sets")
-    met = pairs.select("a", "b").join(sets.select(F.col("key").alias("b"), F.col("items").alias("b_items")), "b")
-    met = met.join(sets.select(F.col("key").alias("a"), F.col("items").alias("a_items")), "a")
-    return stored(met.select("a", "b", "a_items", "b_items").mapInArrow(_verify, "a long, b long").distinct(), "links")
+    return of
+
+
+def second_links(own: DataFrame, sets: DataFrame, earlier: bool) -> DataFrame:
+    """Links (a, b) of strays b of open lists with members of the list. own: tok, key, stray, grp, doc, line; those of
+    one grp aren't held against each other, and with earlier only what comes before is. A list's members are
+    dealt to parts, the strays go to each."""
+    own = own.join(sets, "key")
+    size = own.groupBy("tok").agg(F.sum("n").alias("all"), F.max(F.col("stray").cast("int")).alias("any"), F.count("*").alias("m")).filter("any = 1 and m > 1")
+    own = own.join(size.select("tok", F.ceil(F.col("all") / PART).alias("parts")), "tok")
+    rest = ("key", "grp", "doc", "line", "items")
+    members = own.select("tok", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), F.lit(0).alias("probe"), *rest)
+    strays = own.filter("stray").select("tok", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"), *rest)
+    dealt_ = members.unionByName(strays).repartition(count_partitions(own.sparkSession), "tok", "part").sortWithinPartitions("tok", "part", "probe")
+    return stored(dealt_.mapInArrow(_probe(earlier), "a long, b long"), "links", SETS).distinct()

@@ -1,5 +1,7 @@
 """The Jaccard join and line dedup against brute force."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -8,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillon.llm import common, jaccard, lines, setjoin
-from tests.llm.conftest import shingles
+from tests.llm.conftest import edited, prose, shingles, words
 
 
 def brute_components(rows):
@@ -37,37 +39,44 @@ def result(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-@pytest.mark.parametrize("hot", [(3, 24), (1, 1)])
-def test_components(documents, corpus, monkeypatch, hot):
-    monkeypatch.setattr(setjoin, "LOCAL", hot[0])
-    monkeypatch.setattr(setjoin, "HOT", hot[1])
-    monkeypatch.setattr(setjoin, "PART", 3)
-    monkeypatch.setattr(setjoin, "SHORT", 10 if hot[0] > 1 else 3)
-    assert result(jaccard.groups(documents)) == brute_components(corpus)
+#: Limits that are small enough for each path: lists in parts, long lists, lists of which only the nearest are told.
+PATHS = [{}, {"SHORT": 2, "SKETCHED": 2, "NEAR": 1, "PART": 40}, {"SHORT": 2, "HOT": 2, "CELL": 50, "BUCKET": 20}, {"SHORT": 1, "SKETCHED": 100}]
+
+
+def limited(monkeypatch, limits):
+    """The limits hold in the workers too: functions are sent with the module's values."""
+    for name, v in limits.items():
+        monkeypatch.setattr(setjoin, name, v)
+
+
+@pytest.mark.parametrize("limits", PATHS)
+def test_components(documents, corpus, monkeypatch, limits):
+    limited(monkeypatch, limits)
+    assert result(jaccard.groups(documents).select("doc_id", "n_shingles", "component_id")) == brute_components(corpus)
 
 
 def test_components_with_and_without_enumeration(documents, corpus, monkeypatch):
     want = brute_components(corpus)
     for light in (0, 6, 12):
         monkeypatch.setattr(jaccard, "boundary", lambda sizes, light=light: light)
-        assert result(jaccard.groups(documents)) == want
+        assert result(jaccard.groups(documents).select("doc_id", "n_shingles", "component_id")) == want
 
 
 def test_boundary_follows_the_counts():
-    assert jaccard.boundary({}) in range(0, 13) and jaccard.boundary({12: 10**6}) < 12
-    assert jaccard.boundary({1: 100, 2: 100, 3: 50}) >= 3
+    by = lambda **n: [n.get(f"n{i}", 0) for i in range(64)]
+    assert jaccard.boundary(by(n12=10**6)) < 12 and jaccard.boundary(by(n1=100, n2=100, n3=50)) >= 3 and jaccard.boundary([0] * 64) < 64
 
 
 def test_empty_null_and_repeated(spark, nothing):
     assert jaccard.groups(nothing).collect() == []
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (7, None), (None, None), (9, "")]
-    got = sorted(map(tuple, jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    got = sorted(map(tuple, jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_hash", "first").collect()), key=str)
     assert got == sorted([(None, 2, None), (5, 2, 5), (5, 2, 5), (7, 0, 7), (None, 0, None), (9, 0, 9)], key=str)
 
 
 def test_long_chain_is_one_component(spark):
     rows = [(i, " ".join(f"w{j}" for j in range(i, i + 60))) for i in range(0, 90, 3)]
-    got = result(jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = result(jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_hash", "first"))
     assert got == brute_components(rows) and {r[2] for r in got} == {0}
 
 
@@ -77,11 +86,11 @@ def test_components_of_edges(spark):
 
 
 def brute_lines(rows):
-    """doc_id: numbers of the lines that go."""
+    """doc_id: numbers of the lines that go. Lines are sets of words."""
     seen, gone = [], {}
     for i, t in sorted((r for r in rows if r[1] is not None), key=lambda r: r[0]):
         for n, line in enumerate(t.split("\n")):
-            s = shingles(line)
+            s = shingles(line, 1)
             if s:
                 if any(100 * len(s & o) >= 80 * len(s | o) for o in seen):
                     gone.setdefault(i, []).append(n)
@@ -89,10 +98,9 @@ def brute_lines(rows):
     return gone
 
 
-@pytest.mark.parametrize("part", [50_000, 2])
-def test_lines(documents, corpus, monkeypatch, part):
-    monkeypatch.setattr(setjoin, "PART", part)
-    monkeypatch.setattr(setjoin, "SHORT", 10 if part > 2 else 3)
+@pytest.mark.parametrize("limits", PATHS)
+def test_lines(documents, corpus, monkeypatch, limits):
+    limited(monkeypatch, limits)
     gone = brute_lines(corpus)
     got = {r["doc_id"]: r for r in lines.dedup(documents).collect()}
     assert {i: list(r["removed_lines"]) for i, r in got.items() if r["removed_lines"]} == gone
@@ -116,26 +124,57 @@ def test_lines_of_different_texts_under_one_id(spark):
     assert sorted(t in near for i, t in got if i == 9) == [False, True]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab \n\tÉ\x1c.", max_size=40)), max_size=12), st.integers(0, 3))
-def test_sets_of_slices(texts, offset):
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="abA \n\tÉ\x1c.", max_size=40)), max_size=12), st.integers(0, 3), st.sampled_from([1, 5]), st.sampled_from([1, 7, 1 << 17]))
+def test_sets_of_slices(texts, offset, k, chunk):
     array = pa.array([None] * offset + texts, pa.string()).slice(offset)
-    bounds, flat = common.text_sets(array)
+    whole, common._CHUNK = common._CHUNK, chunk
+    try:
+        words_ = common.hashed_words(*common.raw(array))
+    finally:
+        common._CHUNK = whole
+    assert np.diff(words_[0]).tolist() == [len(words(t)) for t in texts]
+    bounds, flat = common.sets_of(*words_, k)
     keys = common.set_keys(bounds, flat)
     for i, t in enumerate(texts):
         s = flat[bounds[i] : bounds[i + 1]]
-        assert len(s) == len(shingles(t)) and (np.diff(s.astype(object)) > 0).all()
+        assert len(s) == len(shingles(t, k)) and (np.diff(s.astype(object)) > 0).all()
         for j in range(i):
-            assert (keys[i] == keys[j]) == (shingles(t) == shingles(texts[j]))
+            assert (keys[i] == keys[j]) == (shingles(t, k) == shingles(texts[j], k))
+
+
+def test_bytes_that_are_not_utf8(spark):
+    df = spark.createDataFrame([(1, "same words in all of these"), (2, "same words in all of these"), (3, "other")], "doc_id long, text string")
+    df = df.withColumn("text", F.concat(F.unhex(F.lit("ff80")).cast("string"), "text"))
+    assert sorted(r["component_id"] for r in jaccard.groups(df).collect()) == [1, 1, 3]
+    assert [(r["doc_id"], r["n_lines"], len(r["removed_lines"])) for r in lines.dedup(df).orderBy("doc_id").collect()] == [(1, 1, 0), (2, 1, 1), (3, 1, 0)]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(5)
+    long = prose(rng, 60_000, 10**6)
+    rows = [(1, long), (2, edited(rng, long, 0.001)), (3, prose(rng, 50_000, 10**6)), (4, "\n".join(["x", long])), (5, "w" * 300_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["component_id"] for r in jaccard.groups(df).orderBy("doc_id").collect()] == [1, 1, 3, 1, 5]
+    assert {r["doc_id"]: list(r["removed_lines"]) for r in lines.dedup(df).collect()} == {1: [], 2: [0], 3: [], 4: [1], 5: []}
+
+
+def test_different_texts_under_one_id_are_joined_apart(spark):
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    df = spark.createDataFrame([(1, a), (1, b), (2, b), (None, a), (None, "u v w x y z")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["component_id"] or 0, r["first"]) for r in jaccard.groups(df).collect())
+    assert got == [("1", 1, True), ("1", 1, True), ("2", 1, False), ("None", 0, False), ("None", 0, True)]
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=200), st.sets(st.integers(0, 2**64 - 1), max_size=60), st.data())
+@given(st.sets(st.integers(0, 2**48 - 1), min_size=1, max_size=300), st.sets(st.integers(0, 2**48 - 1), max_size=60), st.data())
 def test_sketches_never_rule_out_too_much(a, extra, data):
     b = set(data.draw(st.lists(st.sampled_from(sorted(a)), min_size=1))) | extra
-    flat = [np.sort(np.array(list(s), np.uint64)) for s in (a, b)]
-    x, y = setjoin.sketches(np.array([0, len(a), len(a) + len(b)]), np.concatenate(flat)).to_pylist()
-    assert setjoin.apart(x, y) <= len(a ^ b)
+    n = np.array([len(a), len(b)])
+    flat = np.concatenate([np.sort(np.array(list(s), np.uint64)) for s in (a, b)])
+    width = setjoin.widths(n)
+    sketch = setjoin.sketches(np.append(0, np.cumsum(n)), flat, width)
+    assert setjoin._apart(sketch, np.cumsum(width) - width, width, np.array([0]), np.array([1]))[0] <= len(a ^ b)
 
 
 @settings(max_examples=50, deadline=None)
