@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _A, _B, SHINGLE, SIMILAR, dealt, mix, opened, shingle_hashes, small_or_shuffled, split_words, squeezed, stored, word_hashes
+from .common import _A, _B, SHINGLE, SIMILAR, dealt, hashed_words, mix, opened, run_hashes, slices, small_or_shuffled, squeezed, stored
 
 #: Words of the shortest passage; hash functions, and how many must agree.
 SHORTEST, HASHES, NEED = 50, 6, 2
@@ -66,11 +66,11 @@ def compact_windows(a: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
 
 def _runs(texts: pa.Array) -> Iterator[np.ndarray]:
     """The shingle hashes of each text, in order; none of texts of fewer words."""
-    bounds, words = split_words(texts)
-    h = word_hashes(words)
-    runs = shingle_hashes(h) if len(h) >= SHINGLE else h[:0]
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        yield runs[a : max(a, b - SHINGLE + 1)]
+    for _, _, data, edges in slices(texts):
+        bounds, h = hashed_words(data, edges)
+        runs = run_hashes(h)
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield runs[a : max(a, b - SHINGLE + 1)]
 
 
 _FIELDS = ("v", "doc", "l", "r")
