@@ -32,14 +32,14 @@ LEAST = 4
 #: Blocks in which the table of counts is added up.
 TABLE_BLOCKS = 256
 #: Prefix elements of a bucket, about, and of a cell, in which a class is sent once.
-BUCKET, CELL = 1_500_000, 1_000_000
+BUCKET, CELL = 1_500_000, 500_000
 #: The longest list whose classes all meet: without sketches, and with them; beyond it, or where more than
 #: all pairs would be told, a class meets the middle one, those up to NEAR places on, and its nearest.
 SHORT, SKETCHED, NEAR = 32, 4096, 4
 #: The rank from which an element's list is dealt to several buckets (2 for each doubling of the count).
 HOT = 32
-#: 64-bit words of the widest sketch in a list; elements of a part of a list in the second step.
-WIDEST, PART = 16, 4_000_000
+#: 32-bit words of the widest sketch in a list; elements of a part of a list in the second step.
+WIDEST, PART = 32, 4_000_000
 #: Rows of texts, and of sets, that go to Python at once.
 TEXTS, SETS = 2000, 500
 
@@ -73,33 +73,17 @@ def parted(batch: pa.RecordBatch, lines: bool) -> Iterator[tuple[np.ndarray, np.
 def _tally(k: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        total, held, size, sizes = np.zeros(1 << TABLE_BITS, dtype=np.int64), [], 0, np.zeros(65, dtype=np.int64)
-
-        def add() -> None:
-            nonlocal size
-            for x in held:
-                total[:] += np.bincount(x, minlength=len(total))
-            held.clear()
-            size = 0
-
-        some = False
+        total, sizes, some = np.zeros(1 << TABLE_BITS, dtype=np.uint32), np.zeros(65, dtype=np.int64), False
         for batch in batches:
             for _, _, data, edges in slices(batch.column(1)):
                 bounds, h = hashed_words(data, edges)
                 unit, flat = elements(bounds, h, k)
-                held.append((flat >> np.uint64(ELEMENT_BITS - TABLE_BITS)).astype(np.int32))
+                np.add.at(total, (flat >> np.uint64(ELEMENT_BITS - TABLE_BITS)).astype(np.int64), np.uint32(1))
                 n = np.bincount(unit, minlength=1)
                 sizes[:64] += np.bincount(n[n < 64], minlength=64)
                 sizes[64] += len(flat)
-                size += len(flat)
                 some = True
-                if size > 1 << TABLE_BITS:
-                    held[:] = [np.concatenate(held)]
-                    add()
         if some:
-            if held:
-                held[:] = [np.concatenate(held)]
-            add()
             n = len(total) // TABLE_BLOCKS
             blocks = [squeezed(total[i * n : (i + 1) * n]) for i in range(TABLE_BLOCKS)] + [squeezed(sizes)]
             yield pa.RecordBatch.from_pydict({"block": pa.array(range(TABLE_BLOCKS + 1), pa.int32()), "counts": pa.array(blocks, pa.binary())})
@@ -158,8 +142,8 @@ def _subsets(light: int, keys: np.ndarray, bounds: np.ndarray, flat: np.ndarray)
 
 
 def widths(n: np.ndarray) -> np.ndarray:
-    """64-bit words of a set's sketch: as many bits as elements at least, as far as the widest goes."""
-    return np.minimum(1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64), WIDEST)
+    """32-bit words of a set's sketch: as many bits as elements at least, as far as the widest goes."""
+    return np.minimum(1 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64), WIDEST)
 
 
 def sketches(bounds: np.ndarray, flat: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -167,9 +151,9 @@ def sketches(bounds: np.ndarray, flat: np.ndarray, width: np.ndarray) -> np.ndar
     between two sets' bitmaps are elements that only one has."""
     at = np.concatenate([[0], np.cumsum(width)])
     n = np.diff(bounds)
-    bit = (flat & (np.repeat(64 * width, n) - 1).astype(np.uint64)).astype(np.int64)
-    out = np.zeros(at[-1], dtype=np.uint64)
-    np.bitwise_or.at(out, np.repeat(at[:-1], n) + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    bit = (flat & (np.repeat(32 * width, n) - 1).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(at[-1], dtype=np.uint32)
+    np.bitwise_or.at(out, np.repeat(at[:-1], n) + (bit >> 5), np.uint32(1) << (bit & 31).astype(np.uint32))
     return out
 
 
@@ -181,7 +165,8 @@ def _spans(at: np.ndarray, n: np.ndarray) -> np.ndarray:
 _UNITS = "doc long, line int, src long, key long, n int"
 _BLOCKS = "bucket long, toks binary, unit binary, pos binary, keys binary, sizes binary, sketch binary"
 _SUBSETS = "subset long, skey long, side int"
-_KINDS = {"doc": pa.int64(), "line": pa.int32(), "src": pa.int64(), "key": pa.int64(), "n": pa.int32(), "bucket": pa.int64(), **{c: pa.binary() for c in ("toks", "unit", "pos", "keys", "sizes", "sketch")}, "subset": pa.int64(), "skey": pa.int64(), "side": pa.int32()}
+_UNIT_KINDS = {"doc": pa.int64(), "line": pa.int32(), "src": pa.int64(), "key": pa.int64(), "n": pa.int32(), "subset": pa.int64(), "skey": pa.int64(), "side": pa.int32()}
+_BLOCK_KINDS = {"bucket": pa.int64(), **{c: pa.binary() for c in ("toks", "unit", "pos", "keys", "sizes", "sketch")}}
 
 
 def _blocks(cell: list[tuple], buckets: int, sketched: bool, hot_rank: int) -> pa.RecordBatch:
@@ -207,26 +192,45 @@ def _blocks(cell: list[tuple], buckets: int, sketched: bool, hot_rank: int) -> p
         units, of = np.unique(unit[own], return_inverse=True)
         t = tok[own].astype(np.int64)
         rows.append((b, squeezed(np.diff(t, prepend=0)), squeezed(of), squeezed(pos[own]), key[units].tobytes(), squeezed(n[units]), sketch[_spans(at[units], width[units])].tobytes() if sketched else b""))
-    names = ("bucket", "toks", "unit", "pos", "keys", "sizes", "sketch")
-    return _arrow(_KINDS, len(rows), **{c: [r[i] for r in rows] for i, c in enumerate(names)})
+    return _arrow(_BLOCK_KINDS, len(rows), **{c: [r[i] for r in rows] for i, c in enumerate(_BLOCK_KINDS)})
 
 
-def _prefixes(lines: bool, k: int, shared, light: int, buckets: int):
+def _units(lines: bool, k: int, shared, light: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        ranks = shared.value
-        cell, size, base, told = [], 0, 0, set()
+        ranks, told = shared.value, set()
         for batch in batches:
             for ids, line, src, bounds, h in parted(batch, lines):
                 bounds, flat = sets_of(bounds, h, k, ranks)
                 keys, n = set_keys(bounds, flat), np.diff(bounds)
                 full = n > 0 if lines else slice(None)
-                yield _arrow(_KINDS, len(keys[full]), doc=ids[full], line=line[full], src=src[full], key=keys[full], n=n[full])
+                yield _arrow(_UNIT_KINDS, len(keys[full]), doc=ids[full], line=line[full], src=src[full], key=keys[full], n=n[full])
                 if light:
                     rows = [r for r in _subsets(light, keys, bounds, flat) if r[1] not in told]
                     if len(told) < 100_000:
                         told.update(r[1] for r in rows)
-                    yield _arrow(_KINDS, len(rows), **{c: [r[i] for r in rows] for i, c in enumerate(("subset", "skey", "side"))})
+                    yield _arrow(_UNIT_KINDS, len(rows), **{c: [r[i] for r in rows] for i, c in enumerate(("subset", "skey", "side"))})
+
+    return of
+
+
+def units(docs: DataFrame, ranks: np.ndarray, lines: bool = False, k: int = SHINGLE, light: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(doc, line, src, key, n) of every unit (of lines only those with words), and the subsets of classes of at
+    most light elements."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    both = stored(docs.mapInArrow(_units(lines, k, shared, light), f"{_UNITS}, {_SUBSETS}"), "units", TEXTS)
+    return both.filter("doc is not null").select("doc", "line", "src", "key", "n"), both.filter("subset is not null").select("subset", "skey", "side")
+
+
+def _prefixes(lines: bool, k: int, shared, light: int, buckets: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        ranks = shared.value
+        cell, size, base = [], 0, 0
+        for batch in batches:
+            for _, _, _, bounds, h in parted(batch, lines):
+                bounds, flat = sets_of(bounds, h, k, ranks)
+                keys, n = set_keys(bounds, flat), np.diff(bounds)
                 wanted = np.flatnonzero((n >= LEAST) & ((n > light) | (100 * n >= SIMILAR * (light + 1))))
                 _, first = np.unique(keys[wanted], return_index=True)
                 wanted = wanted[np.sort(first)]
@@ -236,7 +240,7 @@ def _prefixes(lines: bool, k: int, shared, light: int, buckets: int):
                 prefix = n + (-SIMILAR * n // 100) + 1
                 pos = _spans(np.zeros(len(n), np.int64), prefix)
                 own = np.concatenate([[0], np.cumsum(n)])
-                sketch = sketches(own, flat[_spans(bounds[wanted], n)], widths(n)) if lines else np.zeros(0, np.uint64)
+                sketch = sketches(own, flat[_spans(bounds[wanted], n)], widths(n)) if lines else np.zeros(0, np.uint32)
                 cell.append((flat[_spans(bounds[wanted], prefix)], np.repeat(np.arange(len(n)) + base, prefix), pos, keys[wanted], n, sketch))
                 base += len(n)
                 size += len(pos)
@@ -249,16 +253,6 @@ def _prefixes(lines: bool, k: int, shared, light: int, buckets: int):
     return of
 
 
-def survey(docs: DataFrame, ranks: np.ndarray, lines: bool = False, k: int = SHINGLE, light: int = 0, places: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc, line, src, key, n) of every unit (of lines only those with words), the blocks of the prefixes, and
-    the subsets of classes of at most light elements. places: of elements in all texts. Classes that can only
-    have partners of at most light elements, as they have, are left out of the prefixes."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    buckets = max(8, -(-places * (100 - SIMILAR) // (100 * BUCKET)))
-    all_ = stored(docs.mapInArrow(_prefixes(lines, k, shared, light, buckets), f"{_UNITS}, {_BLOCKS}, {_SUBSETS}"), "survey", TEXTS)
-    return tuple(all_.filter(F.col(kind[0]).isNotNull()).select(*kind) for kind in ([x.split()[0] for x in y.split(", ")] for y in (_UNITS, _BLOCKS, _SUBSETS)))
-
-
 # --- lists ------------------------------------------------------------------------------------------
 
 
@@ -298,9 +292,9 @@ def _meet(sketched: bool):
         for toks, unit, pos, keys, sizes, sketch in zip(*(table.column(c).to_pylist() for c in ("toks", "unit", "pos", "keys", "sizes", "sketch")), strict=True):
             unit, sizes = opened(unit), opened(sizes)
             width = widths(sizes)
-            cols.append((np.cumsum(opened(toks)), np.frombuffer(keys, np.int64)[unit], sizes[unit], opened(pos), (np.cumsum(width) - width)[unit] + offset))
+            cols.append((np.cumsum(opened(toks)), np.frombuffer(keys, np.int64)[unit], sizes[unit].astype(np.int32), opened(pos).astype(np.int32), (np.cumsum(width) - width)[unit] + offset))
             if sketched:
-                words.append(np.frombuffer(sketch, np.uint64))
+                words.append(np.frombuffer(sketch, np.uint32))
                 offset += len(words[-1])
         tok, key, n, pos, at = (np.concatenate(c) for c in zip(*cols, strict=True))
         del cols
@@ -328,11 +322,11 @@ def _meet(sketched: bool):
         best, by, degree = np.full(len(tok), LAST), np.full(len(tok), -1), np.zeros(len(tok), np.int64)
 
         def tell(i: np.ndarray, j: np.ndarray) -> None:
-            good = _possible(n[i], n[j], pos[i], pos[j])
+            good = _possible(*(x.astype(np.int64) for x in (n[i], n[j], pos[i], pos[j])))
             i, j = i[good], j[good]
             if sketched:
                 far = _apart(sketch, at, width, i, j)
-                good = (100 + SIMILAR) * far <= (100 - SIMILAR) * (n[i] + n[j])
+                good = (100 + SIMILAR) * far <= (100 - SIMILAR) * (n[i].astype(np.int64) + n[j])
                 i, j, far = i[good], j[good], far[good]
             else:
                 far = np.zeros(len(i), np.int64)
@@ -351,11 +345,11 @@ def _meet(sketched: bool):
             i = i[: np.searchsorted(i, len(tok) - d)]
             if d == NEAR + 1:
                 i = i[all_meet[i]]
-            i = i[(of_list[i] == of_list[i + d]) & (100 * n[i] >= SIMILAR * n[np.minimum(i + d, len(n) - 1)])]
+            i = i[(of_list[i] == of_list[i + d]) & (100 * n[i].astype(np.int64) >= SIMILAR * n[i + d].astype(np.int64))]
             held.append((i, i + d))
             count += len(i)
             d += 1
-            if count > 400_000 or not len(i):
+            if count > 200_000 or not len(i):
                 tell(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 held, count = [], 0
         long = np.flatnonzero(~all_meet)
@@ -376,10 +370,15 @@ def _meet(sketched: bool):
     return of
 
 
-def met(blocks: DataFrame, sketched: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of classes that the filters leave, each once, and (tok, key) of the lists that are open."""
-    found = stored(blocks.groupBy("bucket").applyInArrow(_meet(sketched), _MET), "met")
-    return found.filter("a is not null").select("a", "b").distinct(), found.filter("key is not null").select("tok", "key")
+def met(docs: DataFrame, ranks: np.ndarray, places: int, lines: bool = False, k: int = SHINGLE, light: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of classes that the filters leave, each once, and (tok, key) of the lists that are open. places:
+    of elements in all texts. Classes that can only have partners of at most light elements, as they have, are
+    left out. Prefixes are shuffled as blocks, one for each cell and bucket of elements."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    buckets = max(8, -(-places * (100 - SIMILAR) // (100 * BUCKET)))
+    blocks = docs.mapInArrow(_prefixes(lines, k, shared, light, buckets), _BLOCKS)
+    found = stored(blocks.groupBy("bucket").applyInArrow(_meet(lines), _MET), "met", TEXTS)
+    return stored(found.filter("a is not null").select("a", "b").distinct(), "pairs"), stored(found.filter("key is not null").select("tok", "key").distinct(), "open")
 
 
 # --- sets, links ------------------------------------------------------------------------------------
