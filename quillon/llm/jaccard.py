@@ -67,12 +67,13 @@ def links(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     if light:
         found = found.unionByName(_light_links(subsets))
     roots = stored(components(found, "a", "b"), "roots")
-    # Second step: classes of an open list that aren't in the component of most of its classes, held against
-    # those of other components.
+    # Second step: the classes of an open list that aren't in the component of most of its classes, held against
+    # those of other components. Lists with one component of most are taken together, so that a class and a
+    # pair come once for many lists.
     own = open_.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("grp", F.coalesce("root", "key")).drop("root")
     most = own.groupBy("tok", "grp").count().groupBy("tok").agg(F.max_by("grp", F.struct("count", "grp")).alias("most"), F.count("*").alias("groups")).filter("groups > 1")
-    own = own.join(most.drop("groups"), "tok").select("tok", "key", (F.col("grp") != F.col("most")).alias("stray"), "grp", F.lit(0).cast("long").alias("doc"), F.lit(0).alias("line"))
-    own = stored(own, "strays")
+    own = own.join(most.drop("groups"), "tok").select(F.col("most").alias("tok"), "key", (F.col("grp") != F.col("most")).alias("stray"), "grp").distinct()
+    own = stored(own.withColumns({"doc": F.lit(0).cast("long"), "line": F.lit(0)}), "strays")
     if not own.isEmpty() and not (more := setjoin.second_links(own, sets, False)).isEmpty():
         roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "a", "b"), "roots")
     return units, roots

@@ -279,12 +279,16 @@ def _apart(sketch: np.ndarray, at: np.ndarray, width: np.ndarray, i: np.ndarray,
     return out
 
 
-_MET = "a long, b long, tok long, key long"
+_MET = "a long, b long, c long, an long, bn long, tok long, key long"
+_MET_KINDS = {x.split()[0]: pa.int64() for x in _MET.split(", ")}
+#: What a pair counts that passes whatever it shares.
+SURE = 1 << 32
 
 
 def _meet(sketched: bool):
-    """Of a bucket's blocks the pairs (a, b) that the filters leave, and (tok, key) of the classes of lists that
-    aren't done with them."""
+    """Of a bucket's blocks the pairs (a, b) that the filters leave, with c, the elements of short lists that they
+    share, and their sizes; (tok, key) of the classes of lists that aren't done with them; and (a, c), how many of
+    these a class is in."""
 
     def of(table: pa.Table) -> pa.Table:
         cols, offset = [], 0
@@ -331,7 +335,7 @@ def _meet(sketched: bool):
             else:
                 far = np.zeros(len(i), np.int64)
             now = tells_all[i] | ~all_meet[i]
-            found.append(np.stack([key[i[now]], key[j[now]]]))
+            found.append(np.stack([key[i[now]], key[j[now]], np.where(tells_all[i[now]] & (not sketched), 1, SURE), n[i[now]], n[j[now]]]))
             for x, y in ((i[~now], j[~now]), (j[~now], i[~now])):  # of longer lists each class's nearest
                 degree[:] += np.bincount(x, minlength=len(degree))
                 o = np.lexsort((far[~now], x))
@@ -356,16 +360,19 @@ def _meet(sketched: bool):
         if len(long):
             tell(np.minimum((begin + size // 2)[of_list[long]], long), np.maximum((begin + size // 2)[of_list[long]], long))
         x = np.flatnonzero(by >= 0)
-        found.append(np.stack([key[x], key[by[x]]]))
-        a, b = np.concatenate(found, axis=1)
-        a, b = np.minimum(a, b), np.maximum(a, b)
+        found.append(np.stack([key[x], key[by[x]], np.full(len(x), SURE), n[x], n[by[x]]]))
+        a, b, c, an, bn = np.concatenate(found, axis=1)
+        swap = a > b
+        a, b, an, bn = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, bn, an), np.where(swap, an, bn)
         o = np.lexsort((b, a))
-        a, b = a[o], b[o]
-        new = (a != b) & np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        a, b = a[new], b[new]
+        o = o[a[o] != b[o]]
+        a, b, c = a[o], b[o], c[o]
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        a, b, c, an, bn = a[new], b[new], np.add.reduceat(c, new) if len(new) else c, an[o][new], bn[o][new]
         open_ = np.flatnonzero(hot | ~all_meet | (~tells_all & (degree > 1)))
-        kinds = dict.fromkeys(("a", "b", "tok", "key"), pa.int64())
-        return pa.Table.from_batches([_arrow(kinds, len(a), a=a, b=b), _arrow(kinds, len(open_), tok=tok[open_], key=key[open_])])
+        late, lates = np.unique(key[open_], return_counts=True)
+        parts = [_arrow(_MET_KINDS, len(a), a=a, b=b, c=c, an=an, bn=bn), _arrow(_MET_KINDS, len(open_), tok=tok[open_], key=key[open_]), _arrow(_MET_KINDS, len(late), a=late, c=lates)]
+        return pa.Table.from_batches(parts)
 
     return of
 
@@ -378,7 +385,16 @@ def met(docs: DataFrame, ranks: np.ndarray, places: int, lines: bool = False, k:
     buckets = max(8, -(-places * (100 - SIMILAR) // (100 * BUCKET)))
     blocks = docs.mapInArrow(_prefixes(lines, k, shared, light, buckets), _BLOCKS)
     found = stored(blocks.groupBy("bucket").applyInArrow(_meet(lines), _MET), "met", TEXTS)
-    return stored(found.filter("a is not null").select("a", "b").distinct(), "pairs"), stored(found.filter("key is not null").select("tok", "key").distinct(), "open")
+    pairs = found.filter("b is not null").groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("an").alias("an"), F.first("bn").alias("bn"))
+    if not lines:
+        # All that two sets share up to the end of the prefix that ends first is among their prefix elements, and
+        # what lies beyond is less than 80 % of that set. Elements of open lists count as shared.
+        late = found.filter("b is null and a is not null").groupBy("a").agg(F.sum("c").alias("late"))
+        for side in ("a", "b"):
+            pairs = pairs.join(late.select(F.col("a").alias(side), F.col("late").alias(f"{side}_late")), side, "left")
+        least = f"ceil({SIMILAR} * (an + bn) / {100 + SIMILAR}.0) - ceil({SIMILAR} * greatest(an, bn) / 100.0) + 1"
+        pairs = pairs.filter(f"c + least(coalesce(a_late, 0), coalesce(b_late, 0)) >= {least}")
+    return stored(pairs.select("a", "b"), "pairs"), stored(found.filter("key is not null").select("tok", "key").distinct(), "open")
 
 
 # --- sets, links ------------------------------------------------------------------------------------
@@ -392,12 +408,14 @@ def _fetch(lines: bool, k: int, shared):
         ranks = shared.value
         for batch in batches:
             wanted = np.unique(pc.list_flatten(batch.column(3)).to_numpy(zero_copy_only=False))
+            seen = np.zeros(0, np.int64)  # in this batch
             for _, _, _, bounds, h in parted(batch, lines):
                 bounds, flat = sets_of(bounds, h, k, ranks)
                 keys, first = np.unique(set_keys(bounds, flat), return_index=True)
-                good = np.isin(keys, wanted) & (np.diff(bounds)[first] > 0)
+                good = np.isin(keys, wanted) & ~np.isin(keys, seen) & (np.diff(bounds)[first] > 0)
+                seen = np.concatenate([seen, keys[good]])
                 own = first[good]
-                yield _arrow(kinds, len(own), key=keys[good], n=np.diff(bounds)[own], items=[flat[bounds[i] : bounds[i + 1]].tobytes() for i in own.tolist()])
+                yield _arrow(kinds, len(own), key=keys[good], n=np.diff(bounds)[own], items=[squeezed(np.diff(flat[bounds[i] : bounds[i + 1]].astype(np.int64), prepend=0)) for i in own.tolist()])
 
     return of
 
@@ -412,7 +430,12 @@ def fetched(keys: DataFrame, units: DataFrame, docs: DataFrame, ranks: np.ndarra
     texts = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LAST)))
     texts = texts.join(small_or_shuffled(at, keys.count()), (texts["doc"] == at["doc"]) & (F.col("src") == F.col("_src")))
     sets = stored(texts.select("doc_id", "text", "src", "keys").mapInArrow(_fetch(lines, k, shared), "key long, n int, items binary"), "found", TEXTS)
-    return stored(sets.groupBy("key").agg(F.first("n").alias("n"), F.first("items").alias("items")), "sets")
+    once = sets.groupBy("key").count().filter("count > 1").isEmpty()  # a class may be in several of these texts
+    return sets if once else stored(sets.groupBy("key").agg(F.first("n").alias("n"), F.first("items").alias("items")), "sets")
+
+
+def _opened(items: bytes) -> np.ndarray:
+    return np.cumsum(opened(items)).astype(np.uint64)
 
 
 def _linked(s: np.ndarray, t: np.ndarray) -> bool:
@@ -425,7 +448,7 @@ def _linked(s: np.ndarray, t: np.ndarray) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = [_linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        good = [_linked(_opened(p), _opened(q)) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
@@ -491,7 +514,7 @@ def _probe(earlier: bool):
             for tok, part, probe, key, grp, doc, line, items in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if (tok, part) != at:
                     at, members = (tok, part), Members()
-                row = (key, grp, (doc, line, key), np.frombuffer(items, np.uint64))
+                row = (key, grp, (doc, line, key), _opened(items))
                 if probe:
                     out += list(members.probe(*row)) if members.rows else []
                 else:
@@ -505,9 +528,9 @@ def second_links(own: DataFrame, sets: DataFrame, earlier: bool) -> DataFrame:
     """Links (a, b) of strays b of open lists with members of the list. own: tok, key, stray, grp, doc, line; those of
     one grp aren't held against each other, and with earlier only what comes before is. A list's members are
     dealt to parts, the strays go to each."""
-    own = own.join(sets, "key")
-    size = own.groupBy("tok").agg(F.sum("n").alias("all"), F.max(F.col("stray").cast("int")).alias("any"), F.count("*").alias("m")).filter("any = 1 and m > 1")
-    own = own.join(size.select("tok", F.ceil(F.col("all") / PART).alias("parts")), "tok")
+    sizes = own.join(sets.select("key", "n"), "key")
+    sizes = sizes.groupBy("tok").agg(F.sum("n").alias("all"), F.max(F.col("stray").cast("int")).alias("any"), F.count("*").alias("m")).filter("any = 1 and m > 1")
+    own = own.join(sizes.select("tok", F.ceil(F.col("all") / PART).alias("parts")), "tok").join(sets, "key")
     rest = ("key", "grp", "doc", "line", "items")
     members = own.select("tok", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part"), F.lit(0).alias("probe"), *rest)
     strays = own.filter("stray").select("tok", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("probe"), *rest)
