@@ -62,6 +62,17 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with underscores behind it until no column of df has it."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def count_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -113,6 +124,11 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def decoded(texts: pa.Array) -> list[str | None]:
+    """Strings; bytes that aren't UTF-8 become replacement characters."""
+    return [None if b is None else b.decode("utf-8", "replace") for b in texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()]
+
+
 #: Bytes, and texts, that are worked on together.
 SLICE, UNITS = 1 << 19, 1024
 

@@ -8,7 +8,8 @@ family's; the score is the least certain of the wins that decided (0 to 1).
 
 Defined cases: a text that is null or has no letter is "und" with score 0; without rows to learn
 from every text is; rows without lang or text are not learned from; a null doc_id isn't held out;
-repeated rows are predicted alike; an empty table gives no rows; other columns are ignored.
+repeated rows are predicted alike; an empty table gives no rows; other columns are ignored; texts are taken
+whole, long ones in pieces; bytes that aren't UTF-8 count as no letters.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release
+from .common import decoded, fresh, release
 
 #: Features, and the most rows that are learned from in all.
 DIM, TRAIN_ROWS = 4096, 4000
@@ -95,19 +96,19 @@ def features(texts: list[str]) -> np.ndarray:
 def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 12) -> np.ndarray:
     """Weights (the last: bias) of a linear machine with squared hinge loss; y: +1 or -1. Either
     side counts the same in all."""
-    x = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
     share = np.where(y > 0, (y < 0).sum(), (y > 0).sum()) * 2 / len(y)
     shift = 0.5 / (c * np.maximum(share, 1e-3))
-    w, alpha, norm = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(axis=1) + shift
+    w, bias, alpha, norm = np.zeros(x.shape[1]), 0.0, np.zeros(len(x)), np.einsum("ij,ij->i", x, x, dtype=np.float64) + 1 + shift
     order = np.random.default_rng(0)
     for _ in range(epochs):
         for i in order.permutation(len(x)):
-            grad = y[i] * (x[i] @ w) - 1 + shift[i] * alpha[i]
+            grad = y[i] * (x[i] @ w + bias) - 1 + shift[i] * alpha[i]
             new = max(0.0, alpha[i] - grad / norm[i])
             if new != alpha[i]:
                 w += (new - alpha[i]) * y[i] * x[i]
+                bias += (new - alpha[i]) * y[i]
                 alpha[i] = new
-    return w
+    return np.append(w, bias)
 
 
 def fit(x: np.ndarray, langs: list[str]) -> dict:
@@ -166,7 +167,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             part = batch.slice(i, 256)
-            x = features(part.column(1).to_pylist()).astype(np.float16)
+            x = features(decoded(part.column(1))).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
 
@@ -182,33 +183,38 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
     rows = docs.filter(F.col("draw") < cut[F.col("lang")]).select("lang", "text").mapInArrow(_featured, "lang string, x binary").toArrow()
     if not rows.num_rows:
         return {"families": {}, "pairs": {}}
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), dtype=np.float16).reshape(-1, DIM).astype(np.float32)
-    return fit(x, rows.column("lang").to_pylist())
+    langs, x = rows.column("lang").to_pylist(), np.empty((rows.num_rows, DIM), dtype=np.float32)
+    for i, b in enumerate(rows.column("x")):
+        x[i] = np.frombuffer(b.as_buffer(), dtype=np.float16)
+    del rows
+    return fit(x, langs)
 
 
-def _predictor(shared, text_at: int, drop_text: bool):
+def _predictor(shared, text_at: int, drop_text: bool, new: tuple[str, str]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         model = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                langs, score = predict(model, part.column(text_at).to_pylist())
+                langs, score = predict(model, decoded(part.column(text_at)))
                 kept = [j for j in range(part.num_columns) if j != text_at or not drop_text]
-                yield pa.RecordBatch.from_arrays([*[part.column(j) for j in kept], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*[part.schema.names[j] for j in kept], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(j) for j in kept], pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*[part.schema.names[j] for j in kept], *new])
 
     return of
 
 
-def with_language(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, drop_text: bool = False) -> DataFrame:
-    """docs with lang_pred and score. learn: the rows that may be learned from."""
+def with_language(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, drop_text: bool = False, new: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and the score as columns of the new names, which docs mustn't have. learn: the rows
+    that may be learned from."""
+    if fresh(docs, *new) != list(new):
+        raise ValueError(f"the table has a column {new[0]} or {new[1]} already")
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), text_col), F.lit(1 << 30)) / float(1 << 30)
     model = train(docs.filter(learn).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw")), train_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.drop("lang_pred", "score")
-    kinds = [f for f in rows.schema if f.name != text_col or not drop_text]
-    schema = T.StructType([*kinds, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_predictor(shared, rows.columns.index(text_col), drop_text), schema)
+    kinds = [f for f in docs.schema if f.name != text_col or not drop_text]
+    schema = T.StructType([*kinds, T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType())])
+    return docs.mapInArrow(_predictor(shared, docs.columns.index(text_col), drop_text, new), schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 3, held: int = 1) -> Column:

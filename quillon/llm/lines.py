@@ -7,7 +7,7 @@ has a similar or equal set. Of two texts under one doc_id, lines of the same num
 Defined cases: blank lines have no set and stay; a null text stays null and has no lines; rows that
 repeat a doc_id with its text are one document, so their equal lines stay together, different texts are
 documents of their own; a null doc_id is the last; an empty table gives no rows; other columns are kept as
-they are (but not one named as a column that is added); texts and lines may have any length; bytes that
+they are; texts and lines may have any length; bytes that
 aren't UTF-8 are compared as they are.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .common import attach, small_or_shuffled, stored
+from .common import attach, fresh, small_or_shuffled, stored
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -47,12 +47,16 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return stored(out.groupBy("doc", "src").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the lines gone from the text, and n_lines, removed_lines (their numbers, from 0)."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "n_lines", removed: str = "removed_lines") -> DataFrame:
+    """docs with the lines gone from the text, and n_lines, removed_lines (their numbers, from 0) under these names,
+    which docs mustn't have."""
+    if fresh(docs, n_lines, removed) != [n_lines, removed]:
+        raise ValueError(f"the table has a column {n_lines} or {removed} already")
+    at, src, which = fresh(docs, "_doc", "_src", "_removed")
     gone = removed_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("src")))
-    gone = gone.select(F.col("doc").alias("_doc"), F.col("src").alias("_src"), F.col("removed").alias("removed_lines"))
+    gone = gone.select(F.col("doc").alias(at), F.col("src").alias(src), F.col("removed").alias(which))
     lines = F.split(text_col, "\n", -1)
-    out = docs.join(small_or_shuffled(gone, gone.count()), (F.coalesce(F.col(id_col).cast("long"), F.lit(setjoin.LAST)) == F.col("_doc")) & (F.xxhash64(text_col) == F.col("_src")), "left").drop("_doc", "_src")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed_lines", i)), "\n")
-    out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn(text_col, F.when(F.col("removed_lines").isNull(), F.col(text_col)).otherwise(kept))
-    return out.withColumn("removed_lines", F.when(F.col(text_col).isNotNull(), F.coalesce("removed_lines", F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>")))
+    out = docs.join(small_or_shuffled(gone, gone.count()), (F.coalesce(F.col(id_col).cast("long"), F.lit(setjoin.LAST)) == F.col(at)) & (F.xxhash64(text_col) == F.col(src)), "left").drop(at, src)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(which, i)), "\n")
+    out = out.withColumn(n_lines, F.coalesce(F.size(lines), F.lit(0))).withColumn(text_col, F.when(F.col(which).isNull(), F.col(text_col)).otherwise(kept))
+    return out.withColumn(removed, F.coalesce(which, F.array().cast("array<int>"))).drop(which)

@@ -8,12 +8,15 @@ Windows that stay short are opened again with the next batch; what a task has le
 packed once more together with that of FAN other tasks.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are documents of their own;
-an empty table gives no rows; other columns are ignored; texts of any length are cut, not dropped.
+an empty table gives no rows; other columns are ignored; texts of any length are cut, not dropped; bytes
+that aren't UTF-8 are replacement characters.
 """
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, stored
+from .common import KEPT, decoded, stored
 
 WINDOW = 4096
 BATCH = 16_384
@@ -94,6 +97,8 @@ class Chunks:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
         self.ends[[i for v, i in vocab.items() if v.endswith("</w>")]] = True
+        # Letters that composing changes by themselves: a chunk that holds one isn't taken apart.
+        self.odd = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x30000)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.normalize("NFC", c) != c) + "]")
 
     def words(self, words: list[str]) -> Iterator[bytes]:
         """Ids of words of small letters, each of which is one unit for the tokenizer and ends in an id
@@ -102,8 +107,9 @@ class Chunks:
             return
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
-        if len(ends) != len(words):
-            raise ValueError("the tokenizer doesn't mark the ends of words")
+        if len(ends) != len(words):  # a word isn't one unit after all
+            yield from (_raw_ids(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+            return
         raw, at = ids.tobytes(), 0
         for end in (4 * ends).tolist():
             yield raw[at:end]
@@ -124,17 +130,18 @@ class Chunks:
                 self.known = {c: self.known[c] for c in wanted if c in self.known}
         known, long = self.known, []
         missing = [c for c in wanted if c not in known]
+        odd = {c for c in missing if not c.isascii() and self.odd.search(c)}  # are encoded whole
+        whole, missing = [c for c in missing if c in odd], [c for c in missing if c not in odd]
         stopped = [c for c in missing if c[-1:] in _STOPS and c[-2:-1].isalnum() and c[-2:-1] == c[-2:-1].lower()]
         stems = {c[:-1] for c in stopped if c[:-1] not in known}
         missing = list(stems.union(missing).difference(stopped)) + [c for c in _STOPS if stopped and c not in known]
         plain = [c for c in missing if c.isalpha() and c.islower() and len(c) <= CHUNK]
         known.update(zip(plain, self.words(plain), strict=True))
-        missing = [c for c in missing if c not in known]
+        missing = whole + [c for c in missing if c not in known]
         for i in range(0, len(missing), 4096):
             part = missing[i : i + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = e.ids
-                known[c] = _PACK[len(ids)].pack(*ids) if len(ids) < len(_PACK) else b"".join(x.to_bytes(4, "little") for x in ids)
+                known[c] = _raw_ids(e.ids)
                 if len(c) > CHUNK:
                     long.append(c)
         for c in stopped:
@@ -152,6 +159,10 @@ _STOPS = (".", ",")
 _PACK = [struct.Struct(f"<{n}I") for n in range(64)]
 
 
+def _raw_ids(ids: list[int]) -> bytes:
+    return _PACK[len(ids)].pack(*ids) if len(ids) < len(_PACK) else b"".join(x.to_bytes(4, "little") for x in ids)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -187,7 +198,7 @@ def _packer(path: str, window: int, end_id: int):
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for i in range(0, len(ids), 256):
                 full = []
-                for doc, b in zip(ids[i : i + 256], chunks.ids(texts[i : i + 256].to_pylist()), strict=True):
+                for doc, b in zip(ids[i : i + 256], chunks.ids(decoded(texts[i : i + 256])), strict=True):
                     b += tail
                     total = len(b) // 4
                     for start in range(0, total, window):

@@ -84,23 +84,24 @@ ORACLE: dict[str, str] = {
         reach(r, o) AS (SELECT r, r FROM d UNION SELECT reach.r, link.b FROM reach JOIN link ON reach.o = link.a)
         SELECT min(d.doc_id) AS doc_id, min(coalesce(n.n, 0))::BIGINT AS n_shingles, min(e.doc_id) AS component_id
         FROM reach JOIN d ON d.r = reach.r JOIN d AS e ON e.r = reach.o LEFT JOIN n ON n.r = reach.r GROUP BY reach.r""",
-    "op8_line_dedup": f"""
-        WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-        x AS (SELECT doc_id, i - 1 AS line, regexp_extract_all(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
-              FROM d, unnest(range(1, len(l) + 1)) AS u(i)),
-        s AS (SELECT DISTINCT doc_id, line, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS g
-              FROM x, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS u(p) WHERE len(w) > 0),
-        c AS (SELECT doc_id, line, list(g ORDER BY g) AS gs, len(gs) AS n FROM s GROUP BY doc_id, line),
-        f AS (SELECT *, row_number() OVER (PARTITION BY gs ORDER BY doc_id, line) AS copy FROM c),
-        u AS (SELECT doc_id, line, n, unnest(gs) AS g FROM f WHERE copy = 1),
-        m AS (SELECT a.doc_id, a.line FROM u AS a JOIN u AS b USING (g) WHERE (b.doc_id, b.line) < (a.doc_id, a.line)
-              GROUP BY a.doc_id, a.line, b.doc_id, b.line, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
-        near AS (SELECT DISTINCT f.gs FROM m JOIN f USING (doc_id, line)),
-        gone AS (SELECT doc_id, line FROM f WHERE copy > 1 OR gs IN (SELECT gs FROM near)),
-        r AS (SELECT doc_id, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY line) AS ls, list(line) AS li FROM gone GROUP BY doc_id)
-        SELECT d.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, coalesce(ls, '') AS removed_lines,
-               md5(array_to_string(CASE WHEN n IS NULL THEN l ELSE [l[i] FOR i IN range(1, len(l) + 1) IF NOT list_contains(li, i - 1)] END, chr(10))) AS text_md5
-        FROM d LEFT JOIN r USING (doc_id)""",
+    "op8_line_dedup": """
+        WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+        t AS (SELECT min(r) AS r, l FROM d GROUP BY doc_id, l),
+        x AS (SELECT r, i - 1 AS line, list_sort(list_distinct(regexp_extract_all(translate(l[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS ws
+              FROM t, unnest(range(1, len(l) + 1)) AS u(i)),
+        f AS (SELECT r, line, ws, len(ws) AS n, row_number() OVER (PARTITION BY ws ORDER BY r, line) AS copy FROM x WHERE len(ws) > 0),
+        u AS (SELECT r, line, n, ws, unnest(ws) AS w FROM f WHERE copy = 1),
+        c AS (SELECT w, count(*) AS c FROM u GROUP BY w),
+        p AS (SELECT r, line, n, ws, w, row_number() OVER (PARTITION BY r, line ORDER BY c, w) AS place FROM u JOIN c USING (w)),
+        q AS (SELECT * FROM p WHERE place <= n - (80 * n + 99) // 100 + 1),
+        m AS (SELECT DISTINCT b.r, b.line, b.ws, b.n, a.ws AS other, a.n AS other_n FROM q AS a JOIN q AS b USING (w)
+              WHERE (a.r, a.line) < (b.r, b.line) AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+        near AS (SELECT DISTINCT ws FROM m WHERE 100 * len(list_intersect(ws, other)) >= 80 * (n + other_n - len(list_intersect(ws, other)))),
+        gone AS (SELECT r, line FROM f WHERE copy > 1 OR ws IN (SELECT ws FROM near)),
+        g AS (SELECT r, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY line) AS ls, list(line) AS li FROM gone GROUP BY r)
+        SELECT d.doc_id, coalesce(len(d.l), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, coalesce(ls, '') AS removed_lines,
+               md5(array_to_string(CASE WHEN n IS NULL THEN d.l ELSE [d.l[i] FOR i IN range(1, len(d.l) + 1) IF NOT list_contains(li, i - 1)] END, chr(10))) AS text_md5
+        FROM d JOIN t ON t.l IS NOT DISTINCT FROM d.l AND t.r IN (SELECT min(e.r) FROM d AS e WHERE e.doc_id IS NOT DISTINCT FROM d.doc_id AND e.l IS NOT DISTINCT FROM d.l) LEFT JOIN g ON g.r = t.r""",
     "op9_warc": """
         SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
                CASE WHEN strlen(h) >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,

@@ -181,7 +181,7 @@ def _writer(folder: str, package: int):
             cols = [batch.column(i) for i in range(batch.num_columns)]
             for i in range(batch.num_rows):
                 page, url, html, digest, to, is_revisit = (c[i].as_py() for c in cols)
-                raw = gzip.compress(record(page, url, (html or "").encode("utf-8", "surrogatepass"), digest, to if is_revisit else None), 1, mtime=0)
+                raw = gzip.compress(record(page, url, html or b"", digest, to if is_revisit else None), 1, mtime=0)
                 index.append(f"{_clean(url or '-')} 19700101000000 {json.dumps({'offset': at, 'length': len(raw), 'digest': digest})}\n")
                 data.append(raw)
                 at, n = at + len(raw), n + 1
@@ -197,7 +197,7 @@ def write(pages: DataFrame, folder: str, package: int = PACKAGE) -> DataFrame:
     """Writes one record a row into packages under folder; their paths and counts of records. Only
     the packages of tasks that succeeded are listed."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).alias("n"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("binary").alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"))
     long = F.col("n") >= MIN_REVISIT
     total = pages.count()
     seen = rows.filter(long).groupBy("digest").agg(F.max("page_id").alias("to"), F.count("*").alias("rows")).filter("rows > 1")

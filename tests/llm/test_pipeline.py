@@ -71,3 +71,20 @@ def test_empty_table_runs(spark, folder, tmp_path):
 
 def test_shingles_helper():
     assert len(shingles("a b c d e f")) == 2
+
+
+def test_other_columns_stay_whatever_their_names(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ("score", "lang_pred", "n_lines", "removed_lines", "_id", "_hash", "_doc", "_src", "key", "first")
+    docs = docs.withColumns({c: F.concat(F.lit(c), "doc_id") for c in names})
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, folder).toArrow())
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in docs.collect() for c in names)
+    assert docs.count() > 10
+
+
+def test_null_ids_and_texts_under_one_id_are_documents(spark):
+    a, b = "a b c d e f g", "h i j k l m n"
+    docs = spark.createDataFrame([(None, a), (None, a), (None, b), (1, b), (1, "o p q r s t"), (2, "o p q r s t")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["text"]) for r in pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == [("1", b), ("1", "o p q r s t"), ("None", a)]

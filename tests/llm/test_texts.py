@@ -4,12 +4,14 @@ import collections
 import math
 import random
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillon.llm import langid, lm, packing, sharding, substring
 from tests.llm.conftest import prose, words
@@ -277,3 +279,30 @@ def test_passages_that_hold_a_line_of_many_earlier_documents(spark):
         rows += [(i + k, f"{prose(rng, 80, 9000)} {shared} {prose(rng, 80, 9000)}") for k in (50, 51)]
     got = {r["doc_id"]: r["n_repeated"] for r in substring.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert [i for i, _ in rows if i % 100 >= 50 and got[i] < 54] == [] and not any(got[i] for i, _ in rows if i % 100 < 50)
+
+
+def test_packing_of_letters_that_are_composed(spark):
+    from quillon.llm.packing import Chunks, tokenizer_path
+
+    chunks = Chunks(tokenizer_path())
+    odd = [c for c in map(chr, range(0x80, 0x30000)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.normalize("NFC", c) != c]
+    texts = [t for c in odd for t in (c, f"{c}.", f"a{c}b", f"word a{c} {c}. x")]
+    assert len(odd) > 59 and "\u0958" in odd
+    want = [chunks.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert chunks.ids(texts) == [b"".join(i.to_bytes(4, "little") for i in ids) for ids in want]
+
+
+def test_texts_that_are_not_utf8(spark):
+    rows = [(i, f"some words of a text {i}", "en" if i % 2 else "de") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("text", F.concat(F.unhex(F.lit("ff80")).cast("string"), "text"))
+    assert {r["lang_pred"] for r in langid.identify(df).collect()} <= {"en", "de"}
+    assert packing.pack_documents(df).select("doc_id").distinct().count() == 12
+    assert lm.score(df).count() == 12 and substring.repeated(df).count() == 12
+
+
+def test_language_beside_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([(1, "one text", "en", 0.5, "x")], "doc_id long, text string, lang string, score double, lang_pred string")
+    assert langid.identify(df).columns == ["doc_id", "held_out", "lang_pred", "score"]
+    with pytest.raises(ValueError, match="already"):
+        langid.with_language(df, F.lit(True))
+    assert langid.with_language(df, F.lit(True), new=("l", "s")).select("score", "lang_pred").first() == (0.5, "x")
