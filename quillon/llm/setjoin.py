@@ -142,8 +142,8 @@ def _subsets(light: int, keys: np.ndarray, bounds: np.ndarray, flat: np.ndarray)
 
 
 def widths(n: np.ndarray) -> np.ndarray:
-    """32-bit words of a set's sketch: as many bits as elements at least, as far as the widest goes."""
-    return np.minimum(1 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64), WIDEST)
+    """32-bit words of a set's sketch: as many bits as elements, 64 at least, as far as the widest goes."""
+    return np.minimum(1 << np.ceil(np.log2(np.maximum(n, 64) / 32)).astype(np.int64), WIDEST)
 
 
 def sketches(bounds: np.ndarray, flat: np.ndarray, width: np.ndarray) -> np.ndarray:
