@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import operators as O
 from .dialect import parse
-from .functions import ema_depth
+from .functions import ema_depth, with_ema
 from .plans import lower
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,8 +183,35 @@ statement("window_partitioned", "SELECT event_id, SMA(price, 10) OVER (PARTITION
 statement("window_ema_partitioned", "SELECT event_id, EMA(price, 5) OVER (PARTITION BY symbol ORDER BY ts ROWS 5 PRECEDING) AS e FROM ticks",
           f"""SELECT event_id, round(list_reduce(list(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN {ema_depth(5)} PRECEDING AND CURRENT ROW),
               lambda a, x: {2 / 6!r} * x + {1 - 2 / 6!r} * a), 9) AS e FROM events""", e=9)
-statement("window_dialect_sma", "SELECT ts, SMA(price, 20) OVER (ORDER BY ts ROWS 20 PRECEDING) AS a FROM ticks WHERE symbol < 40",
-          "SELECT ts, round(avg(value) OVER (ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 9) AS a FROM events WHERE user_id < 40", a=9)
+statement("window_dialect_sma", "SELECT event_id, SMA(price, 20) OVER (ORDER BY event_id ROWS 20 PRECEDING) AS a FROM ticks",
+          "SELECT event_id, round(avg(value) OVER (ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 9) AS a FROM events", a=9)
+
+
+
+def _with_gaps(value: str) -> str:
+    """Events whose value is null where the id is divisible by 3, or for long stretches."""
+    return f"CASE WHEN event_id % 3 = 0 OR event_id % 1000 < 700 THEN NULL ELSE {value} END"
+
+
+def _nulls_sql(w: int, by: str) -> str:
+    alpha = 2 / (w + 1)
+    return f"""WITH g AS (SELECT event_id, user_id, ts, {_with_gaps("value")} AS v FROM events),
+        c AS (SELECT *, count(v) OVER ({by} ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
+        l AS (SELECT event_id, list(v) FILTER (v IS NOT NULL) OVER ({by} ORDER BY k RANGE BETWEEN {ema_depth(w)} PRECEDING AND CURRENT ROW) AS l FROM c)
+        SELECT event_id, CASE WHEN len(l) > 0 THEN round(list_reduce(l, lambda a, x: {alpha!r} * x + {1 - alpha!r} * a), 9) END AS x FROM l"""
+
+
+@query(_nulls_sql(20, ""))
+def window_ema_nulls(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.expr(_with_gaps("value")).alias("v"))
+    return O.rolling(rows, "ts", [("EMA", "v", 20, "x")], "event_id").select("event_id", F.round("x", 9).alias("x"))
+
+
+@query(_nulls_sql(10, "PARTITION BY user_id"))
+def window_ema_nulls_partitioned(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.expr(_with_gaps("value")).alias("v"))
+    return with_ema(rows, "x", F.col("v"), 10, [F.col("ts"), F.col("event_id")], F.col("user_id")).select("event_id", F.round("x", 9).alias("x"))
+
 
 # --- joins --------------------------------------------------------------------------------------------
 

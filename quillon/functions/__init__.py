@@ -1,5 +1,5 @@
 """Finance window functions as Columns."""
 
-from .rolling import ema, ema_depth, rolling_std, sma
+from .rolling import ema, ema_depth, rolling_std, sma, with_ema
 
-__all__ = ["ema", "ema_depth", "rolling_std", "sma"]
+__all__ = ["ema", "ema_depth", "rolling_std", "sma", "with_ema"]

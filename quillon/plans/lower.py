@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..dialect import tree as t
 from ..dialect.tokens import DialectError
-from ..functions import ema, rolling_std, sma
+from ..functions import rolling_std, sma, with_ema
 from ..operators.joins import asof_join
 
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
@@ -24,7 +24,7 @@ _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
 _ARITHMETIC: dict[str, Callable[[Column, Column], Column]] = {
     "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b,
 }
-_WINDOW = {"SMA": sma, "EMA": ema, "ROLLING_STD": rolling_std}
+_WINDOW = {"SMA": sma, "ROLLING_STD": rolling_std}
 NUMBER, TEXT, TRUTH, OTHER = "number", "string", "boolean", "other"
 
 
@@ -135,7 +135,8 @@ def select(q: t.Select, tables: Callable[[str], DataFrame]) -> DataFrame:
     elif windows:
         for n, w in enumerate(windows):
             by = [F.col(f"`{scope.column(c)}`") for c in w.partition]
-            df = df.withColumn(f"_win{n}", _WINDOW[w.func](scope.double(w.of), w.size, F.col(f"`{scope.column(w.order)}`"), *by))
+            order = F.col(f"`{scope.column(w.order)}`")
+            df = with_ema(df, f"_win{n}", scope.double(w.of), w.size, order, *by) if w.func == "EMA" else df.withColumn(f"_win{n}", _WINDOW[w.func](scope.double(w.of), w.size, order, *by))
             scope.special[w] = (F.col(f"_win{n}"), NUMBER)
     out: list[tuple[str, Column]] = []
     for i in items:

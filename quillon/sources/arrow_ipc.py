@@ -99,22 +99,36 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """A file for each task, named anew for each attempt; those of failed attempts are removed."""
+    """A file for each task, under a name of its own for each attempt that no reader takes; the commit renames those of
+    the attempts that count. What other attempts leave is never read. overwrite: the files that were there before
+    go once all new ones are written."""
 
-    def __init__(self, path: str, schema: T.StructType):
-        self.path, self.schema = path, schema
+    def __init__(self, path: str, schema: T.StructType, overwrite: bool):
+        self.path, self.schema, self.overwrite = path, schema, overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system = _system(self.path)
         root = self.path.partition("://")[2] and __import__("pyarrow.fs", fromlist=["x"]).FileSystem.from_uri(self.path)[1] or self.path
         system.create_dir(root, recursive=True)
-        name = f"{root}/part-{uuid.uuid4().hex}.arrow"
+        name = f"{root}/part-{uuid.uuid4().hex}.arrow.tmp"
         schema = to_arrow_schema(self.schema)
         with system.open_output_stream(name) as f, pa.ipc.new_file(f, schema) as w:
             for b in batches:
                 w.write_batch(b.cast(schema))
         return _Written(name)
 
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        system = _system(self.path)
+        try:
+            before = _files(self.path) if self.overwrite else []
+        except FileNotFoundError:
+            before = []
+        for m in messages:
+            if m:
+                system.move(m.path, m.path.removesuffix(".tmp"))
+        for name in before:
+            system.delete_file(name)
+
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         system = _system(self.path)
         for m in messages:
@@ -142,7 +156,7 @@ class ArrowFileSource(DataSource):
         return _StreamReader(self.options["path"])
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], schema)
+        return _Writer(self.options["path"], schema, overwrite)
 
 
 def read_arrow(spark: SparkSession, path: str) -> DataFrame:
@@ -150,10 +164,10 @@ def read_arrow(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("arrow_ipc").load(path)
 
 
-def write_arrow(df: DataFrame, path: str) -> None:
-    """Writes files into the folder path, one for each task."""
+def write_arrow(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Writes files into the folder path, one for each task; mode: append or overwrite."""
     df.sparkSession.dataSource.register(ArrowFileSource)
-    df.write.format("arrow_ipc").mode("append").save(path)
+    df.write.format("arrow_ipc").mode(mode).save(path)
 
 
 def table_to_arrow(df: DataFrame) -> pa.Table:

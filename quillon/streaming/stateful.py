@@ -19,12 +19,12 @@ class _Ema(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         e = self.state.get()[0] if self.state.exists() else None
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        out = []
-        for x in batch[self.value]:
-            e = x if e is None else self.alpha * x + (1 - self.alpha) * e
-            out.append(e)
-        self.state.update((float(e),))
-        yield pd.DataFrame({"key": [key[0]] * len(batch), self.order: batch[self.order].to_numpy(), self.value: batch[self.value].to_numpy(), "ema": out})
+        values = batch[self.value].astype("float64")
+        past = pd.Series([float("nan") if e is None else e])
+        out = pd.concat([past, values]).ewm(alpha=self.alpha, adjust=False, ignore_na=True).mean().iloc[1:]
+        if len(out) and out.iloc[-1] == out.iloc[-1]:  # a value has come
+            self.state.update((float(out.iloc[-1]),))
+        yield pd.DataFrame({"key": [key[0]] * len(batch), self.order: batch[self.order].to_numpy(), self.value: values.to_numpy(), "ema": out.to_numpy()})
 
     def close(self) -> None:
         pass

@@ -35,9 +35,9 @@ def test_csv_strict(spark, csv, tmp_path):
 
 
 def test_arrow_tables(spark):
-    table = pa.table({"id": pa.array([7 * i % 100 for i in range(50)], pa.int32()), "n": pa.array([None, *range(49)], pa.int64()), "value": [3.14159 * i for i in range(50)], "label": ["alpha", "beta", "gamma", "delta", "epsilon"] * 10})
+    table = pa.table({"lot": pa.array([(i * i) % 31 for i in range(24)], pa.int32()), "weight": pa.array([None, *range(100, 123)], pa.int64()), "ratio": [1 / (i + 1) for i in range(24)], "mark": ["x", None, "Größe"] * 8})
     df = arrow_to_table(spark, table)
-    assert df.dtypes == [("id", "int"), ("n", "bigint"), ("value", "double"), ("label", "string")]
+    assert df.dtypes == [("lot", "int"), ("weight", "bigint"), ("ratio", "double"), ("mark", "string")]
     assert table_to_arrow(df).equals(table.cast(table_to_arrow(df).schema))
     with pytest.raises(TypeError):
         arrow_to_table(spark, pa.table({"t": pa.array([1], pa.timestamp("us"))}))
@@ -55,6 +55,15 @@ def test_arrow_files(spark, tmp_path):
         read_arrow(spark, str(tmp_path / "missing")).count()
 
 
+def test_arrow_overwrite_and_unfinished_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for mode, want in (("append", 5), ("append", 10), ("overwrite", 5)):
+        write_arrow(spark.range(5), path, mode)
+        assert read_arrow(spark, path).count() == want
+    (tmp_path / "t" / "part-x.arrow.tmp").write_bytes(b"what a lost attempt left")
+    assert read_arrow(spark, path).count() == 5
+
+
 def test_shell(spark, tmp_path):
     said = []
     (tmp_path / "sales.csv").write_text("region,revenue\nN,1.5\nS,2.5\nN,3\n")

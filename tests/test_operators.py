@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import operators as O
-from quillon.functions import ema, ema_depth, rolling_std, sma
+from quillon.functions import ema, ema_depth, rolling_std, sma, with_ema
 
 
 def ticks(spark, n):
@@ -127,3 +127,15 @@ def test_gather_and_materialize(spark):
         O.limit(values, -1)
     assert O.compact(values, "v", "NEQ", 10).count() == 4
     assert O.aggregate(values, [], [("COUNT", "*", "n"), ("AVG", "v", "a")]).first() == (5, 20.0)
+
+
+@pytest.mark.parametrize("stretch", [7, 1000])
+def test_exponential_averages_pass_over_nulls(spark, stretch):
+    values = [None, None, *[None if i % 5 or 20 < i < 60 else float(i) for i in range(150)]]
+    df = spark.createDataFrame(list(enumerate(values)), "ts int, x double").repartition(3).withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), F.col("ts")))
+    want, e = [], None
+    for v in values:
+        e = e if v is None else v if e is None else 2 / 21 * v + 19 / 21 * e
+        want.append(e)
+    for got in (O.rolling(df, "day", [("EMA", "x", 20, "e"), ("SMA", "x", 3, "a")], stretch=stretch), with_ema(df, "e", F.col("x"), 20, F.col("ts"))):
+        assert [r["e"] for r in got.orderBy("ts").collect()] == [None if w is None else pytest.approx(w, abs=1e-12) for w in want]
