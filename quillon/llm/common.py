@@ -91,9 +91,21 @@ def small_or_shuffled(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
 KEPT: dict[str, object] = {}
 
 
+def trim() -> None:
+    """Gives memory that this Python worker has freed back to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def release() -> None:
     """Drops what earlier stages left in this Python worker; stages that don't use it begin so."""
     KEPT.clear()
+    trim()
 
 
 # --- words and shingles of Arrow batches -------------------------------------------------------

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, decoded, stored
+from .common import KEPT, decoded, stored, trim
 
 WINDOW = 4096
 BATCH = 16_384
@@ -179,6 +179,7 @@ def _packer(path: str, window: int, end_id: int):
         if path not in KEPT:
             KEPT[path] = Chunks(path)
         chunks = KEPT[path]
+        trim()
         number = TaskContext.get().partitionId() << 40
         rest: list[tuple] = []
 

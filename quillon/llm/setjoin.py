@@ -38,8 +38,8 @@ BUCKET, CELL = 1_500_000, 500_000
 SHORT, SKETCHED, NEAR = 32, 4096, 4
 #: The rank from which an element's list is dealt to several buckets (2 for each doubling of the count).
 HOT = 32
-#: 32-bit words of the widest sketch in a list; elements of a part of a list in the second step.
-WIDEST, PART = 32, 4_000_000
+#: 64-bit words of the widest sketch in a list; elements of a part of a list in the second step.
+WIDEST, PART = 16, 4_000_000
 #: Rows of texts, and of sets, that go to Python at once.
 TEXTS, SETS = 2000, 500
 
@@ -142,8 +142,8 @@ def _subsets(light: int, keys: np.ndarray, bounds: np.ndarray, flat: np.ndarray)
 
 
 def widths(n: np.ndarray) -> np.ndarray:
-    """32-bit words of a set's sketch: as many bits as elements, 64 at least, as far as the widest goes."""
-    return np.minimum(1 << np.ceil(np.log2(np.maximum(n, 64) / 32)).astype(np.int64), WIDEST)
+    """64-bit words of a set's sketch: as many bits as elements at least, as far as the widest goes."""
+    return np.minimum(1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64), WIDEST)
 
 
 def sketches(bounds: np.ndarray, flat: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -151,9 +151,9 @@ def sketches(bounds: np.ndarray, flat: np.ndarray, width: np.ndarray) -> np.ndar
     between two sets' bitmaps are elements that only one has."""
     at = np.concatenate([[0], np.cumsum(width)])
     n = np.diff(bounds)
-    bit = (flat & (np.repeat(32 * width, n) - 1).astype(np.uint64)).astype(np.int64)
-    out = np.zeros(at[-1], dtype=np.uint32)
-    np.bitwise_or.at(out, np.repeat(at[:-1], n) + (bit >> 5), np.uint32(1) << (bit & 31).astype(np.uint32))
+    bit = flat & (np.repeat(64 * width, n) - 1).astype(np.uint64)
+    out = np.zeros(at[-1], dtype=np.uint64)
+    np.bitwise_or.at(out, np.repeat(at[:-1], n) + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
     return out
 
 
@@ -240,7 +240,7 @@ def _prefixes(lines: bool, k: int, shared, light: int, buckets: int):
                 prefix = n + (-SIMILAR * n // 100) + 1
                 pos = _spans(np.zeros(len(n), np.int64), prefix)
                 own = np.concatenate([[0], np.cumsum(n)])
-                sketch = sketches(own, flat[_spans(bounds[wanted], n)], widths(n)) if lines else np.zeros(0, np.uint32)
+                sketch = sketches(own, flat[_spans(bounds[wanted], n)], widths(n)) if lines else np.zeros(0, np.uint64)
                 cell.append((flat[_spans(bounds[wanted], prefix)], np.repeat(np.arange(len(n)) + base, prefix), pos, keys[wanted], n, sketch))
                 base += len(n)
                 size += len(pos)
@@ -298,7 +298,7 @@ def _meet(sketched: bool):
             width = widths(sizes)
             cols.append((np.cumsum(opened(toks)), np.frombuffer(keys, np.int64)[unit], sizes[unit].astype(np.int32), opened(pos).astype(np.int32), (np.cumsum(width) - width)[unit] + offset))
             if sketched:
-                words.append(np.frombuffer(sketch, np.uint32))
+                words.append(np.frombuffer(sketch, np.uint64))
                 offset += len(words[-1])
         tok, key, n, pos, at = (np.concatenate(c) for c in zip(*cols, strict=True))
         del cols
