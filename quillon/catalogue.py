@@ -84,8 +84,8 @@ statement("filter_qualified", "SELECT orders.o_orderkey FROM orders WHERE orders
 
 # --- aggregates -------------------------------------------------------------------------------------
 
-statement("flagship_region_revenue", "SELECT region, SUM(amount) AS total_rev, COUNT(order_id) AS num_orders FROM sales WHERE year >= 1997 GROUP BY region ORDER BY region LIMIT 10",
-          f"SELECT region, round(sum(amount), 2) AS total_rev, count(order_id) AS num_orders FROM {_SALES} WHERE year >= 1997 GROUP BY region", total_rev=2)
+statement("flagship_region_revenue", "SELECT AVG(amount) AS mean, region, MAX(amount) AS largest, SUM(amount) AS revenue FROM sales WHERE year > 1995 AND amount > 1000 GROUP BY region ORDER BY revenue DESC",
+          f"SELECT round(avg(amount), 4) AS mean, region, max(amount) AS largest, round(sum(amount), 2) AS revenue FROM {_SALES} WHERE year > 1995 AND amount > 1000 GROUP BY region", mean=4, revenue=2)
 statement("agg_global", "SELECT SUM(l_quantity) AS q, COUNT(*) AS n, AVG(l_tax) AS t, MIN(l_extendedprice) AS lo, MAX(l_extendedprice) AS hi FROM lineitem",
           "SELECT round(sum(l_quantity), 2) AS q, count(*) AS n, round(avg(l_tax), 6) AS t, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem", q=2, t=6)
 statement("agg_empty_input", "SELECT COUNT(*) AS n, SUM(l_quantity) AS s, MIN(l_tax) AS lo FROM lineitem WHERE l_quantity < 0", "SELECT count(*) AS n, sum(l_quantity) AS s, min(l_tax) AS lo FROM lineitem WHERE l_quantity < 0")
@@ -329,9 +329,9 @@ def rle_groupby_sum(spark, sf_dir):
     return O.rle_group_sum(O.rle_encode(e, "event_id", "event_type"), rows, "rn", "v").withColumn("total", F.round("total", 4))
 
 
-@query("SELECT event_id AS pos, (event_id * 7) % 1000 AS idx, c_name FROM events JOIN customer ON c_custkey = (event_id * 7) % 1000")
+@query("SELECT o_orderkey AS pos, o_custkey AS idx, c_name FROM orders JOIN customer ON c_custkey = o_custkey")
 def gather(spark, sf_dir):
-    at = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), ((F.col("event_id") * 7) % 1000).alias("idx"))
+    at = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("idx"))
     return O.gather(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", at, "idx")
 
 
