@@ -27,7 +27,6 @@ give rows without passages; an empty table gives no rows; other columns are igno
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,12 +45,45 @@ CELL_BYTES, BUCKET = 14 << 20, 1_500_000
 GAP = SHINGLE + 3
 #: Shingles from one place beside a least hash to the next that the second step looks at.
 STEP = 3
+#: Shingles from which a text's windows are found without walking the tree, which repeats make deep.
+LONG = 4096
 #: Documents with open windows that are broadcast at most.
 OPEN_ROWS = 20_000
 
 
-def compact_windows(a: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
-    """(l, c, r) of the Cartesian tree's nodes over a that are at least shortest long."""
+def _sliding(x: np.ndarray, n: int, of: np.ufunc, fill: int) -> np.ndarray:
+    """of (minimum or maximum) over the n values from each place on, fill behind the last: from the running
+    ones forth and back within blocks of n."""
+    blocks = np.full((-(-len(x) // n) + 1) * n, fill, dtype=x.dtype)
+    blocks[: len(x)] = x
+    blocks = blocks.reshape(-1, n)
+    back = of.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    forth = of.accumulate(blocks, axis=1).ravel()
+    return of(back[: len(x)], forth[n - 1 : n - 1 + len(x)])
+
+
+def _long_windows(a: np.ndarray, shortest: int) -> np.ndarray:
+    """The compact windows of a long text: only a least value of shortest neighbours has one, and the values that
+    end it are of this kind as well, so one stack over these does, however often values repeat."""
+    least = _sliding(a, shortest, np.minimum, int(np.iinfo(a.dtype).max))
+    least[len(a) - shortest + 1 :] = 0  # of no whole window
+    at = np.flatnonzero(_sliding(least[::-1], shortest, np.maximum, 0)[::-1] == a)
+    values, places, stack = a[at].tolist(), at.tolist(), []
+    ls, rs = [0] * len(at), [len(a) - 1] * len(at)
+    for i, v in enumerate(values):
+        while stack and values[stack[-1]] > v:
+            rs[stack.pop()] = places[i] - 1
+        if stack:
+            ls[i] = places[stack[-1]] + 1
+        stack.append(i)
+    out = np.array([ls, places, rs], dtype=np.int64).T
+    return out[out[:, 2] - out[:, 0] + 1 >= shortest]
+
+
+def compact_windows(a: np.ndarray, shortest: int, long: int = LONG) -> np.ndarray:
+    """Rows (l, c, r) of the nodes of the Cartesian tree over a that are at least shortest long."""
+    if len(a) > max(long, shortest):
+        return _long_windows(a, shortest)
     out, todo = [], [(0, len(a))]
     while todo:
         l, r = todo.pop()
@@ -61,7 +93,7 @@ def compact_windows(a: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
             if c - l >= shortest:
                 todo.append((l, c))
             l = c + 1
-    return out
+    return np.array(out, dtype=np.int64).reshape(-1, 3)
 
 
 def _runs(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -110,7 +142,7 @@ def _blocks(shortest: int, hashes: int, buckets: int):
                         continue
                     for seed in seeds:
                         a = mix(run ^ seed)
-                        w = np.array(compact_windows(a, shortest))
+                        w = compact_windows(a, shortest)
                         vs.append(a[w[:, 1]])
                         docs.append(np.full(len(w), doc))
                         spans.append(w)
@@ -222,28 +254,36 @@ def _beside(shortest: int, hashes: int, buckets: int):
     return of
 
 
-def agreed(windows: list[dict], shortest: int, need: int) -> list[tuple[int, int, int, int]]:
-    """Intervals of a document (from, to, and the other's from, to) that windows of at least need distinct
-    hashes hold at every position; neighbours are joined."""
-    events = sorted([(w["l"], 0, w) for w in windows] + [(w["r"] + 1, 1, w) for w in windows], key=lambda e: e[:2])
-    out, live, begin, span = [], Counter(), None, []
-    for at, end, w in events:
-        if not end:
-            live[w["hash"]] += 1
-            span.append(w)
-            if len(live) >= need and begin is None:
-                begin = at
-        else:
-            live[w["hash"]] -= 1
-            if not live[w["hash"]]:
-                del live[w["hash"]]
-            if len(live) < need and begin is not None:
-                if at - begin >= shortest:
-                    held = [x for x in span if x["r"] >= begin and x["l"] < at]
-                    out.append((begin, at - 1, min(x["ol"] for x in held), max(x["orr"] for x in held)))
-                begin = None
-                span = [x for x in span if x["r"] >= at]
-    return out
+def agreed(pair: np.ndarray, l: np.ndarray, r: np.ndarray, ol: np.ndarray, orr: np.ndarray, v: np.ndarray, shortest: int, need: int) -> tuple[np.ndarray, ...]:
+    """Of windows of many pairs of documents (pair, from, to, the other's from and to, hash): pair, from, to, and the
+    other's from and to, of the intervals of at least shortest places that windows of need distinct hashes hold
+    at every place; neighbours are joined."""
+    room = int(r.max(initial=0)) + 3  # between the places of one pair and those of the next
+    # Windows of one hash that touch are one.
+    order = np.lexsort((l, v, pair))
+    p, h, at = pair[order], v[order], pair[order] * room + l[order]
+    group = np.cumsum(np.concatenate([[0], (p[1:] != p[:-1]) | (h[1:] != h[:-1])])) if len(p) else p
+    reach = np.maximum.accumulate(group * room + r[order])
+    new = np.ones(len(p), dtype=bool)
+    new[1:] = (group * room + l[order])[1:] > reach[:-1] + 1
+    begin = np.flatnonzero(new)
+    stop = (reach - group * room + p * room)[np.append(begin[1:], len(p)) - 1] + 1
+    # Places from which the number of hashes changes, and the stretches where it is enough.
+    places, where = np.unique(np.concatenate([at[begin], stop]), return_inverse=True)
+    live = np.cumsum(np.bincount(where, np.repeat([1, -1], len(begin)), len(places)).astype(np.int64)) >= need
+    before = np.concatenate([[False], live[:-1]])
+    lo, hi = places[live & ~before], places[~live & before]
+    long = hi - lo >= shortest
+    lo, hi = lo[long], hi[long]
+    # What the windows that reach into a stretch hold of the other document.
+    first = np.searchsorted(hi, pair * room + l, "right")
+    n = np.maximum(np.searchsorted(lo, pair * room + r, "right") - first, 0)
+    own = np.repeat(np.arange(len(pair)), n)
+    to = np.arange(len(own)) - np.repeat(np.cumsum(n) - n - first, n)
+    order = np.argsort(to, kind="stable")
+    heads = np.searchsorted(to[order], np.arange(len(lo)))
+    least, most = (f.reduceat(x[own[order]], heads) if len(lo) else x[:0] for f, x in ((np.minimum, ol), (np.maximum, orr)))
+    return lo // room, lo % room, (hi - 1) % room, least, most
 
 
 def passages(a: np.ndarray, b: np.ndarray, a_at: int, b_at: int, shortest: int) -> list[tuple[int, int, int, int]]:
@@ -256,18 +296,20 @@ def passages(a: np.ndarray, b: np.ndarray, a_at: int, b_at: int, shortest: int)
         return []
     # Of the places where the other has a shingle, that next to the place before; but where none goes on
     # from there, the one that leads to the next shingle with a single place.
-    place, near, at = np.empty(len(hit), dtype=np.int64), None, hit.tolist()
+    at = hit.tolist()
     single = np.where((hi - lo)[hit] == 1, np.arange(len(hit)), len(hit))
     ahead = np.minimum.accumulate(single[::-1])[::-1].tolist()
-    for i, p in enumerate(at):
+    place = order[lo[hit]]
+    for i in np.flatnonzero((hi - lo)[hit] > 1).tolist():
+        p = at[i]
         s = order[lo[p] : hi[p]]
-        off = None if near is None else np.abs(s - near - (p - at[i - 1]))
+        off = np.abs(s - place[i - 1] - (p - at[i - 1])) if i else None
         k = 0 if off is None else off.argmin()
-        if len(s) > 1 and (off is None or off[k]) and ahead[i] < len(hit):
+        if (off is None or off[k]) and ahead[i] < len(hit):
             q = at[ahead[i]]
             leads = np.flatnonzero(s == order[lo[q]] - (q - p))
             k = leads[0] if len(leads) else k
-        near = place[i] = s[k]
+        place[i] = s[k]
     gap = np.diff(hit) - 1 + np.abs(np.diff(place) - np.diff(hit))
     out, todo = [], [(i, j) for i, j in zip([0, *(np.flatnonzero(gap > GAP) + 1).tolist()], [*(np.flatnonzero(gap > GAP) + 1).tolist(), len(hit)], strict=True)]
     while todo:
@@ -276,8 +318,12 @@ def passages(a: np.ndarray, b: np.ndarray, a_at: int, b_at: int, shortest: int)
             continue
         begin, end = place[i:j].min(), place[i:j].max()
         x, y = a[hit[i] : hit[j - 1] + 1], b[begin : end + 1]
-        same = len(np.intersect1d(x, y))
-        if 100 * same >= SIMILAR * (len(np.unique(x)) + len(np.unique(y)) - same):
+        alike = len(x) == len(y) and bool((x == y).all())
+        if not alike:
+            u, w = np.unique(x), np.unique(y)
+            same = len(np.intersect1d(u, w, assume_unique=True))
+            alike = 100 * same >= SIMILAR * (len(u) + len(w) - same)
+        if alike:
             out.append((int(hit[i]) + a_at, len(x), int(begin) + b_at, len(y)))
         elif j - i > 1 and gap[i : j - 1].max() > 0:
             cut = i + 1 + int(gap[i : j - 1].argmax())
@@ -288,14 +334,15 @@ def passages(a: np.ndarray, b: np.ndarray, a_at: int, b_at: int, shortest: int)
 def _agree(shortest: int, need: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, other, spans = [], [], []
-            for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):
-                for d, o, windows in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    for s in agreed(windows, shortest, need):
-                        doc.append(d)
-                        other.append(o)
-                        spans.append(list(s))
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "other": pa.array(other, pa.int64()), "span": pa.array(spans, pa.list_(pa.int32()))})
+            for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+                windows = part.column(2)
+                pair = np.repeat(np.arange(len(part)), pc.list_value_length(windows).to_numpy(zero_copy_only=False))
+                x = pc.list_flatten(windows)
+                cols = (pc.struct_field(x, i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+                own, *span = agreed(pair, *cols, shortest, need)
+                values = np.array(span, dtype=np.int32).T.ravel()
+                spans = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, 4), pa.int32()), pa.array(values))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), spans], names=["doc", "other", "span"])
 
     return of
 
