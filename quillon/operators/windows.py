@@ -25,15 +25,21 @@ def _as_number(df: DataFrame, order: str) -> Column:
     return F.col(order).cast("double" if kind in ("float", "double") or kind.startswith("decimal") else "long")
 
 
-def numbered(df: DataFrame, order: str, name: str, *ties: str, ranges: int | None = None) -> DataFrame:
-    """df with each row's number in the order, from 0. Rows are ranked within ranges of the order
-    column, as many as shuffles have partitions, and a range begins after the count of the rows before it."""
+def ranged(df: DataFrame, order: str, ranges: int | None = None) -> DataFrame:
+    """df with _bucket, the range of the order column (from 0; nulls: -1) that a row is in. There are as many as
+    shuffles have partitions."""
     ranges = ranges or max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     at = _as_number(df, order)
     cuts = df.select(F.percentile_approx(at, [i / ranges for i in range(1, ranges)], max(1000, 10 * ranges)).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
     bucket = F.when(at.isNotNull(), F.expr("0") if not cuts else F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= at)))
-    parts = df.withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
+    return df.withColumn("_bucket", F.coalesce(bucket, F.lit(-1)))
+
+
+def numbered(df: DataFrame, order: str, name: str, *ties: str, ranges: int | None = None) -> DataFrame:
+    """df with each row's number in the order, from 0. Rows are ranked within ranges of the order
+    column, and a range begins after the count of the rows before it."""
+    parts = ranged(df, order, ranges)
     before = F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")
     begins = parts.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", before.alias("_begin"))  # one row a range
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(order, *ties)) - 1
@@ -108,4 +114,4 @@ def rolling(df: DataFrame, order: str, specs: list[tuple[str, str, int, str]], *
     else:
         rows = rows.withColumn("_part", part)
     done = _exponential(rows, emas) if emas else rows
-    return done.select(*df.columns, *[name for *_, name in specs])
+    return done.select(*[F.col(f"`{c}`") for c in df.columns], *[name for *_, name in specs])

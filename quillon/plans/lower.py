@@ -16,6 +16,7 @@ from ..dialect import tree as t
 from ..dialect.tokens import DialectError
 from ..functions import rolling_std, sma, with_ema
 from ..operators.joins import asof_join
+from ..operators.windows import rolling
 
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {
     "=": lambda a, b: a == b, "<>": lambda a, b: a != b, "<": lambda a, b: a < b,
@@ -133,11 +134,20 @@ def select(q: t.Select, tables: Callable[[str], DataFrame]) -> DataFrame:
         df = grouped.agg(*[c.alias(name) for name, c, _ in made.values()]) if made else df.select(*[f"`{k}`" for k in dict.fromkeys(keys)]).distinct()
         scope.special = {a: (F.col(name), kind) for a, (name, _, kind) in made.items()}
     elif windows:
+        spread: dict[str, list[tuple[str, str, int, str]]] = {}
         for n, w in enumerate(windows):
             by = [F.col(f"`{scope.column(c)}`") for c in w.partition]
-            order = F.col(f"`{scope.column(w.order)}`")
-            df = with_ema(df, f"_win{n}", scope.double(w.of), w.size, order, *by) if w.func == "EMA" else df.withColumn(f"_win{n}", _WINDOW[w.func](scope.double(w.of), w.size, order, *by))
+            name, order = scope.column(w.order), F.col(f"`{scope.column(w.order)}`")
+            if not by and scope.kinds[name] == NUMBER:  # over the whole table: spread over tasks
+                df = df.withColumn(f"_of{n}", scope.double(w.of))
+                spread.setdefault(name, []).append((w.func, f"_of{n}", w.size, f"_win{n}"))
+            elif w.func == "EMA":
+                df = with_ema(df, f"_win{n}", scope.double(w.of), w.size, order, *by)
+            else:
+                df = df.withColumn(f"_win{n}", _WINDOW[w.func](scope.double(w.of), w.size, order, *by))
             scope.special[w] = (F.col(f"_win{n}"), NUMBER)
+        for name, specs in spread.items():
+            df = rolling(df, name, specs)
     out: list[tuple[str, Column]] = []
     for i in items:
         if isinstance(i.expr, t.Star):

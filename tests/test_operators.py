@@ -112,6 +112,28 @@ def test_runs(spark):
     assert O.rle_encode(df.limit(0), "i", "v").count() == 0
 
 
+def test_runs_that_go_on_over_ranges(spark):
+    """Runs within a range, over several ranges and over all, against a loop; sums in blocks shorter than runs."""
+    for lengths in ([400], [1] * 97, [1, 150, 1, 1, 200, 3, 40], [90, 2, 2, 90]):
+        values = [(i * 7) % 3 if (i * 7) % 3 else None for i, n in enumerate(lengths) for _ in range(n)]
+        df = spark.createDataFrame([(i, v, float(i % 11)) for i, v in enumerate(values)], "i int, v int, x double").repartition(5)
+        want, sums = [], {}
+        for i, v in enumerate(values):
+            if want and want[-1][1] == v:
+                want[-1][3] += 1
+            else:
+                want.append([len(want), v, i, 1])
+            sums[v] = sums.get(v, 0) + i % 11
+        runs = O.rle_encode(df, "i", "v")
+        assert sorted(map(list, runs.collect()), key=lambda r: r[0]) == want
+        assert dict(map(tuple, O.rle_group_sum(runs, df, "i", "x", block=64).collect())) == sums
+
+
+def test_sums_over_a_dictionary(spark):
+    df = spark.createDataFrame([("b", 1.0), ("a", 2.0), (None, 8.0), ("b", 4.0)], "s string, x double")
+    assert sorted(map(tuple, O.dict_group_sum(df, "s", F.col("x")).collect())) == [(0, "a", 2.0), (1, "b", 5.0)]
+
+
 def test_chunks_equal_the_whole(spark):
     df = spark.createDataFrame([(i, i % 10, i * 0.5) for i in range(10_000)], "i int, k int, v double")
     assert sorted(map(tuple, O.chunked_group_sum(df, "i", "k", F.col("v"), 2500).collect())) == sorted(map(tuple, O.group_sum(df, "k", "v").collect()))
