@@ -258,11 +258,13 @@ def agreed(pair: np.ndarray, l: np.ndarray, r: np.ndarray, ol: np.ndarray, orr:
     """Of windows of many pairs of documents (pair, from, to, the other's from and to, hash): pair, from, to, and the
     other's from and to, of the intervals of at least shortest places that windows of need distinct hashes hold
     at every place; neighbours are joined."""
-    room = int(r.max(initial=0)) + 3  # between the places of one pair and those of the next
+    if not len(pair):
+        return (pair,) * 5
+    room = int(r.max()) + 3  # between the places of one pair and those of the next
     # Windows of one hash that touch are one.
     order = np.lexsort((l, v, pair))
     p, h, at = pair[order], v[order], pair[order] * room + l[order]
-    group = np.cumsum(np.concatenate([[0], (p[1:] != p[:-1]) | (h[1:] != h[:-1])])) if len(p) else p
+    group = np.cumsum(np.concatenate([[0], (p[1:] != p[:-1]) | (h[1:] != h[:-1])]))
     reach = np.maximum.accumulate(group * room + r[order])
     new = np.ones(len(p), dtype=bool)
     new[1:] = (group * room + l[order])[1:] > reach[:-1] + 1

@@ -228,6 +228,31 @@ def test_compact_windows_hold_each_subsequence_once(a, shortest):
             assert len(held) == 1 and a[held[0][1]] == a[i : k + 1].min()
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 9), max_size=60), st.integers(1, 5))
+def test_compact_windows_of_long_texts_are_those_of_the_tree(a, shortest):
+    a = np.array(a, dtype=np.uint64)
+    assert sorted(map(tuple, substring.compact_windows(a, shortest, 0).tolist())) == sorted(map(tuple, substring.compact_windows(a, shortest).tolist()))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 30), st.integers(0, 12), st.integers(0, 50), st.integers(0, 9), st.integers(-1, 2)), max_size=25))
+def test_agreed_intervals_place_by_place(windows):
+    rows = [(p, l, l + n, o, o + m, h) for p, l, n, o, m, h in windows]
+    want = []
+    for p in range(3):
+        mine = [r for r in rows if r[0] == p]
+        held = [len({r[5] for r in mine if r[1] <= i <= r[2]}) >= 2 for i in range(45)]
+        begins = [i for i in range(45) if held[i] and not (i and held[i - 1])]
+        for b in begins:
+            e = next(i for i in range(b, 45) if not held[i]) - 1
+            over = [r for r in mine if r[1] <= e and r[2] >= b]
+            if e - b + 1 >= 4:
+                want.append((p, b, e, min(r[3] for r in over), max(r[4] for r in over)))
+    got = substring.agreed(*np.array(rows, dtype=np.int64).reshape(-1, 6).T, 4, 2)
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want)
+
+
 def test_repeated_passages(spark, nothing):
     rng = random.Random(9)
     shared, other = prose(rng, 60), prose(rng, 55)
