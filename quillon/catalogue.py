@@ -134,6 +134,18 @@ def filter_then_groupby(spark, sf_dir):
     return O.filter_then_group_sum(table(spark, sf_dir, "lineitem"), F.col("l_quantity") > 25, "l_suppkey", F.col("l_extendedprice")).withColumn("total", F.round("total", 2))
 
 
+@query("SELECT count(*)::BIGINT AS n_rows, (max(event_id) // 2500 + 1)::BIGINT AS n_chunks, count(DISTINCT event_type)::BIGINT AS n_groups FROM events")
+def chunked_groups(spark, sf_dir):
+    return O.chunked_group_report(table(spark, sf_dir, "events"), "event_id", "event_type", 2500)
+
+
+@query("""SELECT t::DOUBLE AS threshold, l_suppkey, round(sum(l_extendedprice), 2) AS total
+    FROM lineitem, (VALUES (10), (25), (40), (49)) AS x(t) WHERE l_quantity > t GROUP BY t, l_suppkey""")
+def repeated_filter_groupby(spark, sf_dir):
+    out = O.repeated_filter_group_sum(table(spark, sf_dir, "lineitem"), "l_quantity", [10, 25, 40, 49], "l_suppkey", F.col("l_extendedprice"))
+    return out.withColumn("total", F.round("total", 2))
+
+
 # --- sort, limit --------------------------------------------------------------------------------------
 
 statement("sort_asc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice", "SELECT o_orderkey, o_totalprice FROM orders")
@@ -346,6 +358,18 @@ def lazy_filter(spark, sf_dir):
     return O.LazyFilter(table(spark, sf_dir, "lineitem"), F.year("l_shipdate") >= 1998).materialize("l_orderkey", "l_extendedprice")
 
 
+@query("""SELECT (SELECT count(*) FROM orders) AS n_rows, count(*) AS n_chosen, round(sum(o_totalprice), 2) AS full_sum, round(sum(o_totalprice), 2) AS late_sum
+    FROM orders WHERE o_totalprice > 400000""")
+def late_materialisation(spark, sf_dir):
+    """Rows read whole and filtered, beside rows fetched by ids that were chosen first; both give the same."""
+    o = table(spark, sf_dir, "orders")
+    above = F.col("o_totalprice") > 400000
+    full = o.agg(F.count("*").alias("n_rows"), F.count_if(above).alias("n_chosen"), F.round(F.sum(F.when(above, F.col("o_totalprice"))), 2).alias("full_sum"))
+    late = O.materialize(o, "o_orderkey", O.LazyFilter(o, above).selection("o_orderkey"), "o_orderkey")
+    # One row beside one row.
+    return full.join(F.broadcast(late.agg(F.round(F.sum("o_totalprice"), 2).alias("late_sum"))), F.lit(True), "left")
+
+
 # --- rings, round trips -----------------------------------------------------------------------------------
 
 
@@ -391,6 +415,19 @@ def _folder(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"{name}-")
 
 
+@query("SELECT count(*) AS committed FROM events")
+def arrow_feed(spark, sf_dir):
+    """The events as Arrow files, fed into a ring by a stream; how many rows were committed."""
+    from .sources import write_arrow
+    from .streaming import Ring, poll_arrow
+
+    e = table(spark, sf_dir, "events").select("event_id", "value")
+    write_arrow(e, path := _folder(spark, "feed"))
+    ring = Ring(spark, _folder(spark, "ring"), e.schema, max_rows=1500)
+    poll_arrow(spark, path, ring, _folder(spark, "feed-log"), None).awaitTermination()
+    return spark.createDataFrame([(ring.committed_rows(),)], "committed long")
+
+
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
 def csv_roundtrip(spark, sf_dir):
     from .sources import read_csv, write_csv_sample
@@ -400,6 +437,31 @@ def csv_roundtrip(spark, sf_dir):
     return read_csv(spark, path, df.schema, multi_line=False).rows
 
 
+@query("""SELECT 2 AS col, 'c_acctbal' AS col_name, 'n/a ' || c_custkey AS cell_value, 'not of type double' AS message FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 11 <> 0
+    UNION ALL SELECT NULL, NULL, NULL, 'wrong number of fields' FROM customer WHERE c_custkey % 11 = 0""")
+def csv_rejects(spark, sf_dir):
+    """Customers as CSV with cells that aren't numbers and rows with a field too many; what the reader reports."""
+    return _spoilt_customers(spark, sf_dir).errors.select("col", "col_name", "cell_value", "message")
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 11 <> 0")
+def csv_good_rows(spark, sf_dir):
+    """The rows that are left of the same file."""
+    return _spoilt_customers(spark, sf_dir).rows
+
+
+def _spoilt_customers(spark, sf_dir):
+    from .sources import read_csv
+
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    number = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("n/a "), "c_custkey")).otherwise(F.col("c_acctbal").cast("string"))
+    extra = F.when(F.col("c_custkey") % 11 == 0, F.lit("more"))
+    # A row with a field too many has no bad cell as well, so that it is reported once.
+    lines = df.select(F.concat_ws(",", "c_custkey", F.concat(F.lit('"'), "c_name", F.lit('"')), number, extra))
+    lines.write.text(path := _folder(spark, "csv") + "/t")
+    return read_csv(spark, path, df.schema, header=False, max_errors=None)
+
+
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
 def arrow_roundtrip(spark, sf_dir):
     from .sources import read_arrow, write_arrow

@@ -39,6 +39,18 @@ def measure(run: Callable[[], object], name: str, warm_up: int = 5, runs: int =
     return Measure(name, runs, statistics.fmean(times), statistics.median(times), times[min(len(times) - 1, int(len(times) * 0.95))], rows, time.time())
 
 
+def compare_materialisation(df, id_col: str, column: str, threshold: float, warm_up: int = 1, runs: int = 3) -> list[Measure]:
+    """Two plans for the rows whose column is above threshold: all columns are read and then filtered, or the ids are
+    chosen from two columns and the rows fetched by them."""
+    from .operators import LazyFilter, materialize
+
+    def run(plan):
+        return lambda: plan.write.format("noop").mode("overwrite").save()
+
+    chosen = LazyFilter(df, df[column] > threshold).selection(id_col)
+    return [measure(run(plan), name, warm_up, runs) for name, plan in (("full", df.filter(df[column] > threshold)), ("late", materialize(df, id_col, chosen, id_col)))]
+
+
 def write_csv(results: list[Measure], path: str) -> None:
     with open(path, "w", newline="") as f:
         w = csv.DictWriter(f, list(asdict(results[0])) if results else ["name"])

@@ -9,7 +9,7 @@ from .dialect import parse
 from .dialect.tokens import DialectError
 from .harness import Measure, measure
 from .plans import lower
-from .sources import CsvResult, read_arrow, read_csv
+from .sources import CsvResult, read_arrow, read_csv, spans_lines
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -48,8 +48,10 @@ class Engine:
     def load_csv(self, path: str, name: str, schema: T.StructType | None = None, **options) -> CsvResult:
         """Without a schema, the header names the columns and their types are inferred (int, bigint,
         double, string)."""
+        if options.get("multi_line") is None:
+            options["multi_line"] = spans_lines(self.spark, path, options.get("quote", '"'))
         if schema is None:
-            seen = self.spark.read.csv(path, header=True, inferSchema=True, sep=options.get("delimiter", ","), quote=options.get("quote", '"'), escape=options.get("quote", '"'), multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).schema
+            seen = self.spark.read.csv(path, header=True, inferSchema=True, sep=options.get("delimiter", ","), quote=options.get("quote", '"'), escape=options.get("quote", '"'), multiLine=options["multi_line"], ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True).schema
             known = (T.IntegerType, T.LongType, T.DoubleType, T.StringType)
             schema = T.StructType([T.StructField(f.name, f.dataType if isinstance(f.dataType, known) else T.StringType()) for f in seen])
         result = read_csv(self.spark, path, schema, **options)

@@ -74,19 +74,21 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Files in the folder, each once, in the order of their names."""
+    """Files in the folder, each once, whenever they come and whatever their names; those that come together in the
+    order of their names. The offset lists the files seen, so it grows as the folder's listing does."""
 
     def __init__(self, path: str):
         self.path = path
 
     def initialOffset(self) -> dict:
-        return {"last": ""}
+        return {"seen": []}
 
     def latestOffset(self) -> dict:
-        return {"last": max((f for f in _files(self.path)), default="")}
+        return {"seen": _files(self.path)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Batches(f) for f in _files(self.path) if start["last"] < f <= end["last"]]
+        seen = set(start["seen"])
+        return [_Batches(f) for f in end["seen"] if f not in seen]
 
     def read(self, partition: _Batches) -> Iterator[pa.RecordBatch]:
         r = _open(_system(self.path), partition.file)

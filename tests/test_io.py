@@ -3,9 +3,9 @@ import pytest
 from pyspark.sql import types as T
 
 from quillon.cli import Shell, render
-from quillon.harness import append_json_line, markdown, measure, write_csv, write_json
+from quillon.harness import append_json_line, compare_materialisation, markdown, measure, write_csv, write_json
 from quillon.session import Engine
-from quillon.sources import arrow_to_table, read_arrow, read_csv, table_to_arrow, write_arrow
+from quillon.sources import arrow_to_table, read_arrow, read_csv, spans_lines, table_to_arrow, write_arrow
 
 SCHEMA = T.StructType([T.StructField("id", T.IntegerType(), False), T.StructField("big", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("s", T.StringType())])
 TEXT = 'id,big,x,s\n1, 10 ,1.5,"a ""q"" b"\n2,,2.5,"two\nlines"\nbad,30,3.5,c\n4,40,oops,d\n5,50\n6,60,6.5,f,extra\n ,70,7.5,  trimmed  \n8,80.5,1e3,h\n'
@@ -27,6 +27,27 @@ def test_csv_rows_and_errors(spark, csv):
     assert got.has_errors() and read_csv(spark, csv, SCHEMA, max_errors=2).errors.count() == 2
 
 
+def test_csv_errors_name_their_place(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    bad = {"a": (3, 700, 1999), "b": (1, 2, 1500)}
+    for name, at in bad.items():
+        lines = ["id,big,x,s", *(f"{i},{'no' if i in at else i},{i}.5,{'w' * 20}" for i in range(1, 2001))]
+        (folder / f"{name}.csv").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = read_csv(spark, str(folder), SCHEMA)
+        assert got.rows.rdd.getNumPartitions() > 4 and got.rows_parsed() == 4000
+        errors = [(e["file"][-5], e["row"], e["col"], e["col_name"]) for e in got.errors.collect()]
+        assert errors == [(n, i, 1, "big") for n, at in bad.items() for i in at]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert not spans_lines(spark, str(folder))
+    (folder / "c.csv").write_text(TEXT)
+    assert spans_lines(spark, str(folder)) and read_csv(spark, str(folder / "c.csv"), SCHEMA).errors.first()["row"] == 3
+
+
 def test_csv_strict(spark, csv, tmp_path):
     with pytest.raises(Exception, match="not of type|wrong number of fields|isn't nullable"):
         read_csv(spark, csv, SCHEMA, strict=True).rows.collect()
@@ -77,6 +98,11 @@ def test_shell(spark, tmp_path):
     assert render(spark.range(0).toDF("x")) == "(empty result)" and "... and 5 more rows" in render(spark.range(25).toDF("x"))
 
 
+def test_materialisation_is_compared(spark):
+    df = spark.range(1000).selectExpr("id", "id / 10.0 as x")
+    assert [m.name for m in compare_materialisation(df, "id", "x", 90.0, 0, 1)] == ["full", "late"]
+
+
 def test_reports(tmp_path):
     m = measure(lambda: sum(range(1000)), "q", 1, 10, rows=1000)
     assert m.mean > 0 and m.rows_per_second > 0 and "| q | 10 |" in markdown([m])

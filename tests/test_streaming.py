@@ -1,10 +1,11 @@
+import io
 import threading
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.streaming import Ring, continuous_sma, poll_arrow, ring_snapshot, stateful_ema
+from quillon.streaming import Ring, continuous_sma, feed_stream, poll_arrow, ring_snapshot, stateful_ema
 
 
 def batch(spark, start, n):
@@ -61,7 +62,7 @@ def test_feed_takes_each_file_once(spark, tmp_path):
     ring = Ring(spark, str(tmp_path / "r"), batch(spark, 0, 1).schema, max_rows=80)
     seen = []
     put("a.arrow", 0)
-    for name, start in ((None, 0), ("b.arrow", 50)):
+    for name, start in ((None, 0), ("Z.arrow", 50)):  # sorts before the first
         if name:
             put(name, start)
         q = poll_arrow(spark, str(feed), ring, str(tmp_path / "cp"), None, seen.append)
@@ -70,6 +71,18 @@ def test_feed_takes_each_file_once(spark, tmp_path):
     assert ring.snapshot().agg(F.min("ts")).first()[0] == 20
 
 
+def test_stream_of_batches(spark, tmp_path):
+    ring = Ring(spark, str(tmp_path / "r"), batch(spark, 0, 1).schema, max_rows=25)
+    rows = batch(spark, 0, 40).orderBy("ts").toArrow().combine_chunks()
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, rows.schema) as w:
+        w.write_table(rows, max_chunksize=10)
+        w.write_table(rows.slice(0, 0))
+    seen = []
+    assert feed_stream(io.BytesIO(sink.getvalue()), ring, seen.append) == 40 and seen == [10, 20, 30, 40]
+    assert sorted(r["ts"] for r in ring.snapshot().collect()) == rows["ts"].to_pylist()[15:]
+
+
 def test_batch_is_added_once(spark, tmp_path):
     ring = Ring(spark, str(tmp_path / "r"), batch(spark, 0, 1).schema)
     ring.append(batch(spark, 0, 10), "ts", batch_id=0)
