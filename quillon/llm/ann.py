@@ -26,12 +26,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 
 FIT_ROWS, BRANCH, LEAF_ROWS, MAX_LEAVES = 20_000, 8, 200, 4096
 RECALL, PROBES = 0.98, 256
-BLOCK_ROWS, GROUP_ROWS, BLOCK_QUERIES = 4096, 16_384, 1024
+BLOCK_ROWS, GROUP_ROWS = 4096, 16_384
+#: Queries that a group's rows meet at once, in bytes of their vectors; the rows are sent once for each such block.
+QUERY_BYTES = 4 << 20
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 0) -> np.ndarray:
@@ -223,12 +226,14 @@ def _meet(k: int):
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, fit_rows: int = FIT_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of each row whose id is divisible by every."""
     spark = vectors.sparkSession
-    v = F.transform(vector_col, lambda x: x.cast("double"))
+    # Floats go as they are; they are doubles wherever something is calculated.
+    kind = "float" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "double"
+    v = F.transform(vector_col, lambda x: x.cast(kind))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null")
     rows = rows.filter("not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
     rows = stored(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     out = "query_id long, rank int, vec_id long, score double"
-    dims = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + x * x))")).alias("most")).orderBy(F.desc("n"), "d").limit(1).collect()
+    dims = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.expr("sqrt(aggregate(v, 0D, (a, x) -> a + double(x) * double(x)))")).alias("most")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not dims:
         return spark.createDataFrame([], out)
     dim, total, most = dims[0]["d"], dims[0]["n"], dims[0]["most"]
@@ -239,7 +244,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     tree = Tree(lift(x, most), min(MAX_LEAVES, max(1, len(x) // 4), -(-total // LEAF_ROWS)))
     visits = calibrate(tree, x, most, k, recall)
     shared = spark.sparkContext.broadcast((tree, most, dim, visits, total))
-    placed = stored(rows.mapInArrow(_place(shared), "vec_id long, v array<double>, leaf int"), "leaves")
+    placed = stored(rows.mapInArrow(_place(shared), f"vec_id long, v array<{kind}>, leaf int"), "leaves")
     held = {r["leaf"]: r["count"] for r in placed.groupBy("leaf").count().collect()}  # at most MAX_LEAVES rows
     held = [held.get(i, 0) for i in range(tree.leaves)]
     # A leaf's rows are dealt to parts of at most BLOCK_ROWS; parts next to each other in the tree form
@@ -250,9 +255,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     group = ((size - 1e-6) // GROUP_ROWS).astype(int).clip(0)
     groups = [sorted(set(group[first[i] : first[i + 1]].tolist())) for i in range(tree.leaves)]
     layout = spark.sparkContext.broadcast((held, groups))
-    visited = stored(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(_visit(shared, layout, k), "query_id long, q array<double>, g int, leaves array<int>"), "visits")
+    visited = stored(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(_visit(shared, layout, k), f"query_id long, q array<{kind}>, g int, leaves array<int>"), "visits")
     drawn = visited.groupBy("g").count().collect()  # one row a group
-    blocks = spark.createDataFrame([(r["g"], -(-r["count"] // BLOCK_QUERIES)) for r in drawn] or [(-1, 1)], "g int, qb int")
+    at_once = max(1, QUERY_BYTES // (8 * dim))
+    blocks = spark.createDataFrame([(r["g"], -(-r["count"] // at_once)) for r in drawn] or [(-1, 1)], "g int, qb int")
     units = spark.createDataFrame([(i, parts[i], [int(g) for g in group[first[i] : first[i + 1]]]) for i in range(tree.leaves)], "leaf int, parts int, to array<int>")
     left = placed.join(F.broadcast(units), "leaf").withColumn("g", F.expr("get(to, cast(pmod(xxhash64(vec_id), parts) as int))"))
     left = left.join(F.broadcast(blocks), "g").withColumn("b", F.explode(F.expr("sequence(0, qb - 1)")))

@@ -23,9 +23,9 @@ def exact(rows, k, every):
     return out
 
 
-@pytest.mark.parametrize("parts", [(4096, 16_384, 1024), (10, 30, 2)])
-def test_recall(spark, monkeypatch, parts):
-    for name, v in zip(("BLOCK_ROWS", "GROUP_ROWS", "BLOCK_QUERIES"), parts):
+@pytest.mark.parametrize(("parts", "kind"), [((4096, 16_384, 4 << 20), "float"), ((10, 30, 2 * 8 * 16), "double")])
+def test_recall(spark, monkeypatch, parts, kind):
+    for name, v in zip(("BLOCK_ROWS", "GROUP_ROWS", "QUERY_BYTES"), parts, strict=True):
         monkeypatch.setattr(ann, name, v)
     monkeypatch.setattr(ann, "LEAF_ROWS", 25)
     rng = np.random.default_rng(0)
@@ -33,7 +33,7 @@ def test_recall(spark, monkeypatch, parts):
     rows = [(i, (centres[i % 12] * (1 + i % 3) + 0.3 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(600)]
     rows += [(1000 + i, rows[0][1]) for i in range(60)]  # a hot vector
     odd = [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [float("inf")] + [0.0] * 15), (2080, [None] + [1.0] * 15), (2100, [1.0] * 3), (None, [1.0] * 16), (0, rows[0][1])]
-    df = spark.createDataFrame([(i, v, 5) for i, v in rows + odd], "vec_id long, embedding array<float>, leaf int").repartition(3)
+    df = spark.createDataFrame([(i, v, 5) for i, v in rows + odd], f"vec_id long, embedding array<{kind}>, leaf int").repartition(3)
     got = {}
     for r in ann.search(df).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
