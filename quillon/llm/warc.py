@@ -204,7 +204,8 @@ def write(pages: DataFrame, folder: str, package: int = PACKAGE) -> DataFrame:
     seen = stored(seen, "warc-seen")
     hot = F.col("rows") >= max(2.0, HEAVY * total)
     rows = rows.join(F.broadcast(seen.filter(hot).select("digest", F.col("to").alias("hot_to"))), "digest", "left")
-    # Payloads that few rows share meet their key in a shuffle of keys, not of texts.
+    # Keys of payloads that few rows share are of one width, so as many as here are about 100 MB; with more of them
+    # the rows are shuffled once by digest, texts and all.
     few = seen.filter(~hot).select("digest", "to")
     n_few = few.count()
     rows = rows.join(F.broadcast(few) if n_few <= 1_000_000 else few, "digest", "left")
