@@ -5,6 +5,8 @@ of the text plus 1). Groups are dealt to cells by their hash; each cell differen
 one partial partition (the differencing method for several parts: the two partial partitions with
 the largest spread are combined in opposite order, again and again), and the driver goes on with
 one partial partition a cell. The cells are at most MAX_CELLS, so what it holds is bounded.
+Slots are numbered by blocks of rows; among rows whose text many have, their order follows from how the
+table was split.
 
 Defined cases: a null text has no bytes and counts as an empty one (size 1, CRC 0); repeated rows
 are rows of their own; doc_id may be null or repeat; an empty table gives no rows; other columns
@@ -91,9 +93,10 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     heavy = F.col("n") >= max(2.0, HEAVY * total)
     few = dealt.filter(heavy).select("g", F.col("shard").alias("heavy_shard"))
     rows = rows.join(F.broadcast(few), "g", "left")
-    placed = rows.filter("heavy_shard is not null").withColumnRenamed("heavy_shard", "shard").unionByName(
-        rows.filter("heavy_shard is null").drop("heavy_shard").join(dealt.filter(~heavy).select("g", "shard"), "g"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "g"), F.lit(4 * cells)).cast("int"))
+    # Rows of a heavy group are spread over the blocks one by one, since many may have one doc_id as well.
+    block = lambda *of: F.pmod(F.xxhash64("doc_id", "g", *of), F.lit(4 * cells)).cast("int")
+    placed = rows.filter("heavy_shard is not null").withColumnRenamed("heavy_shard", "shard").withColumn("block", block(F.monotonically_increasing_id())).unionByName(
+        rows.filter("heavy_shard is null").drop("heavy_shard").join(dealt.filter(~heavy).select("g", "shard"), "g").withColumn("block", block()))
     placed = stored(placed.drop("g"), "shard-placed")
     # Slots: a block's rows are numbered apart, after the counts of the blocks before it.
     counts = placed.groupBy("shard", "block").agg(F.count("*").alias("rows"))

@@ -188,6 +188,16 @@ def test_shards(spark, corpus):
     assert max(total.values()) - min(total.values()) <= 40
 
 
+def test_slots_of_one_row_many_times(spark):
+    rows = [(None, "the same")] * 300 + [(7, "another")] * 200 + [(i, f"text {i}") for i in range(100)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == 600 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert len({r["shard"] for r in got if r["doc_id"] is None}) == len({(r["shard"]) for r in got if r["doc_id"] == 7 and r["size"] == 8}) == 1
+
+
 def test_shards_in_cells(spark, monkeypatch):
     monkeypatch.setattr(sharding, "CELL_GROUPS", 20)
     rng = random.Random(2)
