@@ -14,9 +14,8 @@ that aren't UTF-8 are replacement characters.
 
 from __future__ import annotations
 
-import re
+import itertools
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -26,14 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, decoded, stored, trim
+from .common import KEPT, decoded, raw, slices, stored, trim
 
 WINDOW = 4096
 BATCH = 16_384
 #: So many tasks' leftovers are packed together.
 FAN = 512
-#: Most distinct chunks whose ids a worker remembers, and the longest chunk that it does.
-CACHE, CHUNK = 1_000_000, 64
+#: A worker remembers the ids of at least the CACHE distinct units it met last (at most about twice as many) of at
+#: most CHUNK bytes.
+CACHE, CHUNK = 100_000, 64
+#: Bytes of texts that are worked on together, and rows that go to a worker together.
+PART, ROWS = 1 << 21, 1024
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -83,29 +85,30 @@ def pack(items: list[tuple], window: int = WINDOW) -> Iterator[list[tuple]]:
 
 
 class Chunks:
-    """Ids of texts as little-endian 32-bit bytes. The tokenizer drops white space and never joins
-    what a blank, tab or line end parts, so texts are encoded by chunks between those and the ids of
-    short chunks are remembered. It also composes, then lowers letters, and parts a letter or digit
-    from a stop behind it: small letters are made before where that can't make a difference, and a
-    chunk with a stop at its end has the ids of the rest and of the stop."""
+    """Ids of texts as little-endian 32-bit bytes. The tokenizer drops white space and never joins what a
+    blank, tab or line end parts, nor a letter or digit and a mark beside it (an apostrophe may take letters
+    behind it), so texts are encoded by such units: each distinct one of a slice is looked up once, and the
+    ids of short ones are remembered, those of late longest. It also composes, then lowers letters: small
+    letters are made before where that can't make a difference, and other texts are parted at blanks only."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.plain = Tokenizer(self.tokenizer.model)  # for small letters, each word one unit
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.late: dict[bytes, bytes] = {}
+        self.early: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
         self.ends[[i for v, i in vocab.items() if v.endswith("</w>")]] = True
-        # Letters that composing changes by themselves: a chunk that holds one isn't taken apart.
-        self.odd = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x30000)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.normalize("NFC", c) != c) + "]")
 
     def words(self, words: list[str]) -> Iterator[bytes]:
         """Ids of words of small letters, each of which is one unit for the tokenizer and ends in an id
         that ends a word. Many are encoded as one text."""
         if not words:
             return
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
         if len(ends) != len(words):  # a word isn't one unit after all
             yield from (_raw_ids(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
@@ -115,47 +118,102 @@ class Chunks:
             yield raw[at:end]
             at = end
 
-    def split(self, text: str | None) -> list[str]:
-        raw = (text or "").encode("utf-8", "replace")
-        if b"\xcc" not in raw and b"\xcd" not in raw and b"<|" not in raw:  # no marks that a letter may compose with
-            raw = raw.lower()
-        return raw.decode().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        wanted = set().union(*split) if split else set()
-        if len(self.known) > CACHE:
-            self.known = {c: v for c, v in self.known.items() if len(c) < 8 or c in wanted}  # short words come most
-            if len(self.known) > CACHE // 2:
-                self.known = {c: self.known[c] for c in wanted if c in self.known}
-        known, long = self.known, []
-        missing = [c for c in wanted if c not in known]
-        odd = {c for c in missing if not c.isascii() and self.odd.search(c)}  # are encoded whole
-        whole, missing = [c for c in missing if c in odd], [c for c in missing if c not in odd]
-        stopped = [c for c in missing if c[-1:] in _STOPS and c[-2:-1].isalnum() and c[-2:-1] == c[-2:-1].lower()]
-        stems = {c[:-1] for c in stopped if c[:-1] not in known}
-        missing = list(stems.union(missing).difference(stopped)) + [c for c in _STOPS if stopped and c not in known]
-        plain = [c for c in missing if c.isalpha() and c.islower() and len(c) <= CHUNK]
-        known.update(zip(plain, self.words(plain), strict=True))
-        missing = whole + [c for c in missing if c not in known]
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = _raw_ids(e.ids)
-                if len(c) > CHUNK:
-                    long.append(c)
-        for c in stopped:
-            known[c] = known[c[:-1]] + known[c[-1]]
-            if len(c) > CHUNK:
-                long.append(c)
-        get = known.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        for c in long:
-            known.pop(c, None)
+    def looked_up(self, units: list[bytes]) -> list[bytes]:
+        """The ids of distinct units."""
+        out = list(map(self.late.get, units))
+        if len(self.late) > CACHE:
+            self.early, self.late = self.late, {}
+        early, plain, others = self.early.get, [], []
+        for i, ids in enumerate(out):
+            if ids is None:
+                unit = units[i]
+                if (ids := early(unit)) is not None:
+                    out[i] = self.late[unit] = ids
+                elif len(unit) <= CHUNK and max(unit) < 0xCC and (word := unit.decode()).isalpha() and word.islower():  # below U+0300 nothing composes
+                    plain.append((i, word))
+                else:
+                    others.append(i)
+        for (i, _), ids in zip(plain, self.words([w for _, w in plain]), strict=True):
+            out[i] = self.late[units[i]] = ids
+        for at in range(0, len(others), 4096):
+            part = others[at : at + 4096]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([units[i].decode() for i in part], add_special_tokens=False), strict=True):
+                out[i] = _raw_ids(e.ids)
+                if len(units[i]) <= CHUNK:
+                    self.late[units[i]] = out[i]
         return out
 
+    def streams(self, texts: pa.Array, end: bytes = b"") -> Iterator[list[bytes]]:
+        """The ids of texts (null: none), each with end behind them, by slices of them."""
+        if not _is_utf8(texts):
+            texts = pa.array([None if t is None else t.encode() for t in decoded(texts)], pa.large_binary())
+        for _, _, data, bounds in slices(texts, PART, len(texts)):
+            data, starts, of_text = _units(data, bounds)
+            units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
+            ids = self.looked_up(units.dictionary.to_pylist()) + [end]
+            which = np.insert(units.indices.to_numpy(), of_text[1:], len(ids) - 1)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            n = sizes[which]
+            stops = np.cumsum(n)
+            places = np.repeat((np.cumsum(sizes) - sizes)[which] - (stops - n), n)
+            places += np.arange(len(places))
+            raw = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
+            edges = [0, *(4 * stops[of_text[1:] + np.arange(len(bounds) - 1)]).tolist()]
+            yield [raw[a:b] for a, b in itertools.pairwise(edges)]
 
-_STOPS = (".", ",")
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        array = pa.array([None if t is None else t.encode("utf-8", "replace") for t in texts], pa.large_binary())
+        return [ids for part in self.streams(array) for ids in part]
+
+
+def _is_utf8(texts: pa.Array) -> bool:
+    data, bounds = raw(texts)
+    firsts = bounds[:-1][np.diff(bounds) > 0]
+    if len(firsts) and (data[firsts] & 0xC0 == 0x80).any():  # a character across two texts
+        return False
+    try:
+        for at in range(0, len(bounds) - 1, 1024):
+            str(data[bounds[at] : bounds[min(at + 1024, len(bounds) - 1)]].data, "utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of texts without blanks, letters A-Z lowered, the bounds of units in them, and the bounds of each
+    text's units."""
+    kinds, small = _KIND[data], _SMALL[data]
+    pair = np.flatnonzero((data == 0xCC) | (data == 0xCD))  # marks that a letter may compose with
+    special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))  # <|
+    first = np.zeros(len(data) + 1, dtype=bool)
+    latin = np.flatnonzero(data[:-1] == 0xC3)  # but for two signs, these are letters
+    latin = latin[(data[latin + 1] != 0x97) & (data[latin + 1] != 0xB7)]
+    ends = kinds.copy()
+    ends[latin + 1] = _LETTER
+    kinds[latin] = _LETTER
+    a, b = ends[:-1], kinds[1:]
+    ascii_b = data[1:] < 0x80
+    first[1:-1] = ((a == _LETTER) & ascii_b & (b != _LETTER)) | (((a == _MARK) | (a == _DIGIT)) & (b == _LETTER)) | ((a == _DIGIT) & ascii_b) | (b == _DIGIT)
+    for t in np.unique(np.searchsorted(bounds, np.concatenate([pair, special]), "right") - 1).tolist():
+        small[bounds[t] : bounds[t + 1]] = data[bounds[t] : bounds[t + 1]]
+        first[bounds[t] : bounds[t + 1]] = False
+    kept = _KIND[data] != _BLANK
+    first[1:-1] |= ~kept[:-1]
+    first[bounds] = True
+    starts = np.flatnonzero(first[:-1] & kept)
+    places = np.cumsum(kept, dtype=np.int64)
+    return small[kept], np.append(places[starts] - 1, kept.sum()), np.searchsorted(starts, bounds)
+
+
+_BLANK, _MARK, _LETTER, _DIGIT, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[0x20, 0x09, 0x0A, 0x0D]] = _BLANK
+_KIND[0x27] = _OTHER
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[0x41:0x5B] += 0x20
 _PACK = [struct.Struct(f"<{n}I") for n in range(64)]
 
 
@@ -196,11 +254,10 @@ def _packer(path: str, window: int, end_id: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if i == 7 else pa.int64()) for i, c in enumerate(cols)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "left_over"])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(ids), 256):
+            ids = iter(batch.column(0).to_pylist())
+            for part in chunks.streams(batch.column(1), tail):
                 full = []
-                for doc, b in zip(ids[i : i + 256], chunks.ids(decoded(texts[i : i + 256])), strict=True):
-                    b += tail
+                for doc, b in zip(itertools.islice(ids, len(part)), part, strict=True):
                     total = len(b) // 4
                     for start in range(0, total, window):
                         piece = b[4 * start : 4 * (start + window)]
@@ -239,7 +296,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = 2, token
     """Every piece's place: SCHEMA."""
     path = tokenizer or tokenizer_path()
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_packer(path, window, end_id), SCHEMA + ", left_over boolean")
-    pieces = stored(pieces, "packed")  # pins each task's order and numbers
+    pieces = stored(pieces, "packed", ROWS)  # pins each task's order and numbers
     again = pieces.filter("left_over").withColumn("fan", (F.shiftright("sequence_id", 40) / FAN).cast("long"))
     again = again.groupBy("fan").applyInPandas(_again(window), SCHEMA)
     return pieces.filter("not left_over").drop("left_over").unionByName(again)

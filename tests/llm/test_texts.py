@@ -1,9 +1,11 @@
 """Language ID, language-model scores, packing, sharding, substring dedup."""
 
 import collections
+import functools
 import math
 import random
 import struct
+import tracemalloc
 import unicodedata
 import zlib
 
@@ -161,6 +163,33 @@ def test_pack_keeps_every_item(sizes):
     assert sorted(x for s in packed for x in s) == items and all(0 < sum(x[2] for x in s) <= 30 for s in packed)
 
 
+UNITS = [*"abcABZz09'’.,;<|> \t\n\r\x0b\x0c\x00\x7f×÷éÉßçª²½“…\u0338\u0331\u0301İıǅΣσς가ᄀ日①٣क\u093c\u0958\u200d😀^_-/\x85", "'s", "'re", "'LL", "<|endoftext|>", "word"]
+
+
+@functools.cache
+def _chunks():
+    return packing.Chunks(packing.tokenizer_path())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(UNITS), max_size=14).map("".join), max_size=8))
+def test_ids_are_those_of_the_tokenizer(texts):
+    chunks = _chunks()
+    want = [chunks.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert chunks.ids(texts) == [struct.pack(f"<{len(ids)}I", *ids) for ids in want]
+
+
+def test_a_worker_remembers_few_units():
+    rng = random.Random(3)
+    chunks, most = packing.Chunks(packing.tokenizer_path()), 0
+    tracemalloc.start()
+    for _ in range(25):
+        chunks.ids([" ".join("".join(rng.choices("abcdefghij", k=12)) for _ in range(20_000))])
+        most = max(most, tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert most < 50e6
+
+
 def test_packing_nothing(nothing):
     assert packing.pack_documents(nothing).count() == 0
 
