@@ -27,6 +27,7 @@ give rows without passages; an empty table gives no rows; other columns are igno
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _A, _B, SHINGLE, SIMILAR, dealt, hashed_words, mix, opened, run_hashes, slices, small_or_shuffled, squeezed, stored
+from .common import _A, _B, _SEP, SHINGLE, SIMILAR, dealt, hashed_words, mix, opened, run_hashes, slices, small_or_shuffled, squeezed, stored
 
 #: Words of the shortest passage; hash functions, and how many must agree.
 SHORTEST, HASHES, NEED = 50, 6, 2
@@ -47,8 +48,6 @@ GAP = SHINGLE + 3
 STEP = 3
 #: Shingles from which a text's windows are found without walking the tree, which repeats make deep.
 LONG = 4096
-#: Documents with open windows that are broadcast at most.
-OPEN_ROWS = 20_000
 
 
 def _sliding(x: np.ndarray, n: int, of: np.ufunc, fill: int) -> np.ndarray:
@@ -349,6 +348,36 @@ def _agree(shortest: int, need: int):
     return of
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of each span of a document, instead of its text."""
+    for batch in batches:
+        done, pieces = 0, []
+        spans = batch.column(2).to_pylist()
+        for at, stop, data, edges in slices(batch.column(3)):
+            shut = np.ones(len(data) + 1, dtype=bool)  # before a byte
+            shut[1:] = _SEP[data]
+            shut[edges] = True
+            word = ~_SEP[data]
+            first = np.flatnonzero(word & shut[:-1])
+            shut[:-1] = _SEP[data]
+            shut[-1] = True
+            shut[edges] = True
+            last = np.flatnonzero(word & shut[1:]) + 1
+            bounds = np.searchsorted(first, edges)
+            n = [len(x) for x in spans[at:stop]]
+            flat = np.array([x[:2] for own in spans[at:stop] for x in own], dtype=np.int64).reshape(-1, 2)
+            begin = np.minimum(np.repeat(bounds[:-1], n) + flat[:, 0], np.repeat(bounds[1:], n))
+            end = np.maximum(np.minimum(np.repeat(bounds[:-1], n) + flat[:, 1] + SHINGLE, np.repeat(bounds[1:], n)), begin)
+            full = end > begin
+            lo, hi = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+            lo[full], hi[full] = first[begin[full]], last[end[full] - 1]
+            raw = data.tobytes()
+            pieces += [raw[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
+            done = stop
+        ends = np.cumsum([0, *(len(x) for x in spans[:done])])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pieces, pa.binary()))], names=["doc", "other", "spans", "pieces"])
+
+
 def _compare(shortest: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,9 +385,10 @@ def _compare(shortest: int):
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 cols = [part.column(j).to_pylist() for j in range(3)]
-                for d, o, spans, a, b in zip(*cols, _runs(part.column(3)), _runs(part.column(4)), strict=True):
-                    for x, y, ox, oy in spans:
-                        rows += [(d, s, n + SHINGLE - 1, o, t, m + SHINGLE - 1) for s, n, t, m in passages(a[x : y + 1], b[ox : oy + 1], x, ox, shortest)]
+                pieces = _runs(pc.list_flatten(part.column(3)))
+                for d, o, spans, b in zip(*cols, _runs(part.column(4)), strict=True):
+                    for (x, _, ox, oy), a in zip(spans, itertools.islice(pieces, len(spans)), strict=True):
+                        rows += [(d, s, n + SHINGLE - 1, o, t, m + SHINGLE - 1) for s, n, t, m in passages(a, b[ox : oy + 1], x, ox, shortest)]
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "start", "words", "other", "other_start", "other_words"])
 
@@ -387,7 +417,7 @@ def repeats(docs: DataFrame, shortest: int = SHORTEST, hashes: int = HASHES, nee
     covered = F.expr(f"exists(spans, x -> x.start <= l and x.start + x.words - {SHINGLE} >= r)")
     w = w.join(spans, "doc", "left").filter(~F.coalesce(covered, F.lit(False)))
     w = stored(w.groupBy("doc").agg(F.first("spans").alias("spans"), F.collect_list(F.struct("l", "r", "hash")).alias("windows")), "open")
-    open_ = rows.join(small_or_shuffled(w, w.count(), limit=OPEN_ROWS), "doc").select("doc", "spans", "text", "windows")
+    open_ = _of(rows, w.select("doc")).join(w, "doc").select("doc", "spans", "text", "windows")
     more = _together(open_.mapInArrow(_beside(n, hashes, buckets), BLOCKS + ", hash binary"))
     return found.unionByName(_verified(more, rows, n, need))
 
@@ -398,15 +428,24 @@ def _together(blocks: DataFrame) -> DataFrame:
     return met.groupBy("doc", "other").agg(F.collect_list(F.struct("l", "r", "ol", "orr", "hash")).alias("w"))
 
 
+def _of(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with these ids (a column of the same name), so that no other texts are shuffled."""
+    ids = stored(ids.distinct(), "needed")
+    return rows.join(small_or_shuffled(ids, ids.count()), ids.columns[0], "left_semi")
+
+
 def _verified(met: DataFrame, rows: DataFrame, n: int, need: int) -> DataFrame:
     met = met.filter(F.size(F.array_distinct("w.hash")) >= need)  # as many as the document has windows
     spans = stored(met.mapInArrow(_agree(n, need), "doc long, other long, span array<int>"), "agreed")
     spans = spans.groupBy("doc", "other").agg(F.collect_list("span").alias("spans"))
-    needed = stored(spans.select("doc").union(spans.select("other")).distinct(), "needed")
-    texts = stored(rows.join(small_or_shuffled(needed, needed.count()), "doc", "left_semi"), "texts")
-    both = spans.join(texts, "doc").join(texts.select(F.col("doc").alias("other"), F.col("text").alias("other_text")), "other")
+    spans = stored(spans, "spans")
+    # Of a document only the words of its spans go on to the other one.
+    mine = spans.join(_of(rows, spans.select("doc")), "doc").select("doc", "other", "spans", "text")
+    mine = mine.mapInArrow(_cut, "doc long, other long, spans array<array<int>>, pieces array<binary>")
+    theirs = _of(rows.select(F.col("doc").alias("other"), F.col("text").alias("other_text")), spans.select("other"))
+    both = mine.join(theirs, "other")
     kinds = ", ".join(f"{c} long" for c in ("doc", "start", "words", "other", "other_start", "other_words"))
-    return stored(both.select("doc", "other", "spans", "text", "other_text").mapInArrow(_compare(n), kinds), "passages")
+    return stored(both.select("doc", "other", "spans", "pieces", "other_text").mapInArrow(_compare(n), kinds), "passages")
 
 
 def repeated(docs: DataFrame, shortest: int = SHORTEST, hashes: int = HASHES, need: int = NEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

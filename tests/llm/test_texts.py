@@ -10,6 +10,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -345,6 +346,15 @@ def test_passages_that_hold_a_line_of_many_earlier_documents(spark):
     assert [i for i, _ in rows if i % 100 >= 50 and got[i] < 54] == [] and not any(got[i] for i, _ in rows if i % 100 < 50)
 
 
+def test_only_the_words_of_spans_go_on():
+    texts = [" a b\tc d e f g ", None, "h i", "é j k l m n o p".encode()[:-1] + b"\xff", "q r s t u v"]
+    spans = [[[1, 2, 0, 0], [0, 0, 5, 5]], [[0, 3, 0, 0]], [[0, 0, 1, 1], [4, 9, 0, 0]], [[0, 9, 0, 0]], []]
+    column = pa.array([t.encode() if isinstance(t, str) else t for t in texts], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(range(5)), pa.array(spans, pa.list_(pa.list_(pa.int32()))), column], names=["doc", "other", "spans", "text"])
+    (got,) = substring._cut([batch.slice(0, 5)])
+    assert got.column(3).to_pylist() == [[b"b\tc d e f g", b"a b\tc d e"], [b""], [b"h i", b""], [texts[3]], []] and got.column(2).to_pylist() == spans
+
+
 def test_packing_of_letters_that_are_composed(spark):
     from quillon.llm.packing import Chunks, tokenizer_path
 
