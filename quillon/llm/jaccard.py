@@ -60,7 +60,7 @@ def links(docs: DataFrame, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(doc, src, key, n) of every document (doc_id, text, src), and (node, root) of every class with a link."""
     ranks, sizes, places = setjoin.order(docs, k)
     light = boundary(sizes)
-    units, subsets = setjoin.units(docs, ranks, k=k, light=light)
+    units, subsets = setjoin.units(docs, k=k, light=light)
     pairs, open_ = setjoin.met(docs, ranks, places, k=k, light=light)
     sets = setjoin.fetched(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(open_.select("key")), units, docs, ranks, k=k)
     found = setjoin.verified(pairs, sets)

@@ -23,8 +23,7 @@ from .common import attach, fresh, small_or_shuffled, stored
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc (doc_id, or the largest long for null), src (a hash of its text) and removed (its line numbers
     that go, from 0), of docs (doc_id, text, src)."""
-    ranks, _, places = setjoin.order(docs, 1)
-    units, _ = setjoin.units(docs, ranks, lines=True, k=1)
+    units, ranks, places = setjoin.counted_units(docs, lines=True, k=1)
     pairs, open_ = setjoin.met(docs, ranks, places, lines=True, k=1)
     sets = setjoin.fetched(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(open_.select("key")), units, docs, ranks, lines=True, k=1)
     classes = stored(units.groupBy("key").agg(F.min(F.struct("doc", "line", "src")).alias("first"), F.count("*").alias("members")), "classes")

@@ -70,23 +70,37 @@ def parted(batch: pa.RecordBatch, lines: bool) -> Iterator[tuple[np.ndarray, np.
 # --- the order of elements ----------------------------------------------------------------------
 
 
+class _Counts:
+    """How often elements occur, by their first TABLE_BITS bits, and how many texts have so many places for them."""
+
+    def __init__(self, k: int):
+        self.k, self.some = k, False
+        self.total, self.sizes = np.zeros(1 << TABLE_BITS, dtype=np.uint32), np.zeros(65, dtype=np.int64)
+
+    def add(self, bounds: np.ndarray, h: np.ndarray) -> None:
+        unit, flat = elements(bounds, h, self.k)
+        np.add.at(self.total, (flat >> np.uint64(ELEMENT_BITS - TABLE_BITS)).astype(np.int64), np.uint32(1))
+        n = np.bincount(unit, minlength=1)
+        self.sizes[:64] += np.bincount(n[n < 64], minlength=64)
+        self.sizes[64] += len(flat)
+        self.some = True
+
+    def blocks(self) -> list[tuple[int, bytes]]:
+        if not self.some:
+            return []
+        n = len(self.total) // TABLE_BLOCKS
+        return [*enumerate(squeezed(self.total[i * n : (i + 1) * n]) for i in range(TABLE_BLOCKS)), (TABLE_BLOCKS, squeezed(self.sizes))]
+
+
 def _tally(k: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        total, sizes, some = np.zeros(1 << TABLE_BITS, dtype=np.uint32), np.zeros(65, dtype=np.int64), False
+        counts = _Counts(k)
         for batch in batches:
             for _, _, data, edges in slices(batch.column(1)):
-                bounds, h = hashed_words(data, edges)
-                unit, flat = elements(bounds, h, k)
-                np.add.at(total, (flat >> np.uint64(ELEMENT_BITS - TABLE_BITS)).astype(np.int64), np.uint32(1))
-                n = np.bincount(unit, minlength=1)
-                sizes[:64] += np.bincount(n[n < 64], minlength=64)
-                sizes[64] += len(flat)
-                some = True
-        if some:
-            n = len(total) // TABLE_BLOCKS
-            blocks = [squeezed(total[i * n : (i + 1) * n]) for i in range(TABLE_BLOCKS)] + [squeezed(sizes)]
-            yield pa.RecordBatch.from_pydict({"block": pa.array(range(TABLE_BLOCKS + 1), pa.int32()), "counts": pa.array(blocks, pa.binary())})
+                counts.add(*hashed_words(data, edges))
+        if blocks := counts.blocks():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b for b, _ in blocks], pa.int32()), "counts": pa.array([c for _, c in blocks], pa.binary())})
 
     return of
 
@@ -105,8 +119,11 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def order(docs: DataFrame, k: int = SHINGLE) -> tuple[np.ndarray, list[int], int]:
     """The rank of elements by how many places of all texts they have (twice the logarithm), how many texts have so
     many places for elements (up to 63), and the places in all."""
-    blocks = docs.mapInArrow(_tally(k), "block int, counts binary")
-    table = blocks.repartition(min(64, count_partitions(docs.sparkSession)), "block").mapInArrow(_added, "block int, ranks binary").toArrow().to_pylist()
+    return _ordered(docs.mapInArrow(_tally(k), "block int, counts binary"))
+
+
+def _ordered(blocks: DataFrame) -> tuple[np.ndarray, list[int], int]:
+    table = blocks.repartition(min(64, count_partitions(blocks.sparkSession)), "block").mapInArrow(_added, "block int, ranks binary").toArrow().to_pylist()
     by = {r["block"]: r["ranks"] for r in table}
     if not by:
         return np.zeros(1 << TABLE_BITS, np.uint8), [0] * 64, 0
@@ -165,7 +182,8 @@ def _spans(at: np.ndarray, n: np.ndarray) -> np.ndarray:
 _UNITS = "doc long, line int, src long, key long, n int"
 _BLOCKS = "bucket long, toks binary, unit binary, pos binary, keys binary, sizes binary, sketch binary"
 _SUBSETS = "subset long, skey long, side int"
-_UNIT_KINDS = {"doc": pa.int64(), "line": pa.int32(), "src": pa.int64(), "key": pa.int64(), "n": pa.int32(), "subset": pa.int64(), "skey": pa.int64(), "side": pa.int32()}
+_TALLIED = "block int, counts binary"
+_UNIT_KINDS = {"doc": pa.int64(), "line": pa.int32(), "src": pa.int64(), "key": pa.int64(), "n": pa.int32(), "subset": pa.int64(), "skey": pa.int64(), "side": pa.int32(), "block": pa.int32(), "counts": pa.binary()}
 _BLOCK_KINDS = {"bucket": pa.int64(), **{c: pa.binary() for c in ("toks", "unit", "pos", "keys", "sizes", "sketch")}}
 
 
@@ -195,33 +213,46 @@ def _blocks(cell: list[tuple], buckets: int, sketched: bool, hot_rank: int) -> p
     return _arrow(_BLOCK_KINDS, len(rows), **{c: [r[i] for r in rows] for i, c in enumerate(_BLOCK_KINDS)})
 
 
-def _units(lines: bool, k: int, shared, light: int):
+def _units(lines: bool, k: int, light: int, count: bool = False):
+    kinds = {c: t for c, t in _UNIT_KINDS.items() if count or c not in ("block", "counts")}
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        ranks, told = shared.value, set()
+        told, counts = set(), _Counts(k) if count else None
         for batch in batches:
             for ids, line, src, bounds, h in parted(batch, lines):
-                bounds, flat = sets_of(bounds, h, k, ranks)
+                if counts:
+                    counts.add(bounds, h)
+                bounds, flat = sets_of(bounds, h, k)
                 keys, n = set_keys(bounds, flat), np.diff(bounds)
                 full = n > 0 if lines else slice(None)
-                yield _arrow(_UNIT_KINDS, len(keys[full]), doc=ids[full], line=line[full], src=src[full], key=keys[full], n=n[full])
+                yield _arrow(kinds, len(keys[full]), doc=ids[full], line=line[full], src=src[full], key=keys[full], n=n[full])
                 if light:
                     rows = [r for r in _subsets(light, keys, bounds, flat) if r[1] not in told]
                     if len(told) < 100_000:
                         told.update(r[1] for r in rows)
-                    yield _arrow(_UNIT_KINDS, len(rows), **{c: [r[i] for r in rows] for i, c in enumerate(("subset", "skey", "side"))})
+                    yield _arrow(kinds, len(rows), **{c: [r[i] for r in rows] for i, c in enumerate(("subset", "skey", "side"))})
+        if counts and (blocks := counts.blocks()):
+            yield _arrow(kinds, len(blocks), block=[b for b, _ in blocks], counts=[c for _, c in blocks])
 
     return of
 
 
-def units(docs: DataFrame, ranks: np.ndarray, lines: bool = False, k: int = SHINGLE, light: int = 0) -> tuple[DataFrame, DataFrame]:
+def units(docs: DataFrame, lines: bool = False, k: int = SHINGLE, light: int = 0) -> tuple[DataFrame, DataFrame]:
     """(doc, line, src, key, n) of every unit (of lines only those with words), and the subsets of classes of at
     most light elements."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    both = stored(docs.mapInArrow(_units(lines, k, shared, light), f"{_UNITS}, {_SUBSETS}"), "units", TEXTS)
+    both = stored(docs.mapInArrow(_units(lines, k, light), f"{_UNITS}, {_SUBSETS}"), "units", TEXTS)
     return both.filter("doc is not null").select("doc", "line", "src", "key", "n"), both.filter("subset is not null").select("subset", "skey", "side")
 
 
+def counted_units(docs: DataFrame, lines: bool = False, k: int = SHINGLE) -> tuple[DataFrame, np.ndarray, int]:
+    """(doc, line, src, key, n) of every unit as units() has them, and in the same pass over the texts the ranks of
+    elements and their places in all, as order() has them."""
+    both = stored(docs.mapInArrow(_units(lines, k, 0, True), f"{_UNITS}, {_SUBSETS}, {_TALLIED}"), "units", TEXTS)
+    ranks, _, places = _ordered(both.filter("block is not null").select("block", "counts"))
+    return both.filter("doc is not null").select("doc", "line", "src", "key", "n"), ranks, places
+
+
 def _prefixes(lines: bool, k: int, shared, light: int, buckets: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -285,6 +316,23 @@ _MET_KINDS = {x.split()[0]: pa.int64() for x in _MET.split(", ")}
 SURE = 1 << 32
 
 
+def _by_list(tok: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The places of lists' members, a list after another, by size and then key, without lone ones of cold
+    elements. Equal members of a list are beside each other unless another key has the same first bits, which
+    only costs a comparison more."""
+    order_ = np.argsort(tok)
+    t = tok[order_]
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(t)), bool), t[1:] != t[:-1]]))
+    size = np.diff(np.append(begin, len(t)))
+    kept = (size > 1) | (t[begin] >> 62 != 0)
+    order_, size = order_[np.repeat(kept, size)], size[kept]
+    sizes, of_size = np.unique(n[order_], return_inverse=True)
+    high, low = len(size).bit_length(), len(sizes).bit_length()
+    both = np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(64 - high) | of_size.astype(np.uint64) << np.uint64(64 - high - low)
+    both |= key[order_].view(np.uint64) >> np.uint64(high + low)
+    return order_[np.argsort(both)]
+
+
 def _meet(sketched: bool):
     """Of a bucket's blocks the pairs (a, b) that the filters leave, with c, the elements of short lists that they
     share, and their sizes; (tok, key) of the classes of lists that aren't done with them; and (a, c), how many of
@@ -303,7 +351,7 @@ def _meet(sketched: bool):
         tok, key, n, pos, at = (np.concatenate(c) for c in zip(*cols, strict=True))
         del cols
         sketch = np.concatenate(words) if sketched else None
-        order_ = np.lexsort((key, n, tok))
+        order_ = _by_list(tok, n, key)
         tok, key = tok[order_], key[order_]
         new = np.ones(len(tok), dtype=bool)
         new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])

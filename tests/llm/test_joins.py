@@ -191,3 +191,55 @@ def test_attach_spreads_heavy_keys(spark):
     for how, n in (("left", 69), ("inner", 59)):
         got = common.attach(rows, table, "k", "n", 69, how).select("k", "v", "name").collect()
         assert len(got) == n and all(r["name"] == (f"n{r['k']}" if r["k"] < 10 else None) for r in got)
+
+
+def test_long_rows_go_to_python_by_bounded_bytes(spark):
+    long = spark.range(0, 24, 1, 1).select("id", F.repeat(F.lit("x"), 1 << 20).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([b.num_rows], pa.int64())})
+
+    def grouped(table):
+        return pa.table({"rows": pa.array([len(c) for c in table.column("text").chunks], pa.int64())})
+
+    for df in (long.mapInArrow(sizes, "rows long"), long.groupBy(F.col("id") % 1).applyInArrow(grouped, "rows long")):
+        got = [r["rows"] for r in common.stored(df, "sizes").collect()]
+        assert sum(got) == 24 and max(got) << 20 <= common.ARROW_BYTES + (1 << 20)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import time
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {n for f in blocks.getAllFiles().mkString("\n").split("\n") if (n := f.rpartition("/")[2]).startswith("shuffle_")}
+    before = shuffles()
+    table = common.stored(spark.range(1000).groupBy(F.col("id") % 7).count(), "counts")
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 7
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([3, 5, 2**40, 2**62 + 1]), st.integers(1, 5), st.integers(-(2**63), 2**63 - 1)), max_size=40))
+def test_lists_are_ordered_and_without_lone_members(rows):
+    tok, n, key = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    at = setjoin._by_list(tok, n, key)
+    got = [(rows[i][0], rows[i][1]) for i in at.tolist()]
+    toks = [r[0] for r in rows]
+    assert got == sorted((t, m) for t, m, _ in rows if toks.count(t) > 1 or t >> 62)
+    assert len(set(at.tolist())) == len(at)
+
+
+def test_one_pass_counts_and_makes_units(documents):
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("src"))
+    ranks, _, places = setjoin.order(docs, 1)
+    units, own, own_places = setjoin.counted_units(docs, lines=True, k=1)
+    plain, _ = setjoin.units(docs, lines=True, k=1)
+    assert own_places == places and (own == ranks).all()
+    assert sorted(map(str, units.collect())) == sorted(map(str, plain.collect()))
+    texts = pa.array(["a b c d e f g a", "h i j", ""])
+    bare, ranked = (common.sets_of(*common.hashed_words(*common.raw(texts)), 1, r) for r in (None, np.arange(1 << 22, dtype=np.uint8) % 64))
+    assert (common.set_keys(*bare) == common.set_keys(*ranked)).all()
