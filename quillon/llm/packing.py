@@ -35,7 +35,7 @@ FAN = 512
 #: most CHUNK bytes.
 CACHE, CHUNK = 100_000, 64
 #: Bytes of texts that are worked on together, and rows that go to a worker together.
-PART, ROWS = 1 << 21, 1024
+PART, ROWS = 1 << 20, 1024
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -152,12 +152,14 @@ class Chunks:
             units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data)]).dictionary_encode()
             ids = self.looked_up(units.dictionary.to_pylist()) + [end]
             which = np.insert(units.indices.to_numpy(), of_text[1:], len(ids) - 1)
+            del data, starts, units
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             n = sizes[which]
             stops = np.cumsum(n)
             places = np.repeat((np.cumsum(sizes) - sizes)[which] - (stops - n), n)
             places += np.arange(len(places))
-            raw = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
+            raw = np.frombuffer(b"".join(ids), "<u4").take(places).tobytes()
+            del ids, which, n, places
             edges = [0, *(4 * stops[of_text[1:] + np.arange(len(bounds) - 1)]).tolist()]
             yield [raw[a:b] for a, b in itertools.pairwise(edges)]
 
@@ -182,7 +184,10 @@ def _is_utf8(texts: pa.Array) -> bool:
 def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of texts without blanks, letters A-Z lowered, the bounds of units in them, and the bounds of each
     text's units."""
-    kinds, small = _KIND[data], _SMALL[data]
+    text = data.tobytes()
+    plain = np.frombuffer(text.translate(_KIND), np.uint8)
+    kinds, small = plain.copy(), np.frombuffer(bytearray(text.translate(_SMALL)), np.uint8)
+    del text
     pair = np.flatnonzero((data == 0xCC) | (data == 0xCD))  # marks that a letter may compose with
     special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))  # <|
     first = np.zeros(len(data) + 1, dtype=bool)
@@ -197,12 +202,12 @@ def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for t in np.unique(np.searchsorted(bounds, np.concatenate([pair, special]), "right") - 1).tolist():
         small[bounds[t] : bounds[t + 1]] = data[bounds[t] : bounds[t + 1]]
         first[bounds[t] : bounds[t + 1]] = False
-    kept = _KIND[data] != _BLANK
+    kept = plain != _BLANK
     first[1:-1] |= ~kept[:-1]
     first[bounds] = True
     starts = np.flatnonzero(first[:-1] & kept)
-    places = np.cumsum(kept, dtype=np.int64)
-    return small[kept], np.append(places[starts] - 1, kept.sum()), np.searchsorted(starts, bounds)
+    places = np.cumsum(kept, dtype=np.int32 if len(kept) < 1 << 31 else np.int64)
+    return small[kept], np.append(places[starts].astype(np.int64) - 1, kept.sum()), np.searchsorted(starts, bounds)
 
 
 _BLANK, _MARK, _LETTER, _DIGIT, _OTHER = range(5)
@@ -212,8 +217,8 @@ _KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
 _KIND[0x30:0x3A] = _DIGIT
 _KIND[[0x20, 0x09, 0x0A, 0x0D]] = _BLANK
 _KIND[0x27] = _OTHER
-_SMALL = np.arange(256, dtype=np.uint8)
-_SMALL[0x41:0x5B] += 0x20
+_KIND = _KIND.tobytes()
+_SMALL = bytes(range(256)).lower()
 _PACK = [struct.Struct(f"<{n}I") for n in range(64)]
 
 
